@@ -1,0 +1,265 @@
+"""End-to-end selection: sample, thin out the sample, credit the rest, thin out what is left.
+
+The exact result equals one greedy pass over (sample in sample order, then the rest by row_id);
+staging it keeps every join linear, as later stages only see rows that no suppressor covers.
+"""
+
+from __future__ import annotations
+
+import time
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.assign import assign_first, assign_nearest
+from ..operators.chunks import merge_chunks
+from ..operators.fitness import conservation_check, fitness_counts, nonzero, run_summary, strong
+from ..operators.fitness import with_fitness
+from ..operators.grid import GEOMETRY, SPLIT_ROWS, crowded_cells, is_finite, to_points
+from ..operators.ordering import with_rank
+from ..operators.sampling import draw_sample, find_cut, sample_size
+from ..operators.suppress import greedy_survivors
+from ..rule import STRONG_FITNESS, MatchRule
+from ..workspace import SavedTable, Workspace
+
+OUTPUT = ("row_id", "lat", "lon", "fitness")
+
+
+@dataclass(frozen=True)
+class HotspotRun:
+    """Result of a run: ``suppressors(row_id, lat, lon, fitness, stage)``, fitness 0 included.
+
+    ``owners(row_id, owner_id, stage)`` tells who stands for whom (exact mode only). Tables
+    read from ``workspace``; close it when they have been written elsewhere.
+    """
+
+    incidents: DataFrame
+    suppressors: DataFrame
+    owners: DataFrame | None
+    workspace: Workspace
+    stage_seconds: dict[str, float] = field(default_factory=dict)
+
+    def spots(self) -> DataFrame:
+        """The hot spots: every suppressor that stands for another incident."""
+        return nonzero(self.suppressors).select(*OUTPUT)
+
+    def strong_spots(self, min_fitness: int = STRONG_FITNESS) -> DataFrame:
+        return strong(self.spots(), min_fitness)
+
+    def summary(self, min_fitness: int = STRONG_FITNESS) -> DataFrame:
+        return run_summary(self.suppressors, min_fitness)
+
+    def check(self) -> DataFrame:
+        return conservation_check(self.suppressors, self.incidents)
+
+
+class _Stages:
+    """Work shared by the two modes; every stage ends in saved tables."""
+
+    def __init__(
+        self,
+        incidents: DataFrame,
+        rule: MatchRule,
+        workspace: Workspace | None,
+        split_rows: int,
+        nearest: bool = False,
+    ):
+        self.incidents, self.rule = incidents, rule
+        self.ws = workspace or Workspace(incidents.sparkSession)
+        self.split_rows = split_rows
+        self.assign = assign_nearest if nearest else assign_first
+        self.seconds: dict[str, float] = {}
+        self._started = time.monotonic()
+
+    def lap(self, stage: str) -> None:
+        now = time.monotonic()
+        self.seconds[stage] = now - self._started
+        self._started = now
+
+    def crowded(self, points: DataFrame, rows: int, rule: MatchRule) -> DataFrame | None:
+        return crowded_cells(points, rule, rows, self.ws, self.split_rows)
+
+    def thin_sample(self, rows: int, pct: int, seed: int) -> DataFrame | None:
+        """Survivors of the sample, or None when the sample is empty."""
+        size = sample_size(rows, pct)
+        if not size:
+            return None
+        cut = find_cut(self.incidents, size, seed)
+        ranked = with_rank(draw_sample(self.incidents, cut), "digest", "row_id")
+        sample = self.ws.save(to_points(ranked, self.rule, F.col("rank")), "sample")
+        crowded = self.crowded(sample.df, sample.rows, self.rule)
+        kept = greedy_survivors(sample, self.rule, self.ws, crowded)
+        self.lap("thin_sample")
+        return kept
+
+    def credit(
+        self, rows: int, kept: DataFrame | None, *carry: str
+    ) -> tuple[DataFrame | None, SavedTable]:
+        """Owners of the incidents the sample's survivors match, and the unmatched points."""
+        points = to_points(self.incidents, self.rule, F.col("row_id"), *carry)
+        if kept is None:
+            tail = self.ws.save(points, "tail")
+            self.lap("credit")
+            return None, tail
+        crowded = self.crowded(points, rows, self.rule)
+        owned = self.assign(points, kept, self.rule, crowded)
+        # One pass writes both results; of an owned row only the owner is kept.
+        geometry = [
+            F.when(F.col("owner_id").isNull(), F.col(c)).alias(c)
+            for c in points.columns
+            if c not in ("rank", "row_id")
+        ]
+        credited = self.ws.write(owned.select("rank", "row_id", "owner_id", *geometry), "owned")
+        matched = credited.filter(F.col("owner_id").isNotNull()).select("row_id", "owner_id")
+        open_points = credited.filter(F.col("owner_id").isNull()).select(*points.columns)
+        tail = SavedTable(open_points, open_points.count())
+        self.lap("credit")
+        return matched, tail
+
+    def outside(self) -> DataFrame:
+        """Rows without finite coordinates: they match nothing and stand for themselves."""
+        lat, lon = F.col("lat"), F.col("lon")
+        return self.incidents.filter(~is_finite(lat, lon)).select("row_id", "lat", "lon")
+
+
+def _zero(df: DataFrame, stage: str) -> DataFrame:
+    zero = F.lit(0).cast("bigint").alias("fitness")
+    return df.select("row_id", "lat", "lon", zero, F.lit(stage).alias("stage"))
+
+
+def _staged(df: DataFrame, stage: str) -> DataFrame:
+    return df.select(*OUTPUT, F.lit(stage).alias("stage"))
+
+
+def _with_owned(kept: DataFrame, owners: DataFrame, stage: str) -> DataFrame:
+    return _staged(with_fitness(kept, fitness_counts(owners)), stage)
+
+
+def _nothing_matches(stages: _Stages) -> HotspotRun:
+    alone = _zero(stages.incidents, "rest")
+    ids = F.col("row_id")
+    owners = stages.incidents.select("row_id", ids.alias("owner_id"), F.lit("rest").alias("stage"))
+    return HotspotRun(stages.incidents, alone, owners, stages.ws, stages.seconds)
+
+
+def hotspots(
+    incidents: DataFrame,
+    pct: int,
+    mileage: float,
+    seed: int = 42,
+    *,
+    rule: MatchRule | None = None,
+    nearest: bool = False,
+    workspace: Workspace | None = None,
+    split_rows: int = SPLIT_ROWS,
+) -> HotspotRun:
+    """Exact selection.
+
+    ``incidents`` needs ``row_id`` (BIGINT, unique, file order), ``lat``, ``lon``, ``bearing``
+    and ``partial_location``. ``pct`` percent form the initial suppressors; ``mileage`` is the
+    diameter of a spot. ``rule`` replaces the default match rule; ``nearest`` credits incidents
+    to the closest instead of the first matching suppressor.
+    """
+    rule = rule or MatchRule(mileage)
+    stages = _Stages(incidents, rule, workspace, split_rows, nearest)
+    if not rule.can_match:
+        return _nothing_matches(stages)
+    rows = incidents.count()
+    kept = stages.thin_sample(rows, pct, seed)
+    matched, tail = stages.credit(rows, kept)
+    crowded = stages.crowded(tail.df, tail.rows, rule)
+    late = greedy_survivors(tail, rule, stages.ws, crowded)
+    late_owned = stages.ws.write(
+        stages.assign(tail.df, late, rule, crowded).select("row_id", "owner_id"), "late-owned"
+    )
+    stages.lap("thin_rest")
+    suppressors = _with_owned(late, late_owned, "rest").unionByName(
+        _zero(stages.outside(), "rest")
+    )
+    owners = late_owned.withColumn("stage", F.lit("rest"))
+    if kept is not None:
+        suppressors = _with_owned(kept, matched, "sample").unionByName(suppressors)
+        owners = matched.withColumn("stage", F.lit("sample")).unionByName(owners)
+    return HotspotRun(incidents, suppressors, owners, stages.ws, stages.seconds)
+
+
+def dedupe_points(
+    incidents: DataFrame,
+    mileage: float,
+    order: Column | str = "row_id",
+    *,
+    rule: MatchRule | None = None,
+    workspace: Workspace | None = None,
+    split_rows: int = SPLIT_ROWS,
+) -> HotspotRun:
+    """Greedy suppression of a whole table in the given BIGINT order, without a sample."""
+    rule = rule or MatchRule(mileage)
+    stages = _Stages(incidents, rule, workspace, split_rows)
+    if not rule.can_match:
+        return _nothing_matches(stages)
+    rank = F.col(order) if isinstance(order, str) else order
+    points = stages.ws.save(to_points(incidents, rule, rank), "points")
+    crowded = stages.crowded(points.df, points.rows, rule)
+    kept = greedy_survivors(points, rule, stages.ws, crowded)
+    owned = stages.ws.write(
+        assign_first(points.df, kept, rule, crowded).select("row_id", "owner_id"), "owned"
+    )
+    stages.lap("thin_rest")
+    suppressors = _with_owned(kept, owned, "rest").unionByName(_zero(stages.outside(), "rest"))
+    owners = owned.withColumn("stage", F.lit("rest"))
+    return HotspotRun(incidents, suppressors, owners, stages.ws, stages.seconds)
+
+
+def hotspots_chunked(
+    incidents: DataFrame,
+    pct: int,
+    mileage: float,
+    seed: int = 42,
+    *,
+    chunk_col: str = "chunk_id",
+    rule: MatchRule | None = None,
+    workspace: Workspace | None = None,
+    split_rows: int = SPLIT_ROWS,
+) -> HotspotRun:
+    """Approximate selection: the rest is thinned out per chunk, then chunks are merged.
+
+    ``chunk_col`` (BIGINT, not NULL) assigns each incident to a chunk; chunks are a property of
+    the data here and independent of Spark partitions.
+    """
+    rule = rule or MatchRule(mileage)
+    incidents = incidents.withColumn("chunk_id", F.col(chunk_col).cast("bigint"))
+    stages = _Stages(incidents, rule, workspace, split_rows)
+    if not rule.can_match:
+        return _nothing_matches(stages)
+    rows = incidents.count()
+    kept = stages.thin_sample(rows, pct, seed)
+    matched, tail = stages.credit(rows, kept, "chunk_id")
+    local = thin_chunks(tail, rule, stages.ws, split_rows)
+    crowded = stages.crowded(local.df, local.rows, rule)
+    merged = stages.ws.write(merge_chunks(local, rule, stages.ws, crowded), "merged")
+    stages.lap("thin_rest")
+    suppressors = _staged(merged, "rest").unionByName(_zero(stages.outside(), "rest"))
+    if kept is not None:
+        suppressors = _with_owned(kept, matched, "sample").unionByName(suppressors)
+    return HotspotRun(incidents, suppressors, None, stages.ws, stages.seconds)
+
+
+def thin_chunks(
+    points: SavedTable, rule: MatchRule, ws: Workspace, split_rows: int = SPLIT_ROWS
+) -> SavedTable:
+    """Survivors of greedy suppression inside each chunk with their local fitness.
+
+    Ranked by (chunk_id, rank), the order in which chunks are merged.
+    """
+    within = rule.also_equal("chunk_id")
+    crowded = crowded_cells(points.df, within, points.rows, ws, split_rows)
+    kept = greedy_survivors(points, within, ws, crowded)
+    counts = fitness_counts(assign_first(points.df, kept, within, crowded))
+    ranked = with_rank(with_fitness(kept, counts), "chunk_id", "rank")
+    return ws.save(
+        ranked.select(
+            "rank", "row_id", "chunk_id", *rule.keys, *GEOMETRY, "cell", "fitness"
+        ),
+        "chunk-survivors",
+    )
