@@ -1,9 +1,12 @@
-"""Geometry as native column expressions (no UDF, so they stay in generated code)."""
+"""Geometry as native Spark SQL expressions (no UDF, so they stay in generated code).
+
+Each function takes and returns SQL text, for ``F.expr`` / ``selectExpr``. A distance has some
+forty nodes; as text it reaches the JVM in one call, node by node it would take dozens.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+import math
 
 # Sphere radius in kilometres and kilometres per mile.
 EARTH_RADIUS_KM = 6372.8
@@ -12,28 +15,45 @@ KM_PER_MILE = 1.609344
 EARTH_RADIUS_MILES = EARTH_RADIUS_KM / KM_PER_MILE
 
 
-def haversine_miles(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+def double(value: float) -> str:
+    """A DOUBLE literal that keeps every bit."""
+    if math.isinf(value):
+        return f"double('{'-' if value < 0 else ''}infinity')"
+    return f"{value!r}D"
+
+
+def haversine_miles(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     """Great-circle distance in miles between two points given in degrees."""
-    half_chord_sq = F.pow(F.sin(F.radians(lat2 - lat1) / 2), F.lit(2.0)) + F.cos(
-        F.radians(lat1)
-    ) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), F.lit(2.0))
-    return F.lit(2 * EARTH_RADIUS_MILES) * F.asin(F.sqrt(half_chord_sq))
+    north = f"pow(sin(radians({lat2} - {lat1}) / 2), 2)"
+    east = f"pow(sin(radians({lon2} - {lon1}) / 2), 2)"
+    shrink = f"cos(radians({lat1})) * cos(radians({lat2}))"
+    return f"{double(2 * EARTH_RADIUS_MILES)} * asin(sqrt({north} + {shrink} * {east}))"
 
 
 def guarded_distance_miles(
-    key1: Column, lat1: Column, lon1: Column, key2: Column, lat2: Column, lon2: Column
-) -> Column:
+    key1: str, lat1: str, lon1: str, key2: str, lat2: str, lon2: str
+) -> str:
     """Distance in miles, or -1 when the two points lie on different roads."""
-    return F.when(key1 == key2, haversine_miles(lat1, lon1, lat2, lon2)).otherwise(F.lit(-1.0))
+    miles = haversine_miles(lat1, lon1, lat2, lon2)
+    return f"CASE WHEN {key1} = {key2} THEN {miles} ELSE -1D END"
 
 
-def bearing_difference(bearing1: Column, bearing2: Column) -> Column:
+def bearing_difference(bearing1: str, bearing2: str) -> str:
     """Angle between two whole-degree headings, 0 to 180; 350 and 10 differ by 20."""
-    turn = F.pmod(bearing1.cast("bigint") - bearing2.cast("bigint"), F.lit(360))
-    return F.least(turn, F.lit(360) - turn)
+    turn = f"pmod(bigint({bearing1}) - {bearing2}, 360)"
+    return f"least({turn}, 360 - {turn})"
 
 
-def unit_vector(lat: Column, lon: Column) -> tuple[Column, Column, Column]:
+def unit_vector(lat: str, lon: str) -> dict[str, str]:
     """Point on the unit sphere; free of special cases at the poles and the date line."""
-    phi, lam = F.radians(lat), F.radians(lon)
-    return F.cos(phi) * F.cos(lam), F.cos(phi) * F.sin(lam), F.sin(phi)
+    return {
+        "x": f"cos(radians({lat})) * cos(radians({lon}))",
+        "y": f"cos(radians({lat})) * sin(radians({lon}))",
+        "z": f"sin(radians({lat}))",
+    }
+
+
+def is_finite(lat: str, lon: str) -> str:
+    """NaN sorts above every number, so one comparison rules out NaN and both infinities."""
+    top = double(math.inf)
+    return f"abs({lat}) < {top} AND abs({lon}) < {top}"

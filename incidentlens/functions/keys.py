@@ -1,16 +1,17 @@
-"""Key expressions: road names compared ignoring case, and the sample order."""
+"""Key expressions (SQL text): names compared ignoring case, and the sample order."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
+def fold_case(text: str) -> str:
+    """Equal for strings that differ only in case; a missing string equals a blank one.
 
-def fold_case(text: Column) -> Column:
-    """Equal for strings that differ only in case; a missing string equals a blank one."""
-    return F.lower(F.upper(F.coalesce(text, F.lit(""))))
+    Upper then lower case, so that letters with one capital but two small forms agree; the
+    concatenation keeps the optimizer from dropping the inner call.
+    """
+    return f"lower(concat(upper(coalesce({text}, '')), ''))"
 
 
-def sample_digest(row_id: Column, seed: int) -> Column:
+def sample_digest(row_id: str, seed: int) -> str:
     """32 hex digits that order the rows at random, the same way for the same seed."""
-    return F.md5(F.concat(row_id.cast("string"), F.lit(f":{seed}")))
+    return f"md5(concat(string({row_id}), ':{int(seed)}'))"

@@ -6,23 +6,25 @@ output stays linear in the incidents.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import haversine_miles
 from ..rule import MatchRule
 from .grid import match_join, near_condition
 
+MILES_APART = haversine_miles("a_lat", "a_lon", "lat", "lon")
+
 
 def _assign(
-    points: DataFrame, kept: DataFrame, rule: MatchRule, crowded: DataFrame | None, best: Column
+    points: DataFrame, kept: DataFrame, rule: MatchRule, crowded: DataFrame | None, best: str
 ) -> DataFrame:
     joined = match_join(points, kept, rule, "left", crowded)
     # Grouping starts with the join keys: after a shuffled join no further exchange is needed.
-    where = [*rule.keys, "cell", *(["salt"] if crowded is not None else [])]
-    carried = [F.first(c).alias(c) for c in points.columns if c not in (*where, "rank")]
-    grouped = joined.groupBy(*where, "rank").agg(*carried, best.alias("owner_id"))
-    return grouped.select(*points.columns, "owner_id")
+    where = [*rule.keys, "cell", *(["salt"] if crowded is not None else []), "rank"]
+    carried = [f"first({c}) AS {c}" for c in points.columns if c not in where]
+    made = [F.expr(sql) for sql in (*carried, f"{best} AS owner_id")]
+    return joined.groupBy(*where).agg(*made).select(*points.columns, "owner_id")
 
 
 def assign_first(
@@ -32,46 +34,41 @@ def assign_first(
 
     A suppressor among the points owns itself.
     """
-    return _assign(points, kept, rule, crowded, F.min_by("a_row_id", "a_rank"))
+    return _assign(points, kept, rule, crowded, "min_by(a_row_id, a_rank)")
 
 
 def assign_nearest(
     points: DataFrame, kept: DataFrame, rule: MatchRule, crowded: DataFrame | None = None
 ) -> DataFrame:
     """Like :func:`assign_first`, but the closest suppressor wins, then the lower-ranked one."""
-    miles = haversine_miles(F.col("a_lat"), F.col("a_lon"), F.col("lat"), F.col("lon"))
-    return _assign(
-        points, kept, rule, crowded, F.min_by("a_row_id", F.struct(miles, F.col("a_rank")))
-    )
+    best = f"min_by(a_row_id, struct({MILES_APART}, a_rank))"
+    return _assign(points, kept, rule, crowded, best)
 
 
 def unmatched(assigned: DataFrame) -> DataFrame:
     """Incidents that no suppressor stands for."""
-    return assigned.filter(F.col("owner_id").isNull()).drop("owner_id")
+    return assigned.filter("owner_id IS NULL").drop("owner_id")
 
 
 def match_pairs(
     points: DataFrame, kept: DataFrame, rule: MatchRule, crowded: DataFrame | None = None
 ) -> DataFrame:
     """Every (incident, suppressor) match with its distance, an incident with itself left out."""
-    other = F.col("row_id") != F.col("a_row_id")
-    pairs = match_join(points, kept, rule, "inner", crowded, extra=other)
-    return _pair_columns(pairs)
+    pairs = match_join(points, kept, rule, "inner", crowded, extra="row_id <> a_row_id")
+    return pairs.selectExpr("row_id", "a_row_id AS suppressor_id", f"{MILES_APART} AS miles")
 
 
 def near_pairs(
     points: DataFrame, kept: DataFrame, rule: MatchRule, crowded: DataFrame | None = None
 ) -> DataFrame:
     """(incident, suppressor) pairs on one road within the radius, whatever their headings."""
-    other = F.col("row_id") != F.col("a_row_id")
     pairs = match_join(
-        points, kept, rule, "inner", crowded, extra=other, condition=near_condition(rule)
-    )
-    return _pair_columns(pairs)
-
-
-def _pair_columns(pairs: DataFrame) -> DataFrame:
-    miles = haversine_miles(F.col("a_lat"), F.col("a_lon"), F.col("lat"), F.col("lon"))
-    return pairs.select(
-        "row_id", F.col("a_row_id").alias("suppressor_id"), miles.alias("miles")
+        points,
+        kept,
+        rule,
+        "inner",
+        crowded,
+        extra="row_id <> a_row_id",
+        condition=near_condition(rule),
     )
+    return pairs.selectExpr("row_id", "a_row_id AS suppressor_id", f"{MILES_APART} AS miles")

@@ -7,13 +7,16 @@ chunked mode is defined.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..rule import MatchRule
+from ..sizes import Sizes
 from ..workspace import SavedTable, Workspace
 from .fitness import add_fitness
-from .grid import match_join
+from .grid import GEOMETRY, match_join
 
 
 def even_chunks(rows: int, chunks: int) -> Column:
@@ -29,22 +32,31 @@ def chunk_edges(
     ``local`` needs ``rank`` in (chunk, order in chunk). The survivors of one chunk do not match
     one another, so a row has a handful of edges per chunk.
     """
-    anchors = local.select(
-        "rank", "row_id", "chunk_id", *rule.keys, "lat", "lon", "bearing", "x", "y", "z", "cell"
-    )
-    pairs = match_join(
-        local, anchors, rule, "inner", crowded, extra=F.col("a_chunk_id") < F.col("chunk_id")
-    )
-    return pairs.select(
-        F.col("a_rank").alias("src"),
-        F.col("rank").alias("dst"),
-        F.col("chunk_id").alias("dst_chunk"),
-        F.col("a_row_id").alias("src_id"),
-        F.col("row_id").alias("dst_id"),
+    anchors = local.select("rank", "row_id", "chunk_id", *rule.keys, *GEOMETRY, "cell")
+    pairs = match_join(local, anchors, rule, "inner", crowded, extra="a_chunk_id < chunk_id")
+    return pairs.selectExpr(
+        *rule.keys,
+        "a_rank AS src",
+        "rank AS dst",
+        "chunk_id AS dst_chunk",
+        "a_row_id AS src_id",
+        "row_id AS dst_id",
     )
 
 
-def absorptions(edges: SavedTable, ws: Workspace) -> DataFrame:
+def ordered_edge_fold(edges: DataFrame, rule: MatchRule) -> DataFrame:
+    """The taken edges, by trying each key group's edges one after the other; for few edges only."""
+    rows = F.expr("array_sort(collect_list(struct(src, dst, dst_chunk)))")
+    conflict = "t.dst = e.dst OR t.dst = e.src OR (t.src = e.src AND t.dst_chunk = e.dst_chunk)"
+    taken = f"""aggregate(rows, filter(rows, e -> false), (taken, e) ->
+        IF(exists(taken, t -> {conflict}), taken, concat(taken, array(e))))"""
+    groups = edges.groupBy(*rule.keys).agg(rows.alias("rows"))
+    return groups.selectExpr(f"inline({taken})")
+
+
+def absorptions(
+    edges: SavedTable, rule: MatchRule, ws: Workspace, sizes: Sizes = Sizes()
+) -> DataFrame:
     """The edges taken when all are tried in (src, dst) order: ``(src, dst, dst_chunk)``.
 
     An edge is taken unless its dst or its src has been absorbed or its src already absorbed a
@@ -52,47 +64,46 @@ def absorptions(edges: SavedTable, ws: Workspace) -> DataFrame:
     lowest of its (src, chunk) and whose src is no undecided edge's dst: no lower edge can
     prevent it any more.
     """
-    undecided, left, taken_rounds = edges.df.select("src", "dst", "dst_chunk"), edges.rows, []
-    none_taken = undecided.limit(0)
-    while left:
+    columns = [*rule.keys, "src", "dst", "dst_chunk"]
+    undecided, left, taken_rounds = edges.df.select(*columns), edges.rows, []
+    if not left:
+        return undecided.select("src", "dst", "dst_chunk")
+    while left > sizes.finish_rows:
         first_src = undecided.groupBy("dst").agg(F.min("src").alias("src"))
         first_dst = undecided.groupBy("src", "dst_chunk").agg(F.min("dst").alias("dst"))
-        targets = undecided.select(F.col("dst").alias("src")).distinct()
+        targets = undecided.selectExpr("dst AS src").distinct()
         lowest = first_dst.join(first_src, ["src", "dst"]).join(targets, "src", "left_anti")
         taken = ws.write(lowest.select("src", "dst", "dst_chunk"), "taken")
         taken_rounds.append(taken)
         gone = taken.select("dst")
         rest = (
             undecided.join(gone, "dst", "left_anti")
-            .join(gone.select(F.col("dst").alias("src")), "src", "left_anti")
+            .join(gone.selectExpr("dst AS src"), "src", "left_anti")
             .join(taken.select("src", "dst_chunk"), ["src", "dst_chunk"], "left_anti")
         )
-        saved = ws.save(rest.select("src", "dst", "dst_chunk"), "undecided-edges")
+        saved = ws.save(rest.select(*columns), "undecided-edges")
         undecided, left = saved.df, saved.rows
-    out = none_taken
-    for i, part in enumerate(taken_rounds):
-        out = part if i == 0 else out.unionByName(part)
-    return out
+    if left:
+        taken_rounds.append(ws.write(ordered_edge_fold(undecided, rule), "taken"))
+    return reduce(DataFrame.unionByName, taken_rounds)
 
 
 def merge_chunks(
-    local: SavedTable, rule: MatchRule, ws: Workspace, crowded: DataFrame | None = None
+    local: SavedTable,
+    rule: MatchRule,
+    ws: Workspace,
+    crowded: DataFrame | None = None,
+    sizes: Sizes = Sizes(),
 ) -> DataFrame:
     """Survivors of the merge with ``fitness`` summed up: own + (absorbed + 1) for each absorbed."""
     if not rule.can_match:
         return local.df
-    edges = ws.save(
-        chunk_edges(local.df, rule, crowded).select("src", "dst", "dst_chunk"), "chunk-edges"
-    )
-    taken = absorptions(edges, ws)
-    passed_on = local.df.select(
-        F.col("rank").alias("dst"), (F.col("fitness") + 1).alias("fitness")
-    )
-    gains = taken.join(passed_on, "dst").select(F.col("src").alias("owner_id"), "fitness")
-    total = add_fitness(gains).select(
-        F.col("owner_id").alias("rank"), F.col("fitness").alias("gain")
-    )
-    left = local.df.join(taken.select(F.col("dst").alias("rank")), "rank", "left_anti")
+    edges = ws.save(chunk_edges(local.df, rule, crowded).drop("src_id", "dst_id"), "chunk-edges")
+    taken = absorptions(edges, rule, ws, sizes)
+    passed_on = local.df.selectExpr("rank AS dst", "fitness + 1 AS fitness")
+    gains = taken.join(passed_on, "dst").selectExpr("src AS owner_id", "fitness")
+    total = add_fitness(gains).selectExpr("owner_id AS rank", "fitness AS gain")
+    left = local.df.join(taken.selectExpr("dst AS rank"), "rank", "left_anti")
     merged = left.join(total, "rank", "left")
-    gain = F.coalesce(F.col("gain"), F.lit(0).cast("bigint"))
-    return merged.withColumn("fitness", F.col("fitness") + gain).drop("gain")
+    others = [c for c in local.df.columns if c != "fitness"]
+    return merged.selectExpr(*others, "fitness + coalesce(gain, 0L) AS fitness")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,27 +12,25 @@ from ..rule import STRONG_FITNESS
 
 def fitness_counts(assigned: DataFrame) -> DataFrame:
     """``(owner_id, fitness)`` for suppressors with at least one other incident."""
-    credits = assigned.filter(F.col("owner_id") != F.col("row_id"))
+    credits = assigned.filter("owner_id <> row_id")
     return credits.groupBy("owner_id").agg(F.count(F.lit(1)).alias("fitness"))
 
 
 def add_fitness(*parts: DataFrame) -> DataFrame:
     """Sum several ``(owner_id, fitness)`` tables, one per stage or partition."""
-    both = parts[0]
-    for part in parts[1:]:
-        both = both.unionByName(part)
+    both = reduce(DataFrame.unionByName, parts)
     return both.groupBy("owner_id").agg(F.sum("fitness").alias("fitness"))
 
 
 def with_fitness(suppressors: DataFrame, counts: DataFrame) -> DataFrame:
     """Attach counts to their suppressors; those without any get 0."""
-    named = counts.select(F.col("owner_id").alias("row_id"), "fitness")
+    named = counts.selectExpr("owner_id AS row_id", "fitness AS counted")
     joined = suppressors.join(named, "row_id", "left")
-    return joined.withColumn("fitness", F.coalesce(F.col("fitness"), F.lit(0).cast("bigint")))
+    return joined.selectExpr(*suppressors.columns, "coalesce(counted, 0L) AS fitness")
 
 
 def nonzero(suppressors: DataFrame) -> DataFrame:
-    return suppressors.filter(F.col("fitness") != 0)
+    return suppressors.filter("fitness <> 0")
 
 
 def strong(suppressors: DataFrame, min_fitness: int = STRONG_FITNESS) -> DataFrame:
@@ -51,12 +51,16 @@ def run_summary(suppressors: DataFrame, min_fitness: int = STRONG_FITNESS) -> Da
 
 def conservation_check(suppressors: DataFrame, incidents: DataFrame) -> DataFrame:
     """One row: every incident is a suppressor or counted in exactly one fitness."""
-    totals = suppressors.agg(
-        F.count(F.lit(1)).alias("survivors"),
-        F.coalesce(F.sum("fitness"), F.lit(0)).cast("bigint").alias("suppressed"),
+    sides = incidents.selectExpr("1L AS incident", "0L AS survivor", "0L AS fitness").unionAll(
+        suppressors.selectExpr("0L", "1L", "fitness")
+    )
+    totals = sides.selectExpr(
+        "coalesce(sum(incident), 0L) AS incidents",
+        "coalesce(sum(survivor), 0L) AS survivors",
+        "coalesce(sum(fitness), 0L) AS suppressed",
+    )
+    return totals.selectExpr(
+        "*",
+        "incidents - suppressed AS raw_spots",
+        "incidents - suppressed = survivors AS conserved",
     )
-    size = incidents.agg(F.count(F.lit(1)).alias("incidents"))
-    # Both sides are one-row aggregates; the key keeps this an equi-join.
-    both = size.withColumn("k", F.lit(1)).join(totals.withColumn("k", F.lit(1)), "k").drop("k")
-    raw = F.col("incidents") - F.col("suppressed")
-    return both.withColumn("raw_spots", raw).withColumn("conserved", raw == F.col("survivors"))

@@ -14,11 +14,19 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import bearing_difference, fold_case, haversine_miles, unit_vector
+from ..functions import (
+    bearing_difference,
+    double,
+    fold_case,
+    haversine_miles,
+    is_finite,
+    unit_vector,
+)
 from ..rule import MatchRule
+from ..sizes import Sizes
 from ..workspace import Workspace
 
 # Relative allowance for rounding when a cell is sized or a chord is compared.
@@ -30,8 +38,6 @@ AXIS_SIZE = 1 << 21
 # Below this chord (about 6 cm) rounding could spoil a spot; equal coordinates are used instead.
 MIN_SPOT_CHORD = 1e-8
 
-# A cell with more rows than this is split over several tasks.
-SPLIT_ROWS = 1_000_000
 # At most this many cells are listed for splitting, so the list is safe to broadcast.
 MAX_SPLIT_CELLS = 100_000
 
@@ -47,64 +53,52 @@ def cell_side(rule: MatchRule) -> float:
     return max(2 * reach(rule), MIN_CELL_SIDE)
 
 
-def is_finite(lat: Column, lon: Column) -> Column:
-    """NaN sorts above every number, so one comparison rules out NaN and both infinities."""
-    top = F.lit(math.inf)
-    return (F.abs(lat) < top) & (F.abs(lon) < top)
+def _packed_cell(cx: str, cy: str, cz: str) -> str:
+    high = f"(({cx} + {AXIS_SHIFT}L) * {AXIS_SIZE}L + {cy} + {AXIS_SHIFT}L)"
+    return f"{high} * {AXIS_SIZE}L + {cz} + {AXIS_SHIFT}L"
 
 
-def _packed_cell(cx: Column, cy: Column, cz: Column) -> Column:
-    size, shift = F.lit(AXIS_SIZE).cast("bigint"), F.lit(AXIS_SHIFT).cast("bigint")
-    return ((cx + shift) * size + (cy + shift)) * size + (cz + shift)
-
-
-def key_columns(df: DataFrame, rule: MatchRule) -> list[Column]:
-    """The equality keys of the rule, strings folded so that case does not count."""
-    types = dict(df.dtypes)
-    extra = [
-        (fold_case(F.col(k)) if types[k] == "string" else F.col(k)).alias(k)
-        for k in rule.extra_keys
-    ]
-    return [fold_case(F.col("partial_location")).alias("loc_key"), *extra]
-
-
-def to_points(incidents: DataFrame, rule: MatchRule, rank: Column, *carry: str) -> DataFrame:
+def to_points(incidents: DataFrame, rule: MatchRule, rank: str, *carry: str) -> DataFrame:
     """Narrow table for the joins: rank, row_id, keys, geometry and the wide cell.
 
-    Rows without finite coordinates match nothing and are left out.
+    Rows without finite coordinates match nothing and are left out. Strings among the keys are
+    folded, so that case does not count.
     """
-    x, y, z = unit_vector(F.col("lat"), F.col("lon"))
-    narrow = incidents.filter(is_finite(F.col("lat"), F.col("lon"))).select(
-        rank.alias("rank"),
+    types = dict(incidents.dtypes)
+    extra = [
+        f"{fold_case(k) if types[k] == 'string' else k} AS {k}" for k in rule.extra_keys
+    ]
+    vector = [f"{sql} AS {axis}" for axis, sql in unit_vector("lat", "lon").items()]
+    narrow = incidents.filter(is_finite("lat", "lon")).selectExpr(
+        f"{rank} AS rank",
         "row_id",
-        *key_columns(incidents, rule),
+        f"{fold_case('partial_location')} AS loc_key",
+        *extra,
         "lat",
         "lon",
-        F.col("bearing").cast("int").alias("bearing"),
-        x.alias("x"),
-        y.alias("y"),
-        z.alias("z"),
+        "int(bearing) AS bearing",
+        *vector,
         *carry,
     )
-    side = F.lit(cell_side(rule))
-    return narrow.withColumn("cell", _packed_cell(*[F.floor(F.col(c) / side) for c in "xyz"]))
+    side = double(cell_side(rule))
+    cell = _packed_cell(*[f"floor({axis} / {side})" for axis in "xyz"])
+    return narrow.selectExpr("*", f"{cell} AS cell")
 
 
-def spot_columns(rule: MatchRule) -> list[Column]:
-    """Grouping columns such that all incidents of one group match one another."""
+def spot_columns(rule: MatchRule) -> list[str]:
+    """Grouping expressions such that all incidents of one group match one another."""
     if rule.bearing_limit > 180:
-        sector = F.lit(0)
+        sector = "0"
     else:
-        sector = F.floor(F.pmod(F.col("bearing"), F.lit(360)) / F.lit(int(rule.bearing_limit)))
-    keys = [F.col(k) for k in rule.keys]
+        sector = f"floor(pmod(bearing, 360) / {int(rule.bearing_limit)})"
     # A quarter of the sphere at most: rounding can hide a match only between opposite points.
     chord = min(rule.chord, math.sqrt(2.0))
     if chord < MIN_SPOT_CHORD:
-        place = [F.col("lat").alias("spot_x"), F.col("lon").alias("spot_y")]
+        place = ["lat", "lon"]
     else:
-        side = F.lit(chord * (1 - MARGIN) / math.sqrt(3.0))
-        place = [F.floor(F.col(c) / side).alias(f"spot_{c}") for c in "xyz"]
-    return [*keys, *place, sector.alias("spot_sector")]
+        side = double(chord * (1 - MARGIN) / math.sqrt(3.0))
+        place = [f"floor({axis} / {side})" for axis in "xyz"]
+    return [*rule.keys, *place, sector]
 
 
 def spread(anchors: DataFrame, rule: MatchRule) -> DataFrame:
@@ -112,54 +106,52 @@ def spread(anchors: DataFrame, rule: MatchRule) -> DataFrame:
 
     All columns get the prefix ``a_``.
     """
-    side, far = cell_side(rule), reach(rule)
-    out = anchors.select([F.col(c).alias(f"a_{c}") for c in anchors.columns if c != "cell"])
+    side, far = double(cell_side(rule)), reach(rule)
+    flat = double(far * far / 2 + 1e-12)
+    out = anchors.selectExpr([f"{c} AS a_{c}" for c in anchors.columns if c != "cell"])
     for axis in "xyz":
-        at = F.col(f"a_{axis}")
         # Extent of the spherical cap along this axis.
-        tilt = F.sqrt(F.greatest(F.lit(0.0), 1 - at * at))
-        half = F.lit(far) * (tilt + F.lit(MARGIN)) + F.lit(far * far / 2 + 1e-12)
-        low, high = F.floor((at - half) / F.lit(side)), F.floor((at + half) / F.lit(side))
-        out = out.withColumn(f"c{axis}", F.explode(F.sequence(low, high)))
-    return out.withColumn("a_cell", _packed_cell(F.col("cx"), F.col("cy"), F.col("cz"))).drop(
-        "cx", "cy", "cz"
-    )
+        tilt = f"sqrt(greatest(0D, 1 - a_{axis} * a_{axis}))"
+        half = f"({double(far)} * ({tilt} + {double(MARGIN)}) + {flat})"
+        low, high = (f"floor((a_{axis} {sign} {half}) / {side})" for sign in "-+")
+        out = out.selectExpr("*", f"explode(sequence({low}, {high})) AS c{axis}")
+    base = [c for c in out.columns if c not in ("cx", "cy", "cz")]
+    return out.selectExpr(*base, f"{_packed_cell('cx', 'cy', 'cz')} AS a_cell")
 
 
-def match_condition(rule: MatchRule) -> Column:
-    """Heading and distance of a point against an anchor, cheapest test first."""
+def near_condition(rule: MatchRule, point: str = "", anchor: str = "a_") -> str:
+    """Distance of a point to an anchor, the cheap chord test first; arguments are prefixes."""
     far = reach(rule)
-    chord_sq = sum(
-        ((F.col(c) - F.col(f"a_{c}")) * (F.col(c) - F.col(f"a_{c}")) for c in "xyz"), F.lit(0.0)
-    )
-    miles = haversine_miles(F.col("a_lat"), F.col("a_lon"), F.col("lat"), F.col("lon"))
+    gaps = [f"({point}{axis} - {anchor}{axis})" for axis in "xyz"]
+    chord_sq = " + ".join(f"{gap} * {gap}" for gap in gaps)
+    miles = haversine_miles(f"{anchor}lat", f"{anchor}lon", f"{point}lat", f"{point}lon")
     return (
-        (bearing_difference(F.col("a_bearing"), F.col("bearing")) < F.lit(int(rule.bearing_limit)))
-        & (chord_sq <= F.lit(far * far * (1 + MARGIN)))
-        & (miles <= F.lit(rule.radius_miles))
+        f"{chord_sq} <= {double(far * far * (1 + MARGIN))}"
+        f" AND {miles} <= {double(rule.radius_miles)}"
     )
 
 
-def near_condition(rule: MatchRule) -> Column:
-    """Distance only."""
-    miles = haversine_miles(F.col("a_lat"), F.col("a_lon"), F.col("lat"), F.col("lon"))
-    return miles <= F.lit(rule.radius_miles)
+def match_condition(rule: MatchRule, point: str = "", anchor: str = "a_") -> str:
+    """Heading and distance of a point against an anchor, cheapest test first."""
+    turn = bearing_difference(f"{anchor}bearing", f"{point}bearing")
+    return f"{turn} < {int(rule.bearing_limit)} AND {near_condition(rule, point, anchor)}"
 
 
 def crowded_cells(
-    points: DataFrame, rule: MatchRule, rows: int, ws: Workspace, split_rows: int = SPLIT_ROWS
+    points: DataFrame, rule: MatchRule, rows: int, ws: Workspace, sizes: Sizes = Sizes()
 ) -> DataFrame | None:
     """Cells to split over several tasks, with the number of ways; None if there can be none.
 
     A listed cell holds more than ``rows / MAX_SPLIT_CELLS`` rows, so the list stays below
     ``MAX_SPLIT_CELLS`` entries for any input.
     """
-    limit = max(split_rows, rows // MAX_SPLIT_CELLS)
+    limit = max(sizes.split_rows, rows // MAX_SPLIT_CELLS)
     if rows <= limit:
         return None
     counts = points.groupBy(*rule.keys, "cell").agg(F.count(F.lit(1)).alias("held"))
-    ways = F.ceil(F.col("held") / F.lit(limit)).cast("int")
-    listed = counts.filter(F.col("held") > limit).select(*rule.keys, "cell", ways.alias("ways"))
+    listed = counts.filter(f"held > {limit}").selectExpr(
+        *rule.keys, "cell", f"int(ceil(held / {limit})) AS ways"
+    )
     saved = ws.save(listed, "crowded-cells")
     return saved.df if saved.rows else None
 
@@ -170,8 +162,8 @@ def match_join(
     rule: MatchRule,
     how: str,
     crowded: DataFrame | None = None,
-    extra: Column | None = None,
-    condition: Column | None = None,
+    extra: str | None = None,
+    condition: str | None = None,
 ) -> DataFrame:
     """Join points with the anchors they match; anchor columns carry the prefix ``a_``.
 
@@ -179,25 +171,21 @@ def match_join(
     per cell). Rows of a crowded cell are dealt over several salts and its anchors copied to
     each of them.
     """
-    left = points
-    right = spread(anchors, rule)
-    on = [F.col(k) == F.col(f"a_{k}") for k in rule.keys] + [F.col("cell") == F.col("a_cell")]
+    left, right = points, spread(anchors, rule)
+    on = [f"{k} = a_{k}" for k in (*rule.keys, "cell")]
     if crowded is not None:
         cells = F.broadcast(crowded)
-        deal = F.pmod(F.xxhash64("rank"), F.col("ways")).cast("int")
-        left = left.join(cells, [*rule.keys, "cell"], "left").withColumn(
-            "salt", F.coalesce(deal, F.lit(0))
+        left = left.join(cells, [*rule.keys, "cell"], "left").selectExpr(
+            *points.columns, "coalesce(int(pmod(xxhash64(rank), ways)), 0) AS salt"
         )
-        left = left.drop("ways")
-        renamed = cells.select([F.col(c).alias(f"a_{c}") for c in crowded.columns])
+        renamed = cells.selectExpr([f"{c} AS a_{c}" for c in crowded.columns])
         right = right.join(renamed, [f"a_{k}" for k in (*rule.keys, "cell")], "left")
-        copies = F.sequence(F.lit(0), F.coalesce(F.col("a_ways"), F.lit(1)) - 1)
-        right = right.withColumn("a_salt", F.explode(copies)).drop("a_ways")
-        on.append(F.col("salt") == F.col("a_salt"))
+        right = right.selectExpr(
+            *[c for c in right.columns if c != "a_ways"],
+            "explode(sequence(0, coalesce(a_ways, 1) - 1)) AS a_salt",
+        )
+        on.append("salt = a_salt")
     if extra is not None:
         on.append(extra)
-    on.append(match_condition(rule) if condition is None else condition)
-    full = on[0]
-    for term in on[1:]:
-        full = full & term
-    return left.join(right, full, how)
+    on.append(condition or match_condition(rule))
+    return left.join(right, F.expr(" AND ".join(on)), how)

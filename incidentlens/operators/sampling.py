@@ -7,16 +7,17 @@ one prefix (65,536 groups at most), until the rows sharing the prefix are few en
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sample_digest
+from ..sizes import Sizes
 
-PREFIX_DIGITS = 4
 DIGEST_DIGITS = 32
-SORT_ROWS = 10_000
+MAX_DIGITS = 4
 
 
 def sample_size(rows: int, pct: int) -> int:
@@ -34,50 +35,42 @@ class SampleCut:
     digest: str | None
     row_id: int | None
 
-    def contains(self) -> Column:
-        """True for sampled rows."""
+    def contains(self) -> str:
+        """SQL condition, true for sampled rows."""
         if self.digest is None:
-            return F.lit(False)
-        digest = sample_digest(F.col("row_id"), self.seed)
-        return (digest < self.digest) | (
-            (digest == self.digest) & (F.col("row_id") <= self.row_id)
-        )
+            return "false"
+        digest = sample_digest("row_id", self.seed)
+        last = f"'{self.digest}'"
+        return f"({digest} < {last} OR ({digest} = {last} AND row_id <= {self.row_id}L))"
 
 
 def find_cut(
-    incidents: DataFrame, size: int, seed: int, sort_rows: int = SORT_ROWS
+    incidents: DataFrame, rows: int, size: int, seed: int, sizes: Sizes = Sizes()
 ) -> SampleCut:
-    """Locate the ``size``-th row of the sample order; the driver sees one row per pass."""
+    """Locate the ``size``-th of ``rows`` rows in sample order; the driver sees one row per pass."""
     if size <= 0:
         return SampleCut(seed, None, None)
-    rows = incidents.select("row_id").withColumn(
-        "digest", sample_digest(F.col("row_id"), seed)
-    )
-    wanted, prefix = size, ""
-    while len(prefix) < DIGEST_DIGITS:
-        digits = len(prefix) + PREFIX_DIGITS
+    if size > rows:
+        raise ValueError("the sample is larger than the table")
+    digests = incidents.selectExpr("row_id", f"{sample_digest('row_id', seed)} AS digest")
+    wanted, held, prefix = size, rows, ""
+    while held > sizes.sort_rows and len(prefix) < DIGEST_DIGITS:
+        # Digits that should leave few enough rows; at most 16^4 groups reach the window.
+        digits = min(MAX_DIGITS, math.ceil(math.log(held / sizes.sort_rows, 16)) + 1)
         groups = (
-            rows.filter(F.col("digest").startswith(prefix))
-            .groupBy(F.substring("digest", 1, digits).alias("prefix"))
+            digests.filter(F.col("digest").startswith(prefix))
+            .groupBy(F.substring("digest", 1, len(prefix) + digits).alias("prefix"))
             .agg(F.count(F.lit(1)).alias("held"))
         )
-        # At most 16^4 groups reach this window.
-        upto = F.sum("held").over(
-            Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)
-        )
-        hit = groups.withColumn("upto", upto).filter(F.col("upto") >= wanted)
-        found = hit.orderBy("prefix").first()
-        if found is None:
-            raise ValueError("the sample is larger than the table")
+        order = Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)
+        upto = groups.withColumn("upto", F.sum("held").over(order))
+        found = upto.filter(F.col("upto") >= wanted).orderBy("prefix").first()
         wanted -= found["upto"] - found["held"]
-        prefix = found["prefix"]
-        if found["held"] <= sort_rows:
-            break
+        held, prefix = found["held"], found["prefix"]
     last = (
-        rows.filter(F.col("digest").startswith(prefix))
+        digests.filter(F.col("digest").startswith(prefix))
         .orderBy("digest", "row_id")
         .offset(wanted - 1)
-        .limit(1)
         .first()
     )
     return SampleCut(seed, last["digest"], last["row_id"])
@@ -85,11 +78,10 @@ def find_cut(
 
 def draw_sample(incidents: DataFrame, cut: SampleCut) -> DataFrame:
     """The sampled rows with their ``digest``; sample order is (digest, row_id)."""
-    return incidents.filter(cut.contains()).withColumn(
-        "digest", sample_digest(F.col("row_id"), cut.seed)
-    )
+    digest = sample_digest("row_id", cut.seed)
+    return incidents.filter(cut.contains()).selectExpr("*", f"{digest} AS digest")
 
 
 def without_sample(incidents: DataFrame, cut: SampleCut) -> DataFrame:
     """All other rows, by comparing with the cut-off; no join."""
-    return incidents.filter(~cut.contains())
+    return incidents.filter(f"NOT {cut.contains()}")

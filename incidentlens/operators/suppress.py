@@ -11,18 +11,22 @@ compares rows with heads only: linear in the rows, whatever their density.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..rule import MatchRule
+from ..sizes import Sizes
 from ..workspace import SavedTable, Workspace
-from .grid import GEOMETRY, match_join, spot_columns
+from .grid import GEOMETRY, match_condition, match_join, spot_columns
 
 
 def spot_heads(points: DataFrame, rule: MatchRule) -> DataFrame:
     """The lowest-ranked row of every spot; partial aggregation leaves one row per spot and task."""
-    picked = [F.min_by(c, "rank").alias(c) for c in ("row_id", *GEOMETRY, "cell")]
-    spots = points.groupBy(*spot_columns(rule)).agg(F.min("rank").alias("rank"), *picked)
+    picked = [f"min_by({c}, rank) AS {c}" for c in ("row_id", *GEOMETRY, "cell")]
+    by = [F.expr(sql) for sql in spot_columns(rule)]
+    spots = points.groupBy(*by).agg(*[F.expr(sql) for sql in ("min(rank) AS rank", *picked)])
     return spots.select("rank", "row_id", *rule.keys, *GEOMETRY, "cell")
 
 
@@ -30,15 +34,24 @@ def head_edges(
     points: DataFrame, rule: MatchRule, crowded: DataFrame | None = None
 ) -> DataFrame:
     """Each spot head (``src_id``) with the higher-ranked rows it matches (``dst_id``)."""
-    pairs = match_join(
-        points,
-        spot_heads(points, rule),
-        rule,
-        "inner",
-        crowded,
-        extra=F.col("rank") > F.col("a_rank"),
+    heads = spot_heads(points, rule)
+    pairs = match_join(points, heads, rule, "inner", crowded, extra="rank > a_rank")
+    return pairs.selectExpr("a_row_id AS src_id", "row_id AS dst_id")
+
+
+def ordered_fold(points: DataFrame, rule: MatchRule) -> DataFrame:
+    """Greedy suppression read literally: fold each key group's rows in rank order.
+
+    For few rows only, as a group is one array.
+    """
+    fields = ["rank", "row_id", *GEOMETRY, "cell"]
+    rows = F.expr(f"array_sort(collect_list(struct({', '.join(fields)})))")
+    kept = f"""aggregate(rows, filter(rows, p -> false), (kept, p) ->
+        IF(exists(kept, k -> {match_condition(rule, "p.", "k.")}), kept, concat(kept, array(p))))"""
+    groups = points.groupBy(*rule.keys).agg(rows.alias("rows"))
+    return groups.selectExpr(*rule.keys, f"inline({kept})").select(
+        "rank", "row_id", *rule.keys, *GEOMETRY, "cell"
     )
-    return pairs.select(F.col("a_row_id").alias("src_id"), F.col("row_id").alias("dst_id"))
 
 
 def greedy_survivors(
@@ -46,38 +59,26 @@ def greedy_survivors(
     rule: MatchRule,
     ws: Workspace,
     crowded: DataFrame | None = None,
+    sizes: Sizes = Sizes(),
 ) -> DataFrame:
     """Rows that survive greedy suppression in ``rank`` order, with their geometry.
 
-    Ends when nothing is undecided; the lowest undecided rank is settled in every round, so it
-    always does.
+    The lowest undecided rank is settled in every round, so rounds come to an end; the last few
+    rows are settled by one fold instead of several more rounds.
     """
     columns = ["rank", "row_id", *rule.keys, *GEOMETRY, "cell"]
-    undecided = points.df.select(*columns)
-    if not rule.can_match:
+    undecided, left, kept_rounds = points.df.select(*columns), points.rows, []
+    if not rule.can_match or not left:
         return undecided
-    left, kept_rounds = points.rows, []
-    while left:
-        heads = spot_heads(undecided, rule)
-        blocked = (
-            match_join(
-                undecided, heads, rule, "inner", crowded, extra=F.col("rank") < F.col("a_rank")
-            )
-            .select(F.col("a_rank").alias("rank"))
-            .distinct()
-        )
+    while left > sizes.finish_rows:
+        heads = ws.write(spot_heads(undecided, rule), "heads")
+        lower = match_join(undecided, heads, rule, "inner", crowded, extra="rank < a_rank")
+        blocked = lower.selectExpr("a_rank AS rank").distinct()
         kept = ws.write(heads.join(blocked, "rank", "left_anti").select(*columns), "kept")
         kept_rounds.append(kept)
         rest = match_join(undecided, kept, rule, "left_anti", crowded).select(*columns)
         saved = ws.save(rest, "undecided")
         undecided, left = saved.df, saved.rows
-    return _all_of(kept_rounds, points.df.select(*columns))
-
-
-def _all_of(parts: list[DataFrame], like: DataFrame) -> DataFrame:
-    if not parts:
-        return like.limit(0)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    if left:
+        kept_rounds.append(ws.write(ordered_fold(undecided, rule), "kept"))
+    return reduce(DataFrame.unionByName, kept_rounds)

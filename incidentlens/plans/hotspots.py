@@ -9,18 +9,26 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import is_finite
 from ..operators.assign import assign_first, assign_nearest
 from ..operators.chunks import merge_chunks
-from ..operators.fitness import conservation_check, fitness_counts, nonzero, run_summary, strong
-from ..operators.fitness import with_fitness
-from ..operators.grid import GEOMETRY, SPLIT_ROWS, crowded_cells, is_finite, to_points
+from ..operators.fitness import (
+    conservation_check,
+    fitness_counts,
+    nonzero,
+    run_summary,
+    strong,
+    with_fitness,
+)
+from ..operators.grid import GEOMETRY, crowded_cells, to_points
 from ..operators.ordering import with_rank
 from ..operators.sampling import draw_sample, find_cut, sample_size
 from ..operators.suppress import greedy_survivors
 from ..rule import STRONG_FITNESS, MatchRule
+from ..sizes import Sizes
 from ..workspace import SavedTable, Workspace
 
 OUTPUT = ("row_id", "lat", "lon", "fitness")
@@ -62,12 +70,12 @@ class _Stages:
         incidents: DataFrame,
         rule: MatchRule,
         workspace: Workspace | None,
-        split_rows: int,
+        sizes: Sizes,
         nearest: bool = False,
     ):
         self.incidents, self.rule = incidents, rule
         self.ws = workspace or Workspace(incidents.sparkSession)
-        self.split_rows = split_rows
+        self.sizes = sizes
         self.assign = assign_nearest if nearest else assign_first
         self.seconds: dict[str, float] = {}
         self._started = time.monotonic()
@@ -78,18 +86,18 @@ class _Stages:
         self._started = now
 
     def crowded(self, points: DataFrame, rows: int, rule: MatchRule) -> DataFrame | None:
-        return crowded_cells(points, rule, rows, self.ws, self.split_rows)
+        return crowded_cells(points, rule, rows, self.ws, self.sizes)
 
     def thin_sample(self, rows: int, pct: int, seed: int) -> DataFrame | None:
         """Survivors of the sample, or None when the sample is empty."""
         size = sample_size(rows, pct)
         if not size:
             return None
-        cut = find_cut(self.incidents, size, seed)
+        cut = find_cut(self.incidents, rows, size, seed, self.sizes)
         ranked = with_rank(draw_sample(self.incidents, cut), "digest", "row_id")
-        sample = self.ws.save(to_points(ranked, self.rule, F.col("rank")), "sample")
+        sample = self.ws.save(to_points(ranked, self.rule, "rank"), "sample")
         crowded = self.crowded(sample.df, sample.rows, self.rule)
-        kept = greedy_survivors(sample, self.rule, self.ws, crowded)
+        kept = greedy_survivors(sample, self.rule, self.ws, crowded, self.sizes)
         self.lap("thin_sample")
         return kept
 
@@ -97,7 +105,7 @@ class _Stages:
         self, rows: int, kept: DataFrame | None, *carry: str
     ) -> tuple[DataFrame | None, SavedTable]:
         """Owners of the incidents the sample's survivors match, and the unmatched points."""
-        points = to_points(self.incidents, self.rule, F.col("row_id"), *carry)
+        points = to_points(self.incidents, self.rule, "row_id", *carry)
         if kept is None:
             tail = self.ws.save(points, "tail")
             self.lap("credit")
@@ -106,30 +114,29 @@ class _Stages:
         owned = self.assign(points, kept, self.rule, crowded)
         # One pass writes both results; of an owned row only the owner is kept.
         geometry = [
-            F.when(F.col("owner_id").isNull(), F.col(c)).alias(c)
+            f"CASE WHEN owner_id IS NULL THEN {c} END AS {c}"
             for c in points.columns
             if c not in ("rank", "row_id")
         ]
-        credited = self.ws.write(owned.select("rank", "row_id", "owner_id", *geometry), "owned")
-        matched = credited.filter(F.col("owner_id").isNotNull()).select("row_id", "owner_id")
-        open_points = credited.filter(F.col("owner_id").isNull()).select(*points.columns)
+        credited = self.ws.write(owned.selectExpr("rank", "row_id", "owner_id", *geometry), "owned")
+        matched = credited.filter("owner_id IS NOT NULL").select("row_id", "owner_id")
+        open_points = credited.filter("owner_id IS NULL").select(*points.columns)
         tail = SavedTable(open_points, open_points.count())
         self.lap("credit")
         return matched, tail
 
     def outside(self) -> DataFrame:
         """Rows without finite coordinates: they match nothing and stand for themselves."""
-        lat, lon = F.col("lat"), F.col("lon")
-        return self.incidents.filter(~is_finite(lat, lon)).select("row_id", "lat", "lon")
+        odd = self.incidents.filter(f"NOT ({is_finite('lat', 'lon')})")
+        return odd.select("row_id", "lat", "lon")
 
 
 def _zero(df: DataFrame, stage: str) -> DataFrame:
-    zero = F.lit(0).cast("bigint").alias("fitness")
-    return df.select("row_id", "lat", "lon", zero, F.lit(stage).alias("stage"))
+    return df.selectExpr("row_id", "lat", "lon", "0L AS fitness", f"'{stage}' AS stage")
 
 
 def _staged(df: DataFrame, stage: str) -> DataFrame:
-    return df.select(*OUTPUT, F.lit(stage).alias("stage"))
+    return df.selectExpr(*OUTPUT, f"'{stage}' AS stage")
 
 
 def _with_owned(kept: DataFrame, owners: DataFrame, stage: str) -> DataFrame:
@@ -138,8 +145,7 @@ def _with_owned(kept: DataFrame, owners: DataFrame, stage: str) -> DataFrame:
 
 def _nothing_matches(stages: _Stages) -> HotspotRun:
     alone = _zero(stages.incidents, "rest")
-    ids = F.col("row_id")
-    owners = stages.incidents.select("row_id", ids.alias("owner_id"), F.lit("rest").alias("stage"))
+    owners = stages.incidents.selectExpr("row_id", "row_id AS owner_id", "'rest' AS stage")
     return HotspotRun(stages.incidents, alone, owners, stages.ws, stages.seconds)
 
 
@@ -152,7 +158,7 @@ def hotspots(
     rule: MatchRule | None = None,
     nearest: bool = False,
     workspace: Workspace | None = None,
-    split_rows: int = SPLIT_ROWS,
+    sizes: Sizes = Sizes(),
 ) -> HotspotRun:
     """Exact selection.
 
@@ -162,14 +168,14 @@ def hotspots(
     to the closest instead of the first matching suppressor.
     """
     rule = rule or MatchRule(mileage)
-    stages = _Stages(incidents, rule, workspace, split_rows, nearest)
+    stages = _Stages(incidents, rule, workspace, sizes, nearest)
     if not rule.can_match:
         return _nothing_matches(stages)
     rows = incidents.count()
     kept = stages.thin_sample(rows, pct, seed)
     matched, tail = stages.credit(rows, kept)
     crowded = stages.crowded(tail.df, tail.rows, rule)
-    late = greedy_survivors(tail, rule, stages.ws, crowded)
+    late = greedy_survivors(tail, rule, stages.ws, crowded, sizes)
     late_owned = stages.ws.write(
         stages.assign(tail.df, late, rule, crowded).select("row_id", "owner_id"), "late-owned"
     )
@@ -187,21 +193,20 @@ def hotspots(
 def dedupe_points(
     incidents: DataFrame,
     mileage: float,
-    order: Column | str = "row_id",
+    order: str = "row_id",
     *,
     rule: MatchRule | None = None,
     workspace: Workspace | None = None,
-    split_rows: int = SPLIT_ROWS,
+    sizes: Sizes = Sizes(),
 ) -> HotspotRun:
-    """Greedy suppression of a whole table in the given BIGINT order, without a sample."""
+    """Greedy suppression of a whole table by a unique BIGINT ``order`` column, without a sample."""
     rule = rule or MatchRule(mileage)
-    stages = _Stages(incidents, rule, workspace, split_rows)
+    stages = _Stages(incidents, rule, workspace, sizes)
     if not rule.can_match:
         return _nothing_matches(stages)
-    rank = F.col(order) if isinstance(order, str) else order
-    points = stages.ws.save(to_points(incidents, rule, rank), "points")
+    points = stages.ws.save(to_points(incidents, rule, order), "points")
     crowded = stages.crowded(points.df, points.rows, rule)
-    kept = greedy_survivors(points, rule, stages.ws, crowded)
+    kept = greedy_survivors(points, rule, stages.ws, crowded, sizes)
     owned = stages.ws.write(
         assign_first(points.df, kept, rule, crowded).select("row_id", "owner_id"), "owned"
     )
@@ -220,7 +225,7 @@ def hotspots_chunked(
     chunk_col: str = "chunk_id",
     rule: MatchRule | None = None,
     workspace: Workspace | None = None,
-    split_rows: int = SPLIT_ROWS,
+    sizes: Sizes = Sizes(),
 ) -> HotspotRun:
     """Approximate selection: the rest is thinned out per chunk, then chunks are merged.
 
@@ -229,15 +234,15 @@ def hotspots_chunked(
     """
     rule = rule or MatchRule(mileage)
     incidents = incidents.withColumn("chunk_id", F.col(chunk_col).cast("bigint"))
-    stages = _Stages(incidents, rule, workspace, split_rows)
+    stages = _Stages(incidents, rule, workspace, sizes)
     if not rule.can_match:
         return _nothing_matches(stages)
     rows = incidents.count()
     kept = stages.thin_sample(rows, pct, seed)
     matched, tail = stages.credit(rows, kept, "chunk_id")
-    local = thin_chunks(tail, rule, stages.ws, split_rows)
+    local = thin_chunks(tail, rule, stages.ws, sizes)
     crowded = stages.crowded(local.df, local.rows, rule)
-    merged = stages.ws.write(merge_chunks(local, rule, stages.ws, crowded), "merged")
+    merged = stages.ws.write(merge_chunks(local, rule, stages.ws, crowded, sizes), "merged")
     stages.lap("thin_rest")
     suppressors = _staged(merged, "rest").unionByName(_zero(stages.outside(), "rest"))
     if kept is not None:
@@ -246,15 +251,15 @@ def hotspots_chunked(
 
 
 def thin_chunks(
-    points: SavedTable, rule: MatchRule, ws: Workspace, split_rows: int = SPLIT_ROWS
+    points: SavedTable, rule: MatchRule, ws: Workspace, sizes: Sizes = Sizes()
 ) -> SavedTable:
     """Survivors of greedy suppression inside each chunk with their local fitness.
 
     Ranked by (chunk_id, rank), the order in which chunks are merged.
     """
     within = rule.also_equal("chunk_id")
-    crowded = crowded_cells(points.df, within, points.rows, ws, split_rows)
-    kept = greedy_survivors(points, within, ws, crowded)
+    crowded = crowded_cells(points.df, within, points.rows, ws, sizes)
+    kept = greedy_survivors(points, within, ws, crowded, sizes)
     counts = fitness_counts(assign_first(points.df, kept, within, crowded))
     ranked = with_rank(with_fitness(kept, counts), "chunk_id", "rank")
     return ws.save(
