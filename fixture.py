@@ -26,3 +26,32 @@ FROM events
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView("events")
     return spark.sql(INCIDENTS_SQL)
+
+
+# Lines as they would stand in a file. The first four classes of ``broken`` lines cannot be read,
+# the fifth has a blank road name, which is valid.
+LINE_SQL = r"""
+SELECT row_id,
+       concat_ws('\t', CAST(lat AS STRING), CAST(lon AS STRING), CAST(bearing AS STRING),
+                 partial_location, partial_location, '2024-01-01', '12:00', weekday) AS line
+FROM incidents
+"""
+BROKEN_LINE_SQL = r"""
+SELECT row_id,
+       CASE row_id % 50
+         WHEN 0 THEN concat_ws('\t', CAST(lat AS STRING), CAST(lon AS STRING), '12')
+         WHEN 1 THEN concat_ws('\t', 'north', CAST(lon AS STRING), '12', partial_location)
+         WHEN 2 THEN concat_ws('\t', CAST(lat AS STRING), '', '12', partial_location)
+         WHEN 3 THEN concat_ws('\t', CAST(lat AS STRING), CAST(lon AS STRING), '12.5', 'A1')
+         WHEN 4 THEN concat_ws('\t', CAST(lat AS STRING), CAST(lon AS STRING),
+                               CAST(bearing AS STRING), '', 'somewhere')
+         ELSE concat_ws('\t', CAST(lat AS STRING), CAST(lon AS STRING),
+                        CAST(bearing AS STRING), partial_location)
+       END AS line
+FROM incidents
+"""
+
+
+def lines(spark: SparkSession, sf_dir: str, broken: bool) -> DataFrame:
+    incidents(spark, sf_dir).createOrReplaceTempView("incidents")
+    return spark.sql(BROKEN_LINE_SQL if broken else LINE_SQL)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import haversine_miles
+from ..functions import bearing_difference, haversine_miles
 from ..rule import MatchRule
 from .grid import match_join, near_condition
 
@@ -61,7 +61,10 @@ def match_pairs(
 def near_pairs(
     points: DataFrame, kept: DataFrame, rule: MatchRule, crowded: DataFrame | None = None
 ) -> DataFrame:
-    """(incident, suppressor) pairs on one road within the radius, whatever their headings."""
+    """(incident, suppressor) pairs on one road within the radius, whatever their headings.
+
+    ``turn`` is the angle between the headings.
+    """
     pairs = match_join(
         points,
         kept,
@@ -71,4 +74,7 @@ def near_pairs(
         extra="row_id <> a_row_id",
         condition=near_condition(rule),
     )
-    return pairs.selectExpr("row_id", "a_row_id AS suppressor_id", f"{MILES_APART} AS miles")
+    turn = bearing_difference("a_bearing", "bearing")
+    return pairs.selectExpr(
+        "row_id", "a_row_id AS suppressor_id", f"{MILES_APART} AS miles", f"{turn} AS turn"
+    )

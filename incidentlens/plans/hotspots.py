@@ -62,7 +62,7 @@ class HotspotRun:
         return conservation_check(self.suppressors, self.incidents)
 
 
-class _Stages:
+class Stages:
     """Work shared by the two modes; every stage ends in saved tables."""
 
     def __init__(
@@ -143,7 +143,7 @@ def _with_owned(kept: DataFrame, owners: DataFrame, stage: str) -> DataFrame:
     return _staged(with_fitness(kept, fitness_counts(owners)), stage)
 
 
-def _nothing_matches(stages: _Stages) -> HotspotRun:
+def _nothing_matches(stages: Stages) -> HotspotRun:
     alone = _zero(stages.incidents, "rest")
     owners = stages.incidents.selectExpr("row_id", "row_id AS owner_id", "'rest' AS stage")
     return HotspotRun(stages.incidents, alone, owners, stages.ws, stages.seconds)
@@ -168,7 +168,7 @@ def hotspots(
     to the closest instead of the first matching suppressor.
     """
     rule = rule or MatchRule(mileage)
-    stages = _Stages(incidents, rule, workspace, sizes, nearest)
+    stages = Stages(incidents, rule, workspace, sizes, nearest)
     if not rule.can_match:
         return _nothing_matches(stages)
     rows = incidents.count()
@@ -201,7 +201,7 @@ def dedupe_points(
 ) -> HotspotRun:
     """Greedy suppression of a whole table by a unique BIGINT ``order`` column, without a sample."""
     rule = rule or MatchRule(mileage)
-    stages = _Stages(incidents, rule, workspace, sizes)
+    stages = Stages(incidents, rule, workspace, sizes)
     if not rule.can_match:
         return _nothing_matches(stages)
     points = stages.ws.save(to_points(incidents, rule, order), "points")
@@ -234,7 +234,7 @@ def hotspots_chunked(
     """
     rule = rule or MatchRule(mileage)
     incidents = incidents.withColumn("chunk_id", F.col(chunk_col).cast("bigint"))
-    stages = _Stages(incidents, rule, workspace, sizes)
+    stages = Stages(incidents, rule, workspace, sizes)
     if not rule.can_match:
         return _nothing_matches(stages)
     rows = incidents.count()
