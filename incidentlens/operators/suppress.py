@@ -25,7 +25,8 @@ from .grid import GEOMETRY, match_condition, match_join, spot_columns
 def spot_heads(points: DataFrame, rule: MatchRule) -> DataFrame:
     """The lowest-ranked row of every spot; partial aggregation leaves one row per spot and task."""
     picked = [f"min_by({c}, rank) AS {c}" for c in ("row_id", *GEOMETRY, "cell")]
-    by = [F.expr(sql) for sql in spot_columns(rule)]
+    spot = spot_columns(rule)[len(rule.keys) :]
+    by = [*rule.keys, *[F.expr(f"{sql} AS spot_{i}") for i, sql in enumerate(spot)]]
     spots = points.groupBy(*by).agg(*[F.expr(sql) for sql in ("min(rank) AS rank", *picked)])
     return spots.select("rank", "row_id", *rule.keys, *GEOMETRY, "cell")
 
