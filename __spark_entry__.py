@@ -31,7 +31,7 @@ from incidentlens.operators.sampling import (  # noqa: E402
     sample_size,
     without_sample,
 )
-from incidentlens.operators.suppress import greedy_survivors, head_edges  # noqa: E402
+from incidentlens.operators.suppress import head_edges  # noqa: E402
 from incidentlens.plans.hotspots import Stages, thin_chunks  # noqa: E402
 from incidentlens.sources import (  # noqa: E402
     ParsedIncidents,
@@ -42,6 +42,7 @@ from incidentlens.sources import (  # noqa: E402
 )
 
 RULE = MatchRule(MILEAGE)
+ROUNDS_ONLY = Sizes(fold_rows=0)
 KEYED = RULE.also_equal("weekday")
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -207,7 +208,8 @@ def fitness_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def greedy_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = dedupe_points(fixture.incidents(spark, sf_dir), MILEAGE)
+    """Settled by rounds alone, as on roads with very many incidents."""
+    run = dedupe_points(fixture.incidents(spark, sf_dir), MILEAGE, sizes=ROUNDS_ONLY)
     return run.owners.selectExpr("row_id", "owner_id = row_id AS kept", "owner_id")
 
 
@@ -254,8 +256,9 @@ def chunk_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settled by rounds alone, as on roads with very many incidents."""
     local, ws = _chunk_survivors(spark, sf_dir)
-    return chunks.merge_chunks(local, RULE, ws).select("row_id", "chunk_id", "fitness")
+    return chunks.merge_chunks(local, RULE, ws, sizes=ROUNDS_ONLY).select("row_id", "chunk_id", "fitness")
 
 
 def conservation_check(spark: SparkSession, sf_dir: str) -> DataFrame:

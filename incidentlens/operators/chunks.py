@@ -17,6 +17,7 @@ from ..sizes import Sizes
 from ..workspace import SavedTable, Workspace
 from .fitness import add_fitness
 from .grid import GEOMETRY, match_join
+from .suppress import largest_group
 
 
 def even_chunks(rows: int, chunks: int) -> Column:
@@ -45,7 +46,10 @@ def chunk_edges(
 
 
 def ordered_edge_fold(edges: DataFrame, rule: MatchRule) -> DataFrame:
-    """The taken edges, by trying each key group's edges one after the other; for few edges only."""
+    """The taken edges, by trying each key group's edges one after the other.
+
+    A group becomes one array, so its size must be known to be small.
+    """
     rows = F.expr("array_sort(collect_list(struct(src, dst, dst_chunk)))")
     conflict = "t.dst = e.dst OR t.dst = e.src OR (t.src = e.src AND t.dst_chunk = e.dst_chunk)"
     taken = f"""aggregate(rows, filter(rows, e -> false), (taken, e) ->
@@ -55,7 +59,7 @@ def ordered_edge_fold(edges: DataFrame, rule: MatchRule) -> DataFrame:
 
 
 def absorptions(
-    edges: SavedTable, rule: MatchRule, ws: Workspace, sizes: Sizes = Sizes()
+    edges: DataFrame, rule: MatchRule, ws: Workspace, sizes: Sizes = Sizes()
 ) -> DataFrame:
     """The edges taken when all are tried in (src, dst) order: ``(src, dst, dst_chunk)``.
 
@@ -65,10 +69,8 @@ def absorptions(
     prevent it any more.
     """
     columns = [*rule.keys, "src", "dst", "dst_chunk"]
-    undecided, left, taken_rounds = edges.df.select(*columns), edges.rows, []
-    if not left:
-        return undecided.select("src", "dst", "dst_chunk")
-    while left > sizes.finish_rows:
+    undecided, taken_rounds = edges.select(*columns), []
+    while (most := largest_group(undecided, rule)) > sizes.fold_rows:
         first_src = undecided.groupBy("dst").agg(F.min("src").alias("src"))
         first_dst = undecided.groupBy("src", "dst_chunk").agg(F.min("dst").alias("dst"))
         targets = undecided.selectExpr("dst AS src").distinct()
@@ -81,10 +83,11 @@ def absorptions(
             .join(gone.selectExpr("dst AS src"), "src", "left_anti")
             .join(taken.select("src", "dst_chunk"), ["src", "dst_chunk"], "left_anti")
         )
-        saved = ws.save(rest.select(*columns), "undecided-edges")
-        undecided, left = saved.df, saved.rows
-    if left:
+        undecided = ws.write(rest.select(*columns), "undecided-edges")
+    if most:
         taken_rounds.append(ws.write(ordered_edge_fold(undecided, rule), "taken"))
+    if not taken_rounds:
+        return undecided.select("src", "dst", "dst_chunk")
     return reduce(DataFrame.unionByName, taken_rounds)
 
 
@@ -98,7 +101,8 @@ def merge_chunks(
     """Survivors of the merge with ``fitness`` summed up: own + (absorbed + 1) for each absorbed."""
     if not rule.can_match:
         return local.df
-    edges = ws.save(chunk_edges(local.df, rule, crowded).drop("src_id", "dst_id"), "chunk-edges")
+    found = chunk_edges(local.df, rule, crowded).drop("src_id", "dst_id")
+    edges = ws.write(found, "chunk-edges")
     taken = absorptions(edges, rule, ws, sizes)
     passed_on = local.df.selectExpr("rank AS dst", "fitness + 1 AS fitness")
     gains = taken.join(passed_on, "dst").selectExpr("src AS owner_id", "fitness")

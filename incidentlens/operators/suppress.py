@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..rule import MatchRule
 from ..sizes import Sizes
-from ..workspace import SavedTable, Workspace
+from ..workspace import Workspace
 from .grid import GEOMETRY, match_condition, match_join, spot_columns
 
 
@@ -43,7 +43,7 @@ def head_edges(
 def ordered_fold(points: DataFrame, rule: MatchRule) -> DataFrame:
     """Greedy suppression read literally: fold each key group's rows in rank order.
 
-    For few rows only, as a group is one array.
+    A group becomes one array, so its size must be known to be small.
     """
     fields = ["rank", "row_id", *GEOMETRY, "cell"]
     rows = F.expr(f"array_sort(collect_list(struct({', '.join(fields)})))")
@@ -55,8 +55,14 @@ def ordered_fold(points: DataFrame, rule: MatchRule) -> DataFrame:
     )
 
 
+def largest_group(rows: DataFrame, rule: MatchRule) -> int:
+    """Rows in the largest key group; counts are combined per task before they are shuffled."""
+    groups = rows.groupBy(*rule.keys).agg(F.count(F.lit(1)).alias("held"))
+    return groups.agg(F.max("held").alias("most")).first().most or 0
+
+
 def greedy_survivors(
-    points: SavedTable,
+    points: DataFrame,
     rule: MatchRule,
     ws: Workspace,
     crowded: DataFrame | None = None,
@@ -64,22 +70,22 @@ def greedy_survivors(
 ) -> DataFrame:
     """Rows that survive greedy suppression in ``rank`` order, with their geometry.
 
-    The lowest undecided rank is settled in every round, so rounds come to an end; the last few
-    rows are settled by one fold instead of several more rounds.
+    Rounds go on while any road has many undecided rows; they come to an end, as each settles at
+    least the lowest undecided rank of every road. What is then left is small per road and
+    settled by one fold, all roads side by side.
     """
     columns = ["rank", "row_id", *rule.keys, *GEOMETRY, "cell"]
-    undecided, left, kept_rounds = points.df.select(*columns), points.rows, []
-    if not rule.can_match or not left:
+    undecided, kept_rounds = points.select(*columns), []
+    if not rule.can_match:
         return undecided
-    while left > sizes.finish_rows:
+    while (most := largest_group(undecided, rule)) > sizes.fold_rows:
         heads = ws.write(spot_heads(undecided, rule), "heads")
         lower = match_join(undecided, heads, rule, "inner", crowded, extra="rank < a_rank")
         blocked = lower.selectExpr("a_rank AS rank").distinct()
         kept = ws.write(heads.join(blocked, "rank", "left_anti").select(*columns), "kept")
         kept_rounds.append(kept)
-        rest = match_join(undecided, kept, rule, "left_anti", crowded).select(*columns)
-        saved = ws.save(rest, "undecided")
-        undecided, left = saved.df, saved.rows
-    if left:
+        rest = match_join(undecided, kept, rule, "left_anti", crowded)
+        undecided = ws.write(rest.select(*columns), "undecided")
+    if most:
         kept_rounds.append(ws.write(ordered_fold(undecided, rule), "kept"))
-    return reduce(DataFrame.unionByName, kept_rounds)
+    return reduce(DataFrame.unionByName, kept_rounds) if kept_rounds else undecided

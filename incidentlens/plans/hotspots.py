@@ -97,7 +97,7 @@ class Stages:
         ranked = with_rank(draw_sample(self.incidents, cut), "digest", "row_id")
         sample = self.ws.save(to_points(ranked, self.rule, "rank"), "sample")
         crowded = self.crowded(sample.df, sample.rows, self.rule)
-        kept = greedy_survivors(sample, self.rule, self.ws, crowded, self.sizes)
+        kept = greedy_survivors(sample.df, self.rule, self.ws, crowded, self.sizes)
         self.lap("thin_sample")
         return kept
 
@@ -175,7 +175,7 @@ def hotspots(
     kept = stages.thin_sample(rows, pct, seed)
     matched, tail = stages.credit(rows, kept)
     crowded = stages.crowded(tail.df, tail.rows, rule)
-    late = greedy_survivors(tail, rule, stages.ws, crowded, sizes)
+    late = greedy_survivors(tail.df, rule, stages.ws, crowded, sizes)
     late_owned = stages.ws.write(
         stages.assign(tail.df, late, rule, crowded).select("row_id", "owner_id"), "late-owned"
     )
@@ -206,7 +206,7 @@ def dedupe_points(
         return _nothing_matches(stages)
     points = stages.ws.save(to_points(incidents, rule, order), "points")
     crowded = stages.crowded(points.df, points.rows, rule)
-    kept = greedy_survivors(points, rule, stages.ws, crowded, sizes)
+    kept = greedy_survivors(points.df, rule, stages.ws, crowded, sizes)
     owned = stages.ws.write(
         assign_first(points.df, kept, rule, crowded).select("row_id", "owner_id"), "owned"
     )
@@ -259,7 +259,7 @@ def thin_chunks(
     """
     within = rule.also_equal("chunk_id")
     crowded = crowded_cells(points.df, within, points.rows, ws, sizes)
-    kept = greedy_survivors(points, within, ws, crowded, sizes)
+    kept = greedy_survivors(points.df, within, ws, crowded, sizes)
     counts = fitness_counts(assign_first(points.df, kept, within, crowded))
     ranked = with_rank(with_fitness(kept, counts), "chunk_id", "rank")
     return ws.save(

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 class Sizes:
     # A cell with more rows than this is split over several tasks.
     split_rows: int = 1_000_000
-    # This few undecided rows (counted, all groups together) are settled by one ordered fold.
-    finish_rows: int = 5_000
+    # When no key group holds more undecided rows than this, each is settled by one ordered fold.
+    fold_rows: int = 1_000
     # A sample cut-off shared by at most this many rows is found by sorting them.
     sort_rows: int = 10_000

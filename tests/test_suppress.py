@@ -9,8 +9,8 @@ import pytest
 
 from incidentlens import MatchRule, Sizes, dedupe_points
 
-ROUNDS_ONLY = Sizes(finish_rows=0)
-SPLIT = Sizes(finish_rows=0, split_rows=20)
+ROUNDS_ONLY = Sizes(fold_rows=0)
+SPLIT = Sizes(fold_rows=0, split_rows=20)
 
 
 def owners(spark, rows, mileage, sizes=ROUNDS_ONLY, rule=None):
@@ -61,7 +61,7 @@ def test_third_of_all_rows_in_one_place(spark):
 def test_long_chain_in_row_order(spark):
     """Every row depends on the one before it."""
     rows = [(i, 52.0 + i * 0.002, -1.0, 0, "A1") for i in range(40)]
-    got, _ = owners(spark, rows, 0.4, Sizes(finish_rows=30))
+    got, _ = owners(spark, rows, 0.4, Sizes(fold_rows=30))
     assert got == model.greedy(rows, 0.4)
 
 
