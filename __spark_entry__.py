@@ -32,7 +32,7 @@ from incidentlens.operators.sampling import (  # noqa: E402
     without_sample,
 )
 from incidentlens.operators.suppress import head_edges  # noqa: E402
-from incidentlens.plans.hotspots import Stages, thin_chunks  # noqa: E402
+from incidentlens.plans.selection import Stages, thin_chunks  # noqa: E402
 from incidentlens.sources import (  # noqa: E402
     ParsedIncidents,
     parse_lines,

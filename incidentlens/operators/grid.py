@@ -31,8 +31,8 @@ from ..workspace import Workspace
 
 # Relative allowance for rounding when a cell is sized or a chord is compared.
 MARGIN = 1e-6
-# Smallest side of a wide cell: 21 bits per axis, three axes packed in one BIGINT.
-MIN_CELL_SIDE = 2e-6
+# Smallest side for which three axes of 21 bits each are packed in one BIGINT (some 13 m).
+MIN_PACKED_SIDE = 2e-6
 AXIS_SHIFT = 1 << 20
 AXIS_SIZE = 1 << 21
 # Below this chord (about 6 cm) rounding could spoil a spot; equal coordinates are used instead.
@@ -50,14 +50,35 @@ def reach(rule: MatchRule) -> float:
 
 
 def cell_side(rule: MatchRule) -> float:
-    return max(2 * reach(rule), MIN_CELL_SIDE)
+    return 2 * reach(rule)
 
 
-def _packed_cell(cx: str, cy: str, cz: str) -> str:
+def cell_number(cx: str, cy: str, cz: str, side: float) -> str:
+    """One BIGINT per cell; of the smallest cells several may share a number."""
+    if side < MIN_PACKED_SIDE:
+        return f"xxhash64({cx}, {cy}, {cz})"
     high = f"(({cx} + {AXIS_SHIFT}L) * {AXIS_SIZE}L + {cy} + {AXIS_SHIFT}L)"
     return f"{high} * {AXIS_SIZE}L + {cz} + {AXIS_SHIFT}L"
 
 
+def cell_at(side: float) -> str:
+    """Number of the cell that holds a point."""
+    return cell_number(*[f"floor({axis} / {double(side)})" for axis in "xyz"], side)
+
+
+def reached_cells(df: DataFrame, rule: MatchRule, side: float, prefix: str = "") -> DataFrame:
+    """One row per cell of the given side that can hold a match; cell indexes in cx, cy, cz."""
+    far, flat = reach(rule), double(reach(rule) ** 2 / 2 + 1e-12)
+    for axis in "xyz":
+        at = f"{prefix}{axis}"
+        # Extent of the spherical cap along this axis.
+        tilt = f"sqrt(greatest(0D, 1 - {at} * {at}))"
+        half = f"({double(far)} * ({tilt} + {double(MARGIN)}) + {flat})"
+        low, high = (f"floor(({at} {sign} {half}) / {double(side)})" for sign in "-+")
+        df = df.selectExpr("*", f"explode(sequence({low}, {high})) AS c{axis}")
+    return df
+
+
 def to_points(incidents: DataFrame, rule: MatchRule, rank: str, *carry: str) -> DataFrame:
     """Narrow table for the joins: rank, row_id, keys, geometry and the wide cell.
 
@@ -80,9 +101,7 @@ def to_points(incidents: DataFrame, rule: MatchRule, rank: str, *carry: str) ->
         *vector,
         *carry,
     )
-    side = double(cell_side(rule))
-    cell = _packed_cell(*[f"floor({axis} / {side})" for axis in "xyz"])
-    return narrow.selectExpr("*", f"{cell} AS cell")
+    return narrow.selectExpr("*", f"{cell_at(cell_side(rule))} AS cell")
 
 
 def spot_columns(rule: MatchRule) -> list[str]:
@@ -106,17 +125,12 @@ def spread(anchors: DataFrame, rule: MatchRule) -> DataFrame:
 
     All columns get the prefix ``a_``.
     """
-    side, far = double(cell_side(rule)), reach(rule)
-    flat = double(far * far / 2 + 1e-12)
-    out = anchors.selectExpr([f"{c} AS a_{c}" for c in anchors.columns if c != "cell"])
-    for axis in "xyz":
-        # Extent of the spherical cap along this axis.
-        tilt = f"sqrt(greatest(0D, 1 - a_{axis} * a_{axis}))"
-        half = f"({double(far)} * ({tilt} + {double(MARGIN)}) + {flat})"
-        low, high = (f"floor((a_{axis} {sign} {half}) / {side})" for sign in "-+")
-        out = out.selectExpr("*", f"explode(sequence({low}, {high})) AS c{axis}")
-    base = [c for c in out.columns if c not in ("cx", "cy", "cz")]
-    return out.selectExpr(*base, f"{_packed_cell('cx', 'cy', 'cz')} AS a_cell")
+    side = cell_side(rule)
+    named = anchors.selectExpr([f"{c} AS a_{c}" for c in anchors.columns if c != "cell"])
+    out = reached_cells(named, rule, side, "a_")
+    # The indexes tell cells apart that share a number.
+    kept = named.columns if side >= MIN_PACKED_SIDE else out.columns
+    return out.selectExpr(*kept, f"{cell_number('cx', 'cy', 'cz', side)} AS a_cell")
 
 
 def near_condition(rule: MatchRule, point: str = "", anchor: str = "a_") -> str:
@@ -173,6 +187,9 @@ def match_join(
     """
     left, right = points, spread(anchors, rule)
     on = [f"{k} = a_{k}" for k in (*rule.keys, "cell")]
+    side = cell_side(rule)
+    if side < MIN_PACKED_SIDE:
+        on += [f"floor({axis} / {double(side)}) = c{axis}" for axis in "xyz"]
     if crowded is not None:
         cells = F.broadcast(crowded)
         left = left.join(cells, [*rule.keys, "cell"], "left").selectExpr(

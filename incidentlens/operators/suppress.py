@@ -19,7 +19,20 @@ from pyspark.sql import functions as F
 from ..rule import MatchRule
 from ..sizes import Sizes
 from ..workspace import Workspace
-from .grid import GEOMETRY, match_condition, match_join, spot_columns
+from .grid import (
+    GEOMETRY,
+    cell_at,
+    cell_number,
+    cell_side,
+    match_condition,
+    match_join,
+    reached_cells,
+    spot_columns,
+)
+
+# Wide cells per tile side, and the ways a tile's rows are dealt when they meet its counts.
+TILE_CELLS = 16
+TILE_SALTS = 16
 
 
 def spot_heads(points: DataFrame, rule: MatchRule) -> DataFrame:
@@ -40,21 +53,72 @@ def head_edges(
     return pairs.selectExpr("a_row_id AS src_id", "row_id AS dst_id")
 
 
+def _rows_in_order(*more: str) -> str:
+    fields = ["rank", "row_id", *GEOMETRY, "cell", *more]
+    return f"array_sort(collect_list(struct({', '.join(fields)}))) AS rows"
+
+
 def ordered_fold(points: DataFrame, rule: MatchRule) -> DataFrame:
     """Greedy suppression read literally: fold each key group's rows in rank order.
 
     A group becomes one array, so its size must be known to be small.
     """
-    fields = ["rank", "row_id", *GEOMETRY, "cell"]
-    rows = F.expr(f"array_sort(collect_list(struct({', '.join(fields)})))")
     kept = f"""aggregate(rows, filter(rows, p -> false), (kept, p) ->
         IF(exists(kept, k -> {match_condition(rule, "p.", "k.")}), kept, concat(kept, array(p))))"""
-    groups = points.groupBy(*rule.keys).agg(rows.alias("rows"))
+    groups = points.groupBy(*rule.keys).agg(F.expr(_rows_in_order()))
     return groups.selectExpr(*rule.keys, f"inline({kept})").select(
         "rank", "row_id", *rule.keys, *GEOMETRY, "cell"
     )
 
 
+def tile_sweep(
+    undecided: DataFrame, rule: MatchRule, ws: Workspace, sizes: Sizes = Sizes()
+) -> DataFrame:
+    """Rows that the ordered fold of a tile (a block of wide cells) can already tell to survive.
+
+    A row stays open if a lower row of another tile could match it, or if an open lower row of
+    its own tile does; all else is settled in one go, however long the chain of rows that depend
+    on one another. Tiles with more than ``fold_rows`` rows are left to the rounds.
+    """
+    side = cell_side(rule) * TILE_CELLS
+    tiled = undecided.selectExpr(
+        "*", f"{cell_at(side)} AS tile", f"int(pmod(xxhash64(rank), {TILE_SALTS})) AS salt"
+    )
+    tiles = ws.write(
+        tiled.groupBy(*rule.keys, "tile").agg(
+            F.count(F.lit(1)).alias("held"), F.min("rank").alias("lowest")
+        ),
+        "tiles",
+    )
+    # A row is copied only near the edge of its tile. Salts spread a crowded tile's rows.
+    copies = tiles.selectExpr("*", f"explode(sequence(0, {TILE_SALTS - 1})) AS salt")
+    near = reached_cells(tiled, rule, side).selectExpr(
+        "rank", *rule.keys, "tile AS home", f"{cell_number('cx', 'cy', 'cz', side)} AS tile", "salt"
+    )
+    exposed = (
+        near.filter("tile <> home")
+        .join(copies, [*rule.keys, "tile", "salt"])
+        .filter("lowest < rank")
+        .selectExpr("rank", "true AS exposed")
+        .distinct()
+    )
+    small = copies.filter(f"held <= {sizes.fold_rows}").drop("held", "lowest")
+    rows = tiled.join(small, [*rule.keys, "tile", "salt"]).join(exposed, "rank", "left")
+    groups = rows.groupBy(*rule.keys, "tile").agg(F.expr(_rows_in_order("exposed")))
+    match_k, match_o = (match_condition(rule, "p.", f"{name}.") for name in "ko")
+    swept = f"""aggregate(rows,
+        struct(filter(rows, p -> false) AS kept, filter(rows, p -> false) AS open),
+        (s, p) -> CASE
+          WHEN exists(s.kept, k -> {match_k}) THEN s
+          WHEN p.exposed IS NOT NULL OR exists(s.open, o -> {match_o})
+            THEN struct(s.kept AS kept, concat(s.open, array(p)) AS open)
+          ELSE struct(concat(s.kept, array(p)) AS kept, s.open AS open) END,
+        s -> s.kept)"""
+    return groups.selectExpr(*rule.keys, f"inline({swept})").select(
+        "rank", "row_id", *rule.keys, *GEOMETRY, "cell"
+    )
+
+
 def largest_group(rows: DataFrame, rule: MatchRule) -> int:
     """Rows in the largest key group; counts are combined per task before they are shuffled."""
     groups = rows.groupBy(*rule.keys).agg(F.count(F.lit(1)).alias("held"))
@@ -71,7 +135,8 @@ def greedy_survivors(
     """Rows that survive greedy suppression in ``rank`` order, with their geometry.
 
     Rounds go on while any road has many undecided rows; they come to an end, as each settles at
-    least the lowest undecided rank of every road. What is then left is small per road and
+    least the lowest undecided rank of every road. If they take long, the order runs along the
+    roads, and every other round is a sweep over tiles. What is then left is small per road and
     settled by one fold, all roads side by side.
     """
     columns = ["rank", "row_id", *rule.keys, *GEOMETRY, "cell"]
@@ -79,10 +144,14 @@ def greedy_survivors(
     if not rule.can_match:
         return undecided
     while (most := largest_group(undecided, rule)) > sizes.fold_rows:
-        heads = ws.write(spot_heads(undecided, rule), "heads")
-        lower = match_join(undecided, heads, rule, "inner", crowded, extra="rank < a_rank")
-        blocked = lower.selectExpr("a_rank AS rank").distinct()
-        kept = ws.write(heads.join(blocked, "rank", "left_anti").select(*columns), "kept")
+        done = len(kept_rounds)
+        if done >= sizes.plain_rounds and (done - sizes.plain_rounds) % 2 == 0:
+            kept = ws.write(tile_sweep(undecided, rule, ws, sizes), "kept")
+        else:
+            heads = ws.write(spot_heads(undecided, rule), "heads")
+            lower = match_join(undecided, heads, rule, "inner", crowded, extra="rank < a_rank")
+            blocked = lower.selectExpr("a_rank AS rank").distinct()
+            kept = ws.write(heads.join(blocked, "rank", "left_anti").select(*columns), "kept")
         kept_rounds.append(kept)
         rest = match_join(undecided, kept, rule, "left_anti", crowded)
         undecided = ws.write(rest.select(*columns), "undecided")

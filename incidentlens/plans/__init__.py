@@ -1,3 +1,3 @@
-from .hotspots import HotspotRun, dedupe_points, hotspots, hotspots_chunked
+from .selection import HotspotRun, dedupe_points, hotspots, hotspots_chunked
 
 __all__ = ["HotspotRun", "dedupe_points", "hotspots", "hotspots_chunked"]

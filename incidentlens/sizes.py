@@ -13,3 +13,5 @@ class Sizes:
     fold_rows: int = 1_000
     # A sample cut-off shared by at most this many rows is found by sorting them.
     sort_rows: int = 10_000
+    # So many plain rounds are tried before sweeps over tiles take turns with them.
+    plain_rounds: int = 6

@@ -31,7 +31,7 @@ def test_random_rows(spark, sizes):
     assert fit == model.fitness(want)
 
 
-@pytest.mark.parametrize("mileage", [0.0, 1e-5, 0.02, 5.0, 30_000.0])
+@pytest.mark.parametrize("mileage", [0.0, 1e-5, 0.002, 0.02, 5.0, 30_000.0])
 def test_radius_from_zero_to_the_whole_earth(spark, mileage):
     rows = model.random_rows(120, seed=2, hot=40)
     rows += [(r[0] + 1000, *r[1:]) for r in rows[:20]]
@@ -65,6 +65,22 @@ def test_long_chain_in_row_order(spark):
     assert got == model.greedy(rows, 0.4)
 
 
+def test_sweeps_follow_a_chain_through_tiles(spark):
+    """Rows in order along a road of several tiles: sweeps need one turn per tile, not per spot."""
+    rows = [(i, 52.0 + i * 0.0005, -1.0, 0, "A1") for i in range(150)]
+    rows += [(1000 + i, 52.0 + (149 - i) * 0.0005, -1.0, 0, "B2") for i in range(150)]
+    df = spark.createDataFrame(rows, model.SCHEMA)
+    run = dedupe_points(df, 0.1, sizes=Sizes(fold_rows=70, plain_rounds=0))
+    assert {r.row_id: r.owner_id for r in run.owners.collect()} == model.greedy(rows, 0.1)
+
+
+@pytest.mark.parametrize("fold_rows", [20, 60])
+def test_sweeps_on_random_rows(spark, fold_rows):
+    rows = model.random_rows(300, seed=6, roads=2, span=0.2, hot=60)
+    want = model.greedy(rows, 0.6)
+    assert owners(spark, rows, 0.6, Sizes(fold_rows=fold_rows, plain_rounds=0))[0] == want
+
+
 def test_heading_limit_and_extra_key(spark):
     rows = model.random_rows(150, seed=5, roads=1, span=0.01)
     rule = MatchRule(0.5, bearing_limit=200)
