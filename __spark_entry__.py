@@ -42,7 +42,7 @@ from incidentlens.sources import (  # noqa: E402
 )
 
 RULE = MatchRule(MILEAGE)
-ROUNDS_ONLY = Sizes(fold_rows=0)
+ROUNDS_ONLY = Sizes(fold_rows=0, fold_work=0)
 KEYED = RULE.also_equal("weekday")
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -17,7 +17,7 @@ from ..sizes import Sizes
 from ..workspace import SavedTable, Workspace
 from .fitness import add_fitness
 from .grid import GEOMETRY, match_join
-from .suppress import largest_group
+from .suppress import group_sizes
 
 
 def even_chunks(rows: int, chunks: int) -> Column:
@@ -70,7 +70,8 @@ def absorptions(
     """
     columns = [*rule.keys, "src", "dst", "dst_chunk"]
     undecided, taken_rounds = edges.select(*columns), []
-    while (most := largest_group(undecided, rule)) > sizes.fold_rows:
+    left, most = group_sizes(undecided, rule)
+    while not sizes.foldable(left, most):
         first_src = undecided.groupBy("dst").agg(F.min("src").alias("src"))
         first_dst = undecided.groupBy("src", "dst_chunk").agg(F.min("dst").alias("dst"))
         targets = undecided.selectExpr("dst AS src").distinct()
@@ -84,6 +85,7 @@ def absorptions(
             .join(taken.select("src", "dst_chunk"), ["src", "dst_chunk"], "left_anti")
         )
         undecided = ws.write(rest.select(*columns), "undecided-edges")
+        left, most = group_sizes(undecided, rule)
     if most:
         taken_rounds.append(ws.write(ordered_edge_fold(undecided, rule), "taken"))
     if not taken_rounds:

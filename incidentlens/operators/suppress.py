@@ -16,12 +16,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import double
 from ..rule import MatchRule
 from ..sizes import Sizes
 from ..workspace import Workspace
 from .grid import (
     GEOMETRY,
-    cell_at,
     cell_number,
     cell_side,
     match_condition,
@@ -72,37 +72,51 @@ def ordered_fold(points: DataFrame, rule: MatchRule) -> DataFrame:
 
 
 def tile_sweep(
-    undecided: DataFrame, rule: MatchRule, ws: Workspace, sizes: Sizes = Sizes()
+    undecided: DataFrame,
+    rule: MatchRule,
+    ws: Workspace,
+    sizes: Sizes = Sizes(),
+    shifted: bool = False,
 ) -> DataFrame:
     """Rows that the ordered fold of a tile (a block of wide cells) can already tell to survive.
 
-    A row stays open if a lower row of another tile could match it, or if an open lower row of
-    its own tile does; all else is settled in one go, however long the chain of rows that depend
-    on one another. Tiles with more than ``fold_rows`` rows are left to the rounds.
+    A row stays open if a cell of another tile, near enough, holds a lower row, or if an open
+    lower row of its own tile matches it. All else is settled in one go, however long the chain
+    of rows that depend on one another. Tiles with more than ``tile_rows`` rows are left to the
+    plain rounds.
     """
-    side = cell_side(rule) * TILE_CELLS
-    tiled = undecided.selectExpr(
-        "*", f"{cell_at(side)} AS tile", f"int(pmod(xxhash64(rank), {TILE_SALTS})) AS salt"
-    )
-    tiles = ws.write(
-        tiled.groupBy(*rule.keys, "tile").agg(
+    side = cell_side(rule)
+    shift = TILE_CELLS // 2 if shifted else 0
+
+    def tile_of(*indexes: str) -> str:
+        blocks = [f"floor(({index} + {shift}) / {TILE_CELLS})" for index in indexes]
+        return cell_number(*blocks, side)
+
+    home = tile_of(*[f"floor({axis} / {double(side)})" for axis in "xyz"])
+    salt = f"int(pmod(xxhash64(rank), {TILE_SALTS})) AS salt"
+    tiled = undecided.selectExpr("*", f"{home} AS tile", salt)
+    cells = ws.write(
+        tiled.groupBy(*rule.keys, "tile", "cell").agg(
             F.count(F.lit(1)).alias("held"), F.min("rank").alias("lowest")
         ),
-        "tiles",
+        "cells",
     )
-    # A row is copied only near the edge of its tile. Salts spread a crowded tile's rows.
-    copies = tiles.selectExpr("*", f"explode(sequence(0, {TILE_SALTS - 1})) AS salt")
-    near = reached_cells(tiled, rule, side).selectExpr(
-        "rank", *rule.keys, "tile AS home", f"{cell_number('cx', 'cy', 'cz', side)} AS tile", "salt"
+    # Salts spread the rows of crowded cells and tiles; the tables they meet are copied instead.
+    salts = f"explode(sequence(0, {TILE_SALTS - 1})) AS salt"
+    across = reached_cells(tiled.drop("cell"), rule, side).filter(
+        f"{tile_of('cx', 'cy', 'cz')} <> tile"
     )
     exposed = (
-        near.filter("tile <> home")
-        .join(copies, [*rule.keys, "tile", "salt"])
+        across.selectExpr(
+            "rank", *rule.keys, f"{cell_number('cx', 'cy', 'cz', side)} AS cell", "salt"
+        )
+        .join(cells.selectExpr(*rule.keys, "cell", "lowest", salts), [*rule.keys, "cell", "salt"])
         .filter("lowest < rank")
         .selectExpr("rank", "true AS exposed")
         .distinct()
     )
-    small = copies.filter(f"held <= {sizes.fold_rows}").drop("held", "lowest")
+    tiles = cells.groupBy(*rule.keys, "tile").agg(F.sum("held").alias("held"))
+    small = tiles.filter(f"held <= {sizes.tile_rows}").selectExpr(*rule.keys, "tile", salts)
     rows = tiled.join(small, [*rule.keys, "tile", "salt"]).join(exposed, "rank", "left")
     groups = rows.groupBy(*rule.keys, "tile").agg(F.expr(_rows_in_order("exposed")))
     match_k, match_o = (match_condition(rule, "p.", f"{name}.") for name in "ko")
@@ -119,10 +133,21 @@ def tile_sweep(
     )
 
 
-def largest_group(rows: DataFrame, rule: MatchRule) -> int:
-    """Rows in the largest key group; counts are combined per task before they are shuffled."""
+def group_sizes(rows: DataFrame, rule: MatchRule) -> tuple[int, int]:
+    """Rows in all, and in the largest key group; counts are combined before they are shuffled."""
     groups = rows.groupBy(*rule.keys).agg(F.count(F.lit(1)).alias("held"))
-    return groups.agg(F.max("held").alias("most")).first().most or 0
+    found = groups.agg(F.sum("held").alias("all"), F.max("held").alias("most")).first()
+    return found["all"] or 0, found["most"] or 0
+
+
+def plain_round(
+    undecided: DataFrame, rule: MatchRule, ws: Workspace, crowded: DataFrame | None = None
+) -> DataFrame:
+    """Spot heads that no undecided lower row matches."""
+    heads = ws.write(spot_heads(undecided, rule), "heads")
+    lower = match_join(undecided, heads, rule, "inner", crowded, extra="rank < a_rank")
+    blocked = lower.selectExpr("a_rank AS rank").distinct()
+    return heads.join(blocked, "rank", "left_anti")
 
 
 def greedy_survivors(
@@ -134,27 +159,30 @@ def greedy_survivors(
 ) -> DataFrame:
     """Rows that survive greedy suppression in ``rank`` order, with their geometry.
 
-    Rounds go on while any road has many undecided rows; they come to an end, as each settles at
-    least the lowest undecided rank of every road. If they take long, the order runs along the
-    roads, and every other round is a sweep over tiles. What is then left is small per road and
-    settled by one fold, all roads side by side.
+    Rounds go on while any road has many undecided rows; they come to an end, as a plain round
+    settles at least the lowest undecided rank of every road. Where plain rounds are slow, the
+    order runs along the roads, and sweeps over tiles take over until they get stuck. What is
+    then left is small per road and settled by one fold, all roads side by side.
     """
     columns = ["rank", "row_id", *rule.keys, *GEOMETRY, "cell"]
     undecided, kept_rounds = points.select(*columns), []
     if not rule.can_match:
         return undecided
-    while (most := largest_group(undecided, rule)) > sizes.fold_rows:
-        done = len(kept_rounds)
-        if done >= sizes.plain_rounds and (done - sizes.plain_rounds) % 2 == 0:
-            kept = ws.write(tile_sweep(undecided, rule, ws, sizes), "kept")
+    left, most = group_sizes(undecided, rule)
+    sweep = False
+    while not sizes.foldable(left, most):
+        if sweep:
+            # Neighbouring sweeps cut the tiles at different places.
+            found = tile_sweep(undecided, rule, ws, sizes, shifted=len(kept_rounds) % 2 == 1)
         else:
-            heads = ws.write(spot_heads(undecided, rule), "heads")
-            lower = match_join(undecided, heads, rule, "inner", crowded, extra="rank < a_rank")
-            blocked = lower.selectExpr("a_rank AS rank").distinct()
-            kept = ws.write(heads.join(blocked, "rank", "left_anti").select(*columns), "kept")
+            found = plain_round(undecided, rule, ws, crowded)
+        kept = ws.write(found.select(*columns), "kept")
         kept_rounds.append(kept)
         rest = match_join(undecided, kept, rule, "left_anti", crowded)
         undecided = ws.write(rest.select(*columns), "undecided")
+        before = left
+        left, most = group_sizes(undecided, rule)
+        sweep = left <= before * sizes.stuck_share if sweep else left > before * sizes.slow_share
     if most:
         kept_rounds.append(ws.write(ordered_fold(undecided, rule), "kept"))
     return reduce(DataFrame.unionByName, kept_rounds) if kept_rounds else undecided

@@ -1,4 +1,4 @@
-"""Row counts at which an operator changes its way of working; none of them changes a result."""
+"""Sizes at which an operator changes its way of working; none of them changes a result."""
 
 from __future__ import annotations
 
@@ -11,7 +11,19 @@ class Sizes:
     split_rows: int = 1_000_000
     # When no key group holds more undecided rows than this, each is settled by one ordered fold.
     fold_rows: int = 1_000
+    # Larger groups, up to ``tile_rows``, are folded while rows times group size stay below this.
+    fold_work: int = 200_000_000
+    # Largest tile to fold; the rows kept in a tile, and with them the work per row, are few.
+    tile_rows: int = 10_000
+    # A plain round that leaves more than this share of its rows undecided is followed by a sweep.
+    slow_share: float = 0.5
+    # A sweep that leaves more than this share undecided is followed by a plain round.
+    stuck_share: float = 0.9
     # A sample cut-off shared by at most this many rows is found by sorting them.
     sort_rows: int = 10_000
-    # So many plain rounds are tried before sweeps over tiles take turns with them.
-    plain_rounds: int = 6
+
+    def foldable(self, rows: int, largest: int) -> bool:
+        """Whether groups of these sizes (all rows, largest group) may be folded."""
+        if largest <= self.fold_rows:
+            return True
+        return largest <= self.tile_rows and rows * largest <= self.fold_work

@@ -15,7 +15,7 @@ from incidentlens.operators.sampling import (
 )
 from incidentlens.operators.suppress import head_edges
 
-SMALL = Sizes(split_rows=30, fold_rows=0, sort_rows=5)
+SMALL = Sizes(split_rows=30, fold_rows=0, fold_work=0, sort_rows=5)
 
 
 @pytest.fixture(scope="module")

@@ -9,8 +9,8 @@ import pytest
 
 from incidentlens import MatchRule, Sizes, dedupe_points
 
-ROUNDS_ONLY = Sizes(fold_rows=0)
-SPLIT = Sizes(fold_rows=0, split_rows=20)
+ROUNDS_ONLY = Sizes(fold_rows=0, fold_work=0)
+SPLIT = Sizes(fold_rows=0, fold_work=0, split_rows=20)
 
 
 def owners(spark, rows, mileage, sizes=ROUNDS_ONLY, rule=None):
@@ -61,7 +61,7 @@ def test_third_of_all_rows_in_one_place(spark):
 def test_long_chain_in_row_order(spark):
     """Every row depends on the one before it."""
     rows = [(i, 52.0 + i * 0.002, -1.0, 0, "A1") for i in range(40)]
-    got, _ = owners(spark, rows, 0.4, Sizes(fold_rows=30))
+    got, _ = owners(spark, rows, 0.4, Sizes(fold_rows=30, fold_work=0))
     assert got == model.greedy(rows, 0.4)
 
 
@@ -70,15 +70,16 @@ def test_sweeps_follow_a_chain_through_tiles(spark):
     rows = [(i, 52.0 + i * 0.0005, -1.0, 0, "A1") for i in range(150)]
     rows += [(1000 + i, 52.0 + (149 - i) * 0.0005, -1.0, 0, "B2") for i in range(150)]
     df = spark.createDataFrame(rows, model.SCHEMA)
-    run = dedupe_points(df, 0.1, sizes=Sizes(fold_rows=70, plain_rounds=0))
+    run = dedupe_points(df, 0.1, sizes=Sizes(fold_rows=10, fold_work=0, slow_share=0.0))
     assert {r.row_id: r.owner_id for r in run.owners.collect()} == model.greedy(rows, 0.1)
 
 
-@pytest.mark.parametrize("fold_rows", [20, 60])
-def test_sweeps_on_random_rows(spark, fold_rows):
+@pytest.mark.parametrize("tile_rows", [20, 60])
+def test_sweeps_on_random_rows(spark, tile_rows):
     rows = model.random_rows(300, seed=6, roads=2, span=0.2, hot=60)
     want = model.greedy(rows, 0.6)
-    assert owners(spark, rows, 0.6, Sizes(fold_rows=fold_rows, plain_rounds=0))[0] == want
+    sizes = Sizes(fold_rows=0, fold_work=0, tile_rows=tile_rows, slow_share=0.0)
+    assert owners(spark, rows, 0.6, sizes)[0] == want
 
 
 def test_heading_limit_and_extra_key(spark):
