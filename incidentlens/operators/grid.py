@@ -79,18 +79,26 @@ def reached_cells(df: DataFrame, rule: MatchRule, side: float, prefix: str = "")
     return df
 
 
+def comparable(incidents: DataFrame, rule: MatchRule) -> str:
+    """Condition for rows that can match anything, themselves included."""
+    types = dict(incidents.dtypes)
+    present = [f"{k} IS NOT NULL" for k in rule.extra_keys if types[k] != "string"]
+    terms = [is_finite("lat", "lon"), "bearing IS NOT NULL", *present]
+    return f"coalesce({' AND '.join(terms)}, false)"
+
+
 def to_points(incidents: DataFrame, rule: MatchRule, rank: str, *carry: str) -> DataFrame:
     """Narrow table for the joins: rank, row_id, keys, geometry and the wide cell.
 
-    Rows without finite coordinates match nothing and are left out. Strings among the keys are
-    folded, so that case does not count.
+    Rows without finite coordinates, heading or key match nothing and are left out. Strings among
+    the keys are folded, so that case does not count.
     """
     types = dict(incidents.dtypes)
     extra = [
         f"{fold_case(k) if types[k] == 'string' else k} AS {k}" for k in rule.extra_keys
     ]
     vector = [f"{sql} AS {axis}" for axis, sql in unit_vector("lat", "lon").items()]
-    narrow = incidents.filter(is_finite("lat", "lon")).selectExpr(
+    narrow = incidents.filter(comparable(incidents, rule)).selectExpr(
         f"{rank} AS rank",
         "row_id",
         f"{fold_case('partial_location')} AS loc_key",

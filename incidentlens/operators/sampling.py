@@ -40,8 +40,9 @@ class SampleCut:
         if self.digest is None:
             return "false"
         digest = sample_digest("row_id", self.seed)
-        last = f"'{self.digest}'"
-        return f"({digest} < {last} OR ({digest} = {last} AND row_id <= {self.row_id}L))"
+        # One comparison of pairs, so that the digest is computed once per row.
+        last = f"struct('{self.digest}' AS digest, {self.row_id}L AS row_id)"
+        return f"struct({digest} AS digest, row_id) <= {last}"
 
 
 def find_cut(

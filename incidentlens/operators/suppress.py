@@ -182,6 +182,8 @@ def greedy_survivors(
         undecided = ws.write(rest.select(*columns), "undecided")
         before = left
         left, most = group_sizes(undecided, rule)
+        if left == before and not sweep:
+            raise ValueError("ranks must be unique and keys not NULL")
         sweep = left <= before * sizes.stuck_share if sweep else left > before * sizes.slow_share
     if most:
         kept_rounds.append(ws.write(ordered_fold(undecided, rule), "kept"))

@@ -12,7 +12,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import is_finite
 from ..operators.assign import assign_first, assign_nearest
 from ..operators.chunks import merge_chunks
 from ..operators.fitness import (
@@ -23,7 +22,7 @@ from ..operators.fitness import (
     strong,
     with_fitness,
 )
-from ..operators.grid import GEOMETRY, crowded_cells, to_points
+from ..operators.grid import GEOMETRY, comparable, crowded_cells, to_points
 from ..operators.ordering import with_rank
 from ..operators.sampling import draw_sample, find_cut, sample_size
 from ..operators.suppress import greedy_survivors
@@ -126,8 +125,8 @@ class Stages:
         return matched, tail
 
     def outside(self) -> DataFrame:
-        """Rows without finite coordinates: they match nothing and stand for themselves."""
-        odd = self.incidents.filter(f"NOT ({is_finite('lat', 'lon')})")
+        """Rows that match nothing (no finite coordinates): they stand for themselves."""
+        odd = self.incidents.filter(f"NOT {comparable(self.incidents, self.rule)}")
         return odd.select("row_id", "lat", "lon")
 
 

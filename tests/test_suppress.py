@@ -130,6 +130,21 @@ def test_hand_made_cases(spark):
     assert run.check().first().conserved
 
 
+def test_missing_values_match_nothing(spark):
+    rows = [
+        (0, None, 1.0, 0, "a", 1),
+        (1, 1.0, 1.0, None, "a", 1),
+        (2, 1.0, 1.0, 0, "a", None),
+        (3, 1.0, 1.0, 0, None, 1),
+        (4, 1.0, 1.0, 0, "", 1),
+    ]
+    df = spark.createDataFrame(rows, model.SCHEMA + ", lane INT")
+    run = dedupe_points(df, 0.5, rule=MatchRule(0.5, extra_keys=("lane",)), sizes=ROUNDS_ONLY)
+    fit = {r.row_id: r.fitness for r in run.suppressors.collect()}
+    assert fit == {0: 0, 1: 0, 2: 0, 3: 1}
+    assert run.check().first().conserved
+
+
 def test_negative_mileage_and_empty_table(spark):
     rows = [(0, 1.0, 1.0, 0, "a"), (1, 1.0, 1.0, 0, "a")]
     got, fit = owners(spark, rows, -1.0)
