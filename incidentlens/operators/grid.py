@@ -213,4 +213,6 @@ def match_join(
     if extra is not None:
         on.append(extra)
     on.append(condition or match_condition(rule))
-    return left.join(right, F.expr(" AND ".join(on)), how)
+    # A merge join whatever the estimates say: they do not see that anchors are copied, so that
+    # an automatic broadcast could be far larger than Spark's threshold.
+    return left.join(right.hint("merge"), F.expr(" AND ".join(on)), how)

@@ -103,6 +103,7 @@ def tile_sweep(
     )
     # Salts spread the rows of crowded cells and tiles; the tables they meet are copied instead.
     salts = f"explode(sequence(0, {TILE_SALTS - 1})) AS salt"
+    lows = cells.selectExpr(*rule.keys, "cell", "lowest", salts)
     across = reached_cells(tiled.drop("cell"), rule, side).filter(
         f"{tile_of('cx', 'cy', 'cz')} <> tile"
     )
@@ -110,14 +111,15 @@ def tile_sweep(
         across.selectExpr(
             "rank", *rule.keys, f"{cell_number('cx', 'cy', 'cz', side)} AS cell", "salt"
         )
-        .join(cells.selectExpr(*rule.keys, "cell", "lowest", salts), [*rule.keys, "cell", "salt"])
+        .join(lows.hint("merge"), [*rule.keys, "cell", "salt"])
         .filter("lowest < rank")
         .selectExpr("rank", "true AS exposed")
         .distinct()
     )
     tiles = cells.groupBy(*rule.keys, "tile").agg(F.sum("held").alias("held"))
     small = tiles.filter(f"held <= {sizes.tile_rows}").selectExpr(*rule.keys, "tile", salts)
-    rows = tiled.join(small, [*rule.keys, "tile", "salt"]).join(exposed, "rank", "left")
+    rows = tiled.join(small.hint("merge"), [*rule.keys, "tile", "salt"])
+    rows = rows.join(exposed, "rank", "left")
     groups = rows.groupBy(*rule.keys, "tile").agg(F.expr(_rows_in_order("exposed")))
     match_k, match_o = (match_condition(rule, "p.", f"{name}.") for name in "ko")
     swept = f"""aggregate(rows,
