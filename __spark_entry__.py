@@ -41,6 +41,15 @@ from incidentlens.sources import (  # noqa: E402
     write_hotspots,
 )
 
+# The operators for training data may be absent; an error inside them is not swallowed.
+try:
+    import corpus_pipeline
+    from incidentlens.llm import queries as llm_queries
+except ModuleNotFoundError as error:
+    if error.name != "corpus_pipeline" and not str(error.name).startswith("incidentlens.llm"):
+        raise
+    corpus_pipeline = llm_queries = None
+
 RULE = MatchRule(MILEAGE)
 ROUNDS_ONLY = Sizes(fold_rows=0, fold_work=0)
 KEYED = RULE.also_equal("weekday")
@@ -364,9 +373,17 @@ def queries() -> dict[str, Query]:
     out: dict[str, Query] = {query.__name__: query for query in named}
     out["sample_size"] = sample_size_query
     out["hotspots_chunked"] = hotspots_chunked_query
+    if llm_queries:
+        out |= llm_queries.QUERIES
+        out["pipeline"] = corpus_pipeline.run
     return out
 
 
 def oracle_sql() -> dict[str, str]:
     """Sequential counterparts in DuckDB SQL, independent of grids and rounds."""
-    return oracle.statements()
+    out = oracle.statements()
+    if llm_queries:
+        out |= llm_queries.ORACLE
+        if corpus_pipeline.ORACLE_SQL:
+            out["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return out
