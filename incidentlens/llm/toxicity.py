@@ -28,12 +28,12 @@ from incidentlens.llm.tables import bounded_broadcast, map_batches, map_rows, wo
 
 MIN_N, MAX_N = 3, 6
 BUCKETS = 1 << 22
-TRAIN_ROWS = 8_000
+TRAIN_ROWS = 12_000
 FEATURES = 4_096
 MIN_DOCS = 3
 THRESHOLD = 0.3
 RIDGE = 1.0
-STEPS = 400
+STEPS = 800
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIXER = np.uint64(0xD6E8FEB86659FD93)
 
