@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incidentlens.llm import bpe, chat, decontaminate, line_rules, pii, quality_lm, toxicity, url_filter
+from incidentlens.llm import bpe, chat, decontaminate, line_rules, pii, quality_lm, substring, toxicity, url_filter
 from incidentlens.llm.tables import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -51,6 +51,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_conversations(chat.format_conversations(rows.unionByName(extra)))
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_lm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     each = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")
@@ -94,6 +98,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_decontaminate, op2_byte_bpe, op3_toxicity, op5_chat_format, op7_quality, op8_pii, op9_line_rules, op10_url_filter,
+    op1_decontaminate, op2_byte_bpe, op3_toxicity, op5_chat_format, op6_substring, op7_quality, op8_pii, op9_line_rules, op10_url_filter,
 )}
 ORACLE: dict[str, str] = {}
