@@ -11,7 +11,8 @@ takes one pass over the texts. Entries of order 1 and 2 go with every shard (at
 units). Log-probabilities are kept in millionths and summed as integers: results do not depend on order.
 
 A document is rejected when its log-perplexity lies outside the quantiles LOW and HIGH of the trusted
-documents of its language, each moved outwards by SLACK nats, so that unusual clean text stays.
+documents of its language, each moved outwards by SLACK + SPREAD / sqrt(units) nats: the mean over few
+units varies more, and unusual clean text should stay.
 
 Definitions
 * null or empty text: nothing to predict, log-perplexity null, rejected (there is nothing to train on);
@@ -34,6 +35,7 @@ from incidentlens.llm.tables import bounded_broadcast, map_rows, workspace
 
 ORDER = 4
 LOW, HIGH, SLACK = 0.002, 0.995, 0.08
+SPREAD = 2.0
 SHARD_ROWS = 2_000_000
 MICRO = 1_000_000
 BINS = 1_000  # quantiles are found on a grid of thousandths of a nat
@@ -287,9 +289,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     judged = scored.withColumn("known", F.coalesce("lang", F.lit(""))).join(
         ranges.filter("lang IS NOT NULL").withColumnRenamed("lang", "known"), "known", "left"
     )
+    few = SPREAD / F.sqrt("units")
     inside = F.col("log_ppl").between(
-        F.coalesce("lower", F.lit(lower).cast("double"), F.lit(float("-inf"))),
-        F.coalesce("upper", F.lit(upper).cast("double"), F.lit(float("inf"))),
+        F.coalesce("lower", F.lit(lower).cast("double"), F.lit(float("-inf"))) - few,
+        F.coalesce("upper", F.lit(upper).cast("double"), F.lit(float("inf"))) + few,
     )
     return judged.select(
         "doc_id", "lang", "text_key", "copies", "units", "log_ppl",

@@ -20,7 +20,7 @@ from incidentlens.workspace import Workspace
 # A table of at most this many bytes (rows times width) may be broadcast; larger ones are shuffled.
 BROADCAST_BYTES = 16 << 20
 # Python stages cut their batches so that one holds at most this much text.
-BATCH_CHARS = 8 << 20
+BATCH_CHARS = 4 << 20
 
 BatchFunction = Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]
 
