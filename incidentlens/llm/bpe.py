@@ -17,15 +17,21 @@ from __future__ import annotations
 import base64
 from functools import cache
 
+import numpy as np
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from incidentlens.llm.tables import map_batches
 
-# Encodings of pieces are kept per task up to this number, and dropped together beyond it.
-CACHED_PIECES = 200_000
+# Encodings of pieces, and which tokens go together, are kept per task up to these numbers, and
+# dropped together beyond them.
+CACHED_PIECES = 400_000
 CACHED_PIECE_CHARS = 64
+# Beginnings of matches whose length is a multiple of this are remembered for other matches.
+STRIDE = 3
+CACHED_PAIRS = 300_000
+CACHED_STARTS = 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -41,58 +47,95 @@ class Vocabulary:
         self.ranks = ranks
         self.bytes = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks), default=0)
-        self._whole: dict[bytes, bool] = {}
-        self._pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.shift = max(ranks.values(), default=0).bit_length()
+        self._halves: dict[int, tuple[int, int] | None] = {}
+        self.pairs: dict[int, bool] = {}
+        # Tokens that merging yields from their own bytes; others only stand for a whole match.
+        self.reachable = {t: r for t, r in ranks.items() if len(self.merged(t)) == 1}
 
-    def merged(self, data: bytes) -> list[bytes]:
-        """Plain byte-pair merging, lowest rank first, leftmost on ties. For short data only."""
+    def merged(self, data: bytes, below: int = 1 << 60) -> list[bytes]:
+        """Plain byte-pair merging, lowest rank first, leftmost on ties. For short data only.
+
+        Only merges of a rank under ``below`` are made.
+        """
         parts = [data[i : i + 1] for i in range(len(data))]
         while len(parts) > 1:
             rank, at = min(
                 (self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1)
             )
-            if rank == 1 << 60:
+            if rank >= below:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def reachable(self, token: bytes) -> bool:
-        """Whether merging yields the token from its own bytes."""
-        known = self._whole.get(token)
+    def halves(self, rank: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes this one; None for single bytes."""
+        if rank not in self._halves:
+            parts = self.merged(self.bytes[rank], rank)
+            self._halves[rank] = tuple(map(self.ranks.__getitem__, parts)) if len(parts) == 2 else None
+        return self._halves[rank]
+
+    def may_follow(self, left: int, right: int) -> bool:
+        """Whether two tokens, given by rank, stay as they are when their bytes are merged.
+
+        Both are taken apart towards their common border, the one merged last first. If the parts at
+        the border could merge earlier than they were merged away from it, the pair does not hold.
+        """
+        key = left << self.shift | right
+        known = self.pairs.get(key)
         if known is None:
-            known = self._whole[token] = token in self.ranks and len(self.merged(token)) == 1
+            if len(self.pairs) >= CACHED_PAIRS:
+                self.pairs.clear()
+            known = self.pairs[key] = self._border_holds(left, right)
         return known
 
-    def may_follow(self, left: bytes, right: bytes) -> bool:
-        key = (left, right)
-        known = self._pairs.get(key)
-        if known is None:
-            if len(self._pairs) >= 4 * CACHED_PIECES:
-                self._pairs.clear()
-            known = self._pairs[key] = self.merged(left + right) == [left, right]
-        return known
+    def _border_holds(self, left: int, right: int) -> bool:
+        data, ranks = self.bytes, self.ranks
+        before = 1 << 60
+        while True:
+            joined = ranks.get(data[left] + data[right])
+            if joined is not None and joined < before:
+                return False
+            whole_left, whole_right = self.halves(left), self.halves(right)
+            if whole_left and (left > right or not whole_right):
+                before, left = left, whole_left[1]
+            elif whole_right:
+                # a border merge of the same rank further left comes first
+                before, right = right + 1, whole_right[0]
+            else:
+                return True
 
 
 class PrefixEncoder:
-    """The last token of every prefix of one growing piece of bytes."""
+    """The last token (as its rank) of every prefix of one growing piece of bytes."""
 
-    def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
+    def __init__(self, vocabulary: Vocabulary, data: bytes = b"", last: list[int] | None = None):
+        """``last``: what is known already of a prefix of the data."""
         self.vocabulary = vocabulary
-        self.data = bytearray()
-        self.last: list[bytes] = []
-        self.append(data)
+        self.last = list(last or ())
+        self.data = bytearray(data[: len(self.last)])
+        self.append(data[len(self.last) :])
 
     def append(self, more: bytes) -> None:
         voc, last = self.vocabulary, self.last
+        get, longest, shift, known = voc.reachable.get, voc.longest, voc.shift, voc.pairs.get
         start = len(self.data)
         self.data += more
         data = bytes(self.data)
         for end in range(start + 1, len(data) + 1):
-            for begin in range(max(0, end - voc.longest), end):
-                token = data[begin:end]
-                if voc.reachable(token) and (not begin or voc.may_follow(last[begin - 1], token)):
-                    last.append(token)
-                    break
+            # Only one token fits, so the order of trials is free; short ones are the likelier.
+            for begin in range(end - 1, max(0, end - longest) - 1, -1):
+                rank = get(data[begin:end])
+                if rank is None:
+                    continue
+                if begin:
+                    fits = known(last[begin - 1] << shift | rank)
+                    if fits is None:
+                        fits = voc.may_follow(last[begin - 1], rank)
+                    if not fits:
+                        continue
+                last.append(rank)
+                break
             else:
                 raise ValueError(f"no token ends at byte {end}: the vocabulary lacks single bytes")
 
@@ -102,46 +145,58 @@ class PrefixEncoder:
         del self.data[start:], self.last[start:]
         self.append(new + tail)
 
-    def tokens(self) -> list[bytes]:
-        out, end = [], len(self.data)
+    def ids(self) -> list[int]:
+        out, end, length = [], len(self.data), self.vocabulary.bytes
         while end:
             out.append(self.last[end - 1])
-            end -= len(out[-1])
+            end -= len(length[out[-1]])
         return out[::-1]
 
-    def ids(self) -> list[int]:
-        return [self.vocabulary.ranks[token] for token in self.tokens()]
 
+class Encoder(dict):
+    """Whole texts: cut by the pattern, each match encoded for itself.
 
-class Encoder:
-    """Whole texts: cut by the pattern, each match encoded for itself."""
+    The dictionary holds what is known of short matches: their ids as packed 32-bit numbers.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        super().__init__()
         self.vocabulary = Vocabulary(ranks)
-        self.find = regex.compile(pattern).finditer
-        self._known: dict[str, list[int]] = {}
+        self.find = regex.compile(pattern).findall
+        self.starts: dict[bytes, list[int]] = {}  # last tokens of beginnings of matches
+        self.tokens = [self.vocabulary.bytes.get(i, b"") for i in range(1 + max(self.vocabulary.bytes))]
 
-    def piece(self, text: str) -> list[int]:
-        data = text.encode()
+    def __missing__(self, part: str) -> bytes:
+        data = part.encode()
         rank = self.vocabulary.ranks.get(data)  # a whole match that is a token is taken as it is
-        return [rank] if rank is not None else PrefixEncoder(self.vocabulary, data).ids()
-
-    def encode(self, text: str | None) -> list[int]:
-        known, out = self._known, []
-        for match in self.find(text or ""):
-            part = match.group()
-            ids = known.get(part)
-            if ids is None:
-                ids = self.piece(part)
-                if len(part) <= CACHED_PIECE_CHARS:
-                    if len(known) >= CACHED_PIECES:
-                        known.clear()
-                    known[part] = ids
-            out += ids
-        return out
-
-    def decode(self, ids: list[int] | None) -> bytes:
-        return b"".join(map(self.vocabulary.bytes.__getitem__, ids or ()))
+        packed = np.array([rank] if rank is not None else self.piece(data), np.int32).tobytes()
+        if len(part) <= CACHED_PIECE_CHARS:
+            if len(self) >= CACHED_PIECES:
+                self.clear()
+            self[part] = packed
+        return packed
+
+    def piece(self, data: bytes) -> list[int]:
+        """Ids of one match, from the longest beginning that an earlier match has left behind."""
+        if len(data) > CACHED_PIECE_CHARS:
+            return PrefixEncoder(self.vocabulary, data).ids()
+        known = None
+        for cut in range((len(data) - 1) // STRIDE * STRIDE, 0, -STRIDE):
+            known = self.starts.get(data[:cut])
+            if known:
+                break
+        encoder = PrefixEncoder(self.vocabulary, data, known)
+        if len(self.starts) >= CACHED_STARTS:
+            self.starts.clear()
+        for cut in range((len(known or ()) // STRIDE + 1) * STRIDE, len(data) + 1, STRIDE):
+            self.starts[data[:cut]] = encoder.last[:cut]
+        return encoder.ids()
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.__getitem__, self.find(text or ""))), np.int32)
+
+    def decode(self, ids) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, () if ids is None else ids))
 
 
 @cache
@@ -151,30 +206,43 @@ def _encoder(path: str, pattern: str) -> Encoder:
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
     """All columns of ``docs`` and ``token_ids ARRAY<INT>``; the vocabulary is read on the executors."""
-    return _mapped(docs, text, "token_ids", "array<int>", lambda: _encoder(ranks_path, pattern).encode)
+
+    def columns(encoder: Encoder, values: list) -> dict[str, list]:
+        return {"token_ids": [encoder.encode(value) for value in values]}
+
+    return _mapped(docs, text, "token_ids array<int>", ranks_path, pattern, columns)
 
 
 def decode(docs: DataFrame, ranks_path: str, pattern: str, ids: str = "token_ids") -> DataFrame:
     """All columns of ``docs`` and ``decoded BINARY``."""
-    return _mapped(docs, ids, "decoded", "binary", lambda: _encoder(ranks_path, pattern).decode)
 
+    def columns(encoder: Encoder, values: list) -> dict[str, list]:
+        return {"decoded": [encoder.decode(value) for value in values]}
 
-def _mapped(docs: DataFrame, source: str, target: str, kind: str, load) -> DataFrame:
-    if target in docs.columns:
-        raise ValueError(f"the input has a column {target!r} already")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
+    return _mapped(docs, ids, "decoded binary", ranks_path, pattern, columns)
 
-    def make():
-        work = load()
 
-        def run(columns):
-            return {**columns, target: [work(value) for value in columns[source]]}
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
+    """``encode`` and then ``decode`` in one pass of Python workers."""
+
+    def columns(encoder: Encoder, values: list) -> dict[str, list]:
+        ids = [encoder.encode(value) for value in values]
+        return {"token_ids": ids, "decoded": [encoder.decode(one.tolist()) for one in ids]}
 
-        return run
+    return _mapped(docs, text, "token_ids array<int>, decoded binary", ranks_path, pattern, columns)
+
+
+def _mapped(docs: DataFrame, source: str, added: str, ranks_path: str, pattern: str, work) -> DataFrame:
+    new = {part.split()[0] for part in added.split(", ")}
+    docs = docs.drop(*(new - {source}))  # a column of the input with the same name gives way
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
+
+    def make():
+        encoder = _encoder(ranks_path, pattern)
+        return lambda columns: {**columns, **work(encoder, columns[source])}
 
     by_text = docs.schema[source].dataType.simpleString() == "string"
-    schema = ", ".join([*fields, f"{target} {kind}"])
-    return map_batches(docs, make, schema, source if by_text else None)
+    return map_batches(docs, make, ", ".join([*fields, added]), source if by_text else None)
 
 
 def ids_text(ids: str = "token_ids") -> Column:
