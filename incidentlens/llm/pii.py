@@ -155,3 +155,13 @@ def find_pii(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
 
     chosen = docs.select(*dict.fromkeys([*keep, text]))
     return map_batches(chosen, make, ", ".join([*fields, f"found {span}", "redacted string"]), text)
+
+
+def redact(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with the accepted spans of the text column replaced; all else is passed through."""
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
+
+    def make():
+        return lambda columns: {**columns, text: [redacted(t, spans(t)) for t in columns[text]]}
+
+    return map_batches(docs, make, ", ".join(fields), text)
