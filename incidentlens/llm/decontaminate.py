@@ -24,6 +24,7 @@ from incidentlens.llm.tables import bounded_broadcast, workspace
 WINDOW = 13
 GRAM = 8
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+CAPITAL_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -32,6 +33,12 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SEPARATORS), "")
 
 
+def folded_words(text: Column) -> Column:
+    """As many words in capitals. Capitals equate more than A-Z with a-z does, and unlike lower case do
+    not depend on neighbouring letters, so equal words stay equal in any text."""
+    return F.array_remove(F.split(F.upper(F.coalesce(text, F.lit(""))), CAPITAL_SEPARATORS), "")
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once per row, not at each use inside a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -68,12 +75,13 @@ KEY = ["doc_id", "text_key"]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_words``, ``n_hit``, ``items`` (sorted ids) and ``contaminated`` per document row."""
+    """``doc_id``, ``text_key``, ``n_words``, ``n_hit``, ``items`` (sorted ids), ``contaminated`` per row."""
     ws = workspace(docs)
     # One row per distinct window, with its fingerprint and the items that hold it.
     found = _item_windows(benchmark.select("item_id", "text"))
     whole = F.size("window") == WINDOW
-    one_print = F.when(whole, F.array_min(grams(F.col("window")))).otherwise(F.xxhash64("window"))
+    folded = F.transform("window", F.upper)
+    one_print = F.when(whole, F.array_min(let(folded, grams))).otherwise(F.xxhash64(folded))
     windows = ws.save(
         found.groupBy("window")
         .agg(F.array_sort(F.collect_set("item_id")).alias("items"))
@@ -84,10 +92,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     short = sorted(row["n"] for row in lengths if row["n"] < WINDOW)
     prints = ws.save(windows.df.select("print").distinct().withColumn("shared", F.lit(True)), "item-prints")
 
-    # Candidates are found under full lower case, which only equates more than A-Z does.
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     # Exploding a one-element array keeps the optimizer from cutting the words again at each use.
-    cut = keyed.select(*KEY, F.explode(F.array(words(F.lower("text")))).alias("words"))
+    cut = keyed.select(*KEY, F.explode(F.array(folded_words(F.col("text")))).alias("words"))
     spread = cut.select(
         *KEY,
         F.size("words").alias("n_words"),
@@ -113,6 +120,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n_words = F.col("n_words").cast("bigint")
     return out.select(
         F.col("s.doc_id").alias("doc_id"),
+        F.col("s.text_key").alias("text_key"),
         n_words.alias("n_words"),
         n_hit.alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
@@ -129,9 +137,9 @@ def _window_hits(docs: DataFrame, windows, short: list[int]) -> DataFrame:
     """Where benchmark windows occur in candidate documents: key, start, length, items_key."""
     exact = words(F.translate("text", UPPER, LOWER))
     cut = docs.dropDuplicates(KEY).select(
-        *KEY, F.explode(F.array(F.struct(words(F.lower("text")).alias("low"), exact.alias("exact")))).alias("w")
+        *KEY, F.explode(F.array(F.struct(folded_words(F.col("text")).alias("folded"), exact.alias("exact")))).alias("w")
     ).select(*KEY, "w.*")
-    hashed = cut.select(*KEY, "low", "exact", F.explode(F.array(grams(F.col("low")))).alias("grams"))
+    hashed = cut.select(*KEY, "folded", "exact", F.explode(F.array(grams(F.col("folded")))).alias("grams"))
     n = F.size("exact")
 
     def at(length: int, print_at) -> Column:
@@ -144,7 +152,7 @@ def _window_hits(docs: DataFrame, windows, short: list[int]) -> DataFrame:
 
     places = F.concat(
         at(WINDOW, lambda i: F.array_min(F.slice("grams", i, WINDOW - GRAM + 1))),
-        *[at(k, lambda i, k=k: F.xxhash64(F.slice("low", i, k))) for k in short],
+        *[at(k, lambda i, k=k: F.xxhash64(F.slice("folded", i, k))) for k in short],
     )
     each = hashed.select(*KEY, "exact", F.explode(places).alias("place")).select(
         *KEY, "place.start", "place.length", "place.print", F.slice("exact", F.col("place.start"), F.col("place.length")).alias("window")

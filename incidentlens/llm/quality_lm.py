@@ -150,7 +150,7 @@ def _with_shard(entries: DataFrame, shards: int) -> DataFrame:
         .when((F.col("kind") == PROB) & (F.col("n") == 3), F.shiftrightunsigned(key, 16))
         .when((F.col("kind") == BACK) & F.col("n").isin(2, 3), key)
     )
-    spread = _suffix(middle, 2) * F.lit(2654435761) % F.lit(shards)
+    spread = _suffix(middle, 2) * F.lit(40503) % F.lit(shards)
     return entries.withColumn("shard", F.coalesce(spread, F.lit(-1)).cast("int"))
 
 
@@ -165,7 +165,7 @@ class Shard:
         keys = keys_of(text)
         if self.shards > 1:
             middle = (keys >> np.uint64(16)) & np.uint64(0xFFFFFFFF)
-            keys = keys[middle * np.uint64(2654435761) % np.uint64(self.shards) == self.shard]
+            keys = keys[middle * np.uint64(40503) % np.uint64(self.shards) == self.shard]
         positions, out = len(keys), 0
         for n in range(ORDER, 0, -1):
             suffix = keys & np.uint64((1 << (16 * n)) - 1) if n < ORDER else keys
@@ -289,7 +289,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     judged = scored.withColumn("known", F.coalesce("lang", F.lit(""))).join(
         ranges.filter("lang IS NOT NULL").withColumnRenamed("lang", "known"), "known", "left"
     )
-    few = SPREAD / F.sqrt("units")
+    few = SPREAD / F.sqrt(F.greatest("units", F.lit(1)))
     inside = F.col("log_ppl").between(
         F.coalesce("lower", F.lit(lower).cast("double"), F.lit(float("-inf"))) - few,
         F.coalesce("upper", F.lit(upper).cast("double"), F.lit(float("inf"))) + few,
