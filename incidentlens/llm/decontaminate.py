@@ -81,7 +81,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = _item_windows(benchmark.select("item_id", "text"))
     whole = F.size("window") == WINDOW
     folded = F.transform("window", F.upper)
-    one_print = F.when(whole, F.array_min(let(folded, grams))).otherwise(F.xxhash64(folded))
+    one_print = F.when(whole, F.array_min(let(folded, lambda a: grams(a)))).otherwise(F.xxhash64(folded))
     windows = ws.save(
         found.groupBy("window")
         .agg(F.array_sort(F.collect_set("item_id")).alias("items"))
