@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incidentlens.llm import bpe, chat, decontaminate, line_rules, ngram_join, pii, quality_lm, substring, toxicity, url_filter
+from incidentlens.llm import bpe, chat, decontaminate, line_rules, ngram_join, oracle, pii, quality_lm, substring, toxicity, url_filter
 from incidentlens.llm.tables import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -103,4 +103,4 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_byte_bpe, op3_toxicity, op4_ngram_join, op5_chat_format, op6_substring, op7_quality, op8_pii, op9_line_rules, op10_url_filter,
 )}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = oracle.STATEMENTS
