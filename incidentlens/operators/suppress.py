@@ -16,24 +16,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import double
 from ..rule import MatchRule
 from ..sizes import Sizes
 from ..workspace import Workspace
-from .grid import (
-    GEOMETRY,
-    cell_number,
-    cell_side,
-    match_condition,
-    match_join,
-    reached_cells,
-    spot_columns,
-)
-
-# Wide cells per tile side, and the ways a tile's rows are dealt when they meet its counts.
-TILE_CELLS = 16
-TILE_SALTS = 16
-
+from .grid import GEOMETRY, match_condition, match_join, spot_columns
+from .sweep import tile_sweep
 
 def spot_heads(points: DataFrame, rule: MatchRule) -> DataFrame:
     """The lowest-ranked row of every spot; partial aggregation leaves one row per spot and task."""
@@ -71,70 +58,6 @@ def ordered_fold(points: DataFrame, rule: MatchRule) -> DataFrame:
     )
 
 
-def tile_sweep(
-    undecided: DataFrame,
-    rule: MatchRule,
-    ws: Workspace,
-    sizes: Sizes = Sizes(),
-    shifted: bool = False,
-) -> DataFrame:
-    """Rows that the ordered fold of a tile (a block of wide cells) can already tell to survive.
-
-    A row stays open if a cell of another tile, near enough, holds a lower row, or if an open
-    lower row of its own tile matches it. All else is settled in one go, however long the chain
-    of rows that depend on one another. Tiles with more than ``tile_rows`` rows are left to the
-    plain rounds.
-    """
-    side = cell_side(rule)
-    shift = TILE_CELLS // 2 if shifted else 0
-
-    def tile_of(*indexes: str) -> str:
-        blocks = [f"floor(({index} + {shift}) / {TILE_CELLS})" for index in indexes]
-        return cell_number(*blocks, side)
-
-    home = tile_of(*[f"floor({axis} / {double(side)})" for axis in "xyz"])
-    salt = f"int(pmod(xxhash64(rank), {TILE_SALTS})) AS salt"
-    tiled = undecided.selectExpr("*", f"{home} AS tile", salt)
-    cells = ws.write(
-        tiled.groupBy(*rule.keys, "tile", "cell").agg(
-            F.count(F.lit(1)).alias("held"), F.min("rank").alias("lowest")
-        ),
-        "cells",
-    )
-    # Salts spread the rows of crowded cells and tiles; the tables they meet are copied instead.
-    salts = f"explode(sequence(0, {TILE_SALTS - 1})) AS salt"
-    lows = cells.selectExpr(*rule.keys, "cell", "lowest", salts)
-    across = reached_cells(tiled.drop("cell"), rule, side).filter(
-        f"{tile_of('cx', 'cy', 'cz')} <> tile"
-    )
-    exposed = (
-        across.selectExpr(
-            "rank", *rule.keys, f"{cell_number('cx', 'cy', 'cz', side)} AS cell", "salt"
-        )
-        .join(lows.hint("merge"), [*rule.keys, "cell", "salt"])
-        .filter("lowest < rank")
-        .selectExpr("rank", "true AS exposed")
-        .distinct()
-    )
-    tiles = cells.groupBy(*rule.keys, "tile").agg(F.sum("held").alias("held"))
-    small = tiles.filter(f"held <= {sizes.tile_rows}").selectExpr(*rule.keys, "tile", salts)
-    rows = tiled.join(small.hint("merge"), [*rule.keys, "tile", "salt"])
-    rows = rows.join(exposed, "rank", "left")
-    groups = rows.groupBy(*rule.keys, "tile").agg(F.expr(_rows_in_order("exposed")))
-    match_k, match_o = (match_condition(rule, "p.", f"{name}.") for name in "ko")
-    swept = f"""aggregate(rows,
-        struct(filter(rows, p -> false) AS kept, filter(rows, p -> false) AS open),
-        (s, p) -> CASE
-          WHEN exists(s.kept, k -> {match_k}) THEN s
-          WHEN p.exposed IS NOT NULL OR exists(s.open, o -> {match_o})
-            THEN struct(s.kept AS kept, concat(s.open, array(p)) AS open)
-          ELSE struct(concat(s.kept, array(p)) AS kept, s.open AS open) END,
-        s -> s.kept)"""
-    return groups.selectExpr(*rule.keys, f"inline({swept})").select(
-        "rank", "row_id", *rule.keys, *GEOMETRY, "cell"
-    )
-
-
 def group_sizes(rows: DataFrame, rule: MatchRule) -> tuple[int, int]:
     """Rows in all, and in the largest key group; counts are combined before they are shuffled."""
     groups = rows.groupBy(*rule.keys).agg(F.count(F.lit(1)).alias("held"))
@@ -171,17 +94,23 @@ def greedy_survivors(
     if not rule.can_match:
         return undecided
     left, most = group_sizes(undecided, rule)
-    sweep = False
+    sweep, path = False, None
     while not sizes.foldable(left, most):
         if sweep:
             # Neighbouring sweeps cut the tiles at different places.
             found = tile_sweep(undecided, rule, ws, sizes, shifted=len(kept_rounds) % 2 == 1)
         else:
             found = plain_round(undecided, rule, ws, crowded)
-        kept = ws.write(found.select(*columns), "kept")
-        kept_rounds.append(kept)
-        rest = match_join(undecided, kept, rule, "left_anti", crowded)
-        undecided = ws.write(rest.select(*columns), "undecided")
+        kept = ws.save(found.select(*columns), "kept")
+        if sweep and not kept.rows:
+            sweep = False  # a plain round always settles something
+            continue
+        kept_rounds.append(kept.df)
+        rest = match_join(undecided, kept.df, rule, "left_anti", crowded)
+        used, undecided = path, ws.write(rest.select(*columns), "undecided")
+        path = ws.last
+        if used:
+            ws.remove(used)
         before = left
         left, most = group_sizes(undecided, rule)
         if left == before and not sweep:

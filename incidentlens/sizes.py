@@ -11,10 +11,11 @@ class Sizes:
     split_rows: int = 1_000_000
     # When no key group holds more undecided rows than this, each is settled by one ordered fold.
     fold_rows: int = 1_000
-    # Larger groups, up to ``tile_rows``, are folded while rows times group size stay below this.
+    # Larger groups, up to ``fold_most``, are folded while rows times group size stay below this.
     fold_work: int = 200_000_000
-    # Largest tile to fold; the rows kept in a tile, and with them the work per row, are few.
-    tile_rows: int = 10_000
+    fold_most: int = 10_000
+    # Sweeps take the widest tiles that hold no more rows than this each; any tile can be swept.
+    tile_rows: int = 2_000_000
     # A plain round that leaves more than this share of its rows undecided is followed by a sweep.
     slow_share: float = 0.5
     # A sweep that leaves more than this share undecided is followed by a plain round.
@@ -26,4 +27,4 @@ class Sizes:
         """Whether groups of these sizes (all rows, largest group) may be folded."""
         if largest <= self.fold_rows:
             return True
-        return largest <= self.tile_rows and rows * largest <= self.fold_work
+        return largest <= self.fold_most and rows * largest <= self.fold_work

@@ -48,11 +48,13 @@ class Workspace:
         self.spark = spark
         self.path = f"{folder or checkpoint_folder(spark)}/incidentlens-{uuid.uuid4().hex}"
         self._tables = 0
+        self.last: str | None = None  # folder of the table written last
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         self._tables += 1
         path = f"{self.path}/{self._tables:04d}-{name}"
         df.write.parquet(path)
+        self.last = path
         return self.spark.read.schema(df.schema).parquet(path)
 
     def save(self, df: DataFrame, name: str) -> SavedTable:
@@ -61,6 +63,10 @@ class Workspace:
 
     def close(self) -> None:
         """Delete the run's tables."""
-        hadoop_path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        self.remove(self.path)
+
+    def remove(self, path: str) -> None:
+        """Delete one table, once nothing that is still to run reads it."""
+        hadoop_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         conf = self.spark._jsc.hadoopConfiguration()
         hadoop_path.getFileSystem(conf).delete(hadoop_path, True)
