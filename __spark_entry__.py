@@ -23,7 +23,7 @@ from incidentlens import (  # noqa: E402
     hotspots_chunked,
 )
 from incidentlens.operators import assign, chunks, fitness, pairs  # noqa: E402
-from incidentlens.operators.grid import to_points  # noqa: E402
+from incidentlens.operators.grid import crowded_cells, to_points  # noqa: E402
 from incidentlens.operators.ordering import with_position  # noqa: E402
 from incidentlens.operators.sampling import (  # noqa: E402
     draw_sample,
@@ -31,7 +31,7 @@ from incidentlens.operators.sampling import (  # noqa: E402
     sample_size,
     without_sample,
 )
-from incidentlens.operators.suppress import head_edges  # noqa: E402
+from incidentlens.operators.suppress import first_round_survivors, head_edges  # noqa: E402
 from incidentlens.plans.selection import Stages, thin_chunks  # noqa: E402
 from incidentlens.sources import (  # noqa: E402
     ParsedIncidents,
@@ -52,6 +52,10 @@ except ModuleNotFoundError as error:
 
 RULE = MatchRule(MILEAGE)
 ROUNDS_ONLY = Sizes(fold_rows=0, fold_work=0)
+# Small sizes that make the paths for large tables run on small ones.
+SWEEPS = Sizes(fold_rows=0, fold_work=0, slow_share=0.0, tile_rows=100)
+SALTED = Sizes(split_rows=20)
+PREFIXES = Sizes(sort_rows=50)
 KEYED = RULE.also_equal("weekday")
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -155,7 +159,8 @@ def hotspots_nonzero(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sample_size_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = fixture.incidents(spark, sf_dir).agg(F.count(F.lit(1)).alias("incidents"))
-    return counted.withColumn("sample_size", F.expr(f"incidents * {PCT} div 100"))
+    size = sample_size(counted.first()["incidents"], PCT)
+    return counted.withColumn("sample_size", F.lit(size).cast("bigint"))
 
 
 def suppressor_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,9 +215,9 @@ def fitness_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fitness_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Partial counts per chunk, summed up; suppressors without any keep 0."""
     points, kept = _sampled(spark, sf_dir, carry_chunks=True)
-    credits = assign.assign_first(points, kept, RULE).filter("owner_id <> row_id")
-    partial = credits.groupBy("chunk_id", "owner_id").agg(F.count(F.lit(1)).alias("fitness"))
-    merged = fitness.add_fitness(partial.drop("chunk_id"))
+    owned = assign.assign_first(points, kept, RULE)
+    partial = [fitness.fitness_counts(owned.filter(f"chunk_id = {c}")) for c in range(CHUNKS)]
+    merged = fitness.add_fitness(*partial)
     return fitness.with_fitness(kept, merged).select("row_id", "fitness")
 
 
@@ -222,6 +227,47 @@ def greedy_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.owners.selectExpr("row_id", "owner_id = row_id AS kept", "owner_id")
 
 
+def dedupe_along_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In an order that runs along the roads, settled by sweeps over tiles."""
+    incidents = fixture.incidents(spark, sf_dir)
+    ordered = with_position(incidents, Workspace(spark), "partial_location", "lat", "row_id")
+    run = dedupe_points(ordered, MILEAGE, "position", sizes=SWEEPS)
+    return run.owners.selectExpr("row_id", "owner_id = row_id AS kept", "owner_id")
+
+
+def first_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = to_points(fixture.incidents(spark, sf_dir), RULE, "row_id")
+    return first_round_survivors(points, RULE, Workspace(spark))
+
+
+def assign_first_salted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As with cells so full that they are split over tasks."""
+    points, kept = _sampled(spark, sf_dir)
+    crowded = crowded_cells(points, RULE, points.count(), Workspace(spark), SALTED)
+    owned = assign.assign_first(points, kept, RULE, crowded)
+    return owned.filter("owner_id IS NOT NULL").select("row_id", "owner_id")
+
+
+def suppressor_sample_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As with a table too large to sort: the cut-off is found from counts per digest prefix."""
+    incidents = fixture.incidents(spark, sf_dir)
+    rows = incidents.count()
+    cut = find_cut(incidents, rows, sample_size(rows, PCT), SEED, PREFIXES)
+    return draw_sample(incidents, cut).select("row_id", "digest")
+
+
+def road_counts_sharp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names whose capitals are longer than their small letters."""
+    fixture.incidents(spark, sf_dir).createOrReplaceTempView("incidents")
+    return pairs.road_counts(spark.sql(fixture.SHARP_SQL))
+
+
+def guarded_distance_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With gaps in the row ids, as rejected lines leave them."""
+    parsed = ParsedIncidents(parse_lines(fixture.lines(spark, sf_dir, broken=True)))
+    return _rounded(pairs.guarded_distances(parsed.good))
+
+
 def suppressors_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Survivors of the sample with the fitness they have inside the sample."""
     incidents = fixture.incidents(spark, sf_dir)
@@ -360,6 +406,12 @@ def queries() -> dict[str, Query]:
         fitness_counts,
         fitness_merged,
         greedy_suppress,
+        dedupe_along_roads,
+        first_round,
+        assign_first_salted,
+        suppressor_sample_prefix,
+        road_counts_sharp,
+        guarded_distance_gaps,
         suppressors_clean,
         fitness_after_assign,
         suppressed_totals,

@@ -55,3 +55,12 @@ FROM incidents
 def lines(spark: SparkSession, sf_dir: str, broken: bool) -> DataFrame:
     incidents(spark, sf_dir).createOrReplaceTempView("incidents")
     return spark.sql(BROKEN_LINE_SQL if broken else LINE_SQL)
+
+
+SHARP_SQL = """
+SELECT row_id, CASE row_id % 4 WHEN 0 THEN concat('Hauptstra\u00dfe ', CAST(row_id % 5 AS STRING))
+                               WHEN 1 THEN concat('HAUPTSTRASSE ', CAST(row_id % 5 AS STRING))
+                               WHEN 2 THEN concat('haupTSTRA\u00dfe ', CAST(row_id % 5 AS STRING))
+                               ELSE concat('Hauptstrasse ', CAST(row_id % 5 AS STRING)) END AS partial_location
+FROM incidents
+"""

@@ -5,23 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..functions import fold_case, guarded_distance_miles
+from ..workspace import Workspace
+from .ordering import with_position
 
 
-def consecutive(incidents: DataFrame) -> DataFrame:
-    """Each incident with its successor by ``row_id`` (columns with prefix ``n_``)."""
+def consecutive(incidents: DataFrame, ws: Workspace) -> DataFrame:
+    """Each incident with its successor in ``row_id`` order (columns with prefix ``n_``).
+
+    Row ids may have gaps, as lines that cannot be read keep their numbers.
+    """
     narrow = incidents.selectExpr(
         "row_id", f"{fold_case('partial_location')} AS loc_key", "lat", "lon", "bearing"
     )
-    following = narrow.selectExpr(
-        "row_id - 1 AS row_id", *[f"{c} AS n_{c}" for c in narrow.columns]
+    placed = ws.write(with_position(narrow, ws, "row_id"), "placed")
+    following = placed.selectExpr(
+        "position - 1 AS position", *[f"{c} AS n_{c}" for c in narrow.columns]
     )
-    return narrow.join(following, "row_id")
+    return placed.join(following, "position").drop("position")
 
 
-def guarded_distances(incidents: DataFrame) -> DataFrame:
+def guarded_distances(incidents: DataFrame, ws: Workspace | None = None) -> DataFrame:
     """Miles to the successor, -1 when it lies on another road."""
+    ws = ws or Workspace(incidents.sparkSession)
     miles = guarded_distance_miles("loc_key", "lat", "lon", "n_loc_key", "n_lat", "n_lon")
-    return consecutive(incidents).selectExpr("row_id", "n_row_id AS next_id", f"{miles} AS miles")
+    return consecutive(incidents, ws).selectExpr("row_id", "n_row_id AS next_id", f"{miles} AS miles")
 
 
 def road_counts(incidents: DataFrame) -> DataFrame:

@@ -75,6 +75,13 @@ def plain_round(
     return heads.join(blocked, "rank", "left_anti")
 
 
+def first_round_survivors(
+    points: DataFrame, rule: MatchRule, ws: Workspace, crowded: DataFrame | None = None
+) -> DataFrame:
+    """``row_id`` of the rows that no lower-ranked row matches: what the first round keeps."""
+    return plain_round(points, rule, ws, crowded).select("row_id")
+
+
 def greedy_survivors(
     points: DataFrame,
     rule: MatchRule,

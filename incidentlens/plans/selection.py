@@ -30,6 +30,7 @@ from ..rule import STRONG_FITNESS, MatchRule
 from ..sizes import Sizes
 from ..workspace import SavedTable, Workspace
 
+INPUT = ("row_id", "lat", "lon", "bearing", "partial_location")
 OUTPUT = ("row_id", "lat", "lon", "fitness")
 
 
@@ -71,9 +72,14 @@ class Stages:
         workspace: Workspace | None,
         sizes: Sizes,
         nearest: bool = False,
+        carry: tuple[str, ...] = (),
     ):
-        self.incidents, self.rule = incidents, rule
+        self.rule = rule
         self.ws = workspace or Workspace(incidents.sparkSession)
+        # The input is read once, here; everything else reads the narrow copy.
+        used = (*INPUT, *rule.extra_keys, *carry)
+        saved = self.ws.save(incidents.select(*dict.fromkeys(used)), "incidents")
+        self.incidents, self.rows = saved.df, saved.rows
         self.sizes = sizes
         self.assign = assign_nearest if nearest else assign_first
         self.seconds: dict[str, float] = {}
@@ -84,6 +90,11 @@ class Stages:
         self.seconds[stage] = now - self._started
         self._started = now
 
+    def run(self, suppressors: DataFrame, owners: DataFrame | None) -> HotspotRun:
+        """The result; suppressors are saved, as every use of a run reads them."""
+        saved = self.ws.write(suppressors, "suppressors")
+        return HotspotRun(self.incidents, saved, owners, self.ws, self.seconds)
+
     def crowded(self, points: DataFrame, rows: int, rule: MatchRule) -> DataFrame | None:
         return crowded_cells(points, rule, rows, self.ws, self.sizes)
 
@@ -145,7 +156,7 @@ def _with_owned(kept: DataFrame, owners: DataFrame, stage: str) -> DataFrame:
 def _nothing_matches(stages: Stages) -> HotspotRun:
     alone = _zero(stages.incidents, "rest")
     owners = stages.incidents.selectExpr("row_id", "row_id AS owner_id", "'rest' AS stage")
-    return HotspotRun(stages.incidents, alone, owners, stages.ws, stages.seconds)
+    return stages.run(alone, owners)
 
 
 def hotspots(
@@ -170,7 +181,7 @@ def hotspots(
     stages = Stages(incidents, rule, workspace, sizes, nearest)
     if not rule.can_match:
         return _nothing_matches(stages)
-    rows = incidents.count()
+    rows = stages.rows
     kept = stages.thin_sample(rows, pct, seed)
     matched, tail = stages.credit(rows, kept)
     crowded = stages.crowded(tail.df, tail.rows, rule)
@@ -186,7 +197,7 @@ def hotspots(
     if kept is not None:
         suppressors = _with_owned(kept, matched, "sample").unionByName(suppressors)
         owners = matched.withColumn("stage", F.lit("sample")).unionByName(owners)
-    return HotspotRun(incidents, suppressors, owners, stages.ws, stages.seconds)
+    return stages.run(suppressors, owners)
 
 
 def dedupe_points(
@@ -200,10 +211,10 @@ def dedupe_points(
 ) -> HotspotRun:
     """Greedy suppression of a whole table by a unique BIGINT ``order`` column, without a sample."""
     rule = rule or MatchRule(mileage)
-    stages = Stages(incidents, rule, workspace, sizes)
+    stages = Stages(incidents, rule, workspace, sizes, carry=(order,))
     if not rule.can_match:
         return _nothing_matches(stages)
-    points = stages.ws.save(to_points(incidents, rule, order), "points")
+    points = stages.ws.save(to_points(stages.incidents, rule, order), "points")
     crowded = stages.crowded(points.df, points.rows, rule)
     kept = greedy_survivors(points.df, rule, stages.ws, crowded, sizes)
     owned = stages.ws.write(
@@ -212,7 +223,7 @@ def dedupe_points(
     stages.lap("thin_rest")
     suppressors = _with_owned(kept, owned, "rest").unionByName(_zero(stages.outside(), "rest"))
     owners = owned.withColumn("stage", F.lit("rest"))
-    return HotspotRun(incidents, suppressors, owners, stages.ws, stages.seconds)
+    return stages.run(suppressors, owners)
 
 
 def hotspots_chunked(
@@ -233,10 +244,10 @@ def hotspots_chunked(
     """
     rule = rule or MatchRule(mileage)
     incidents = incidents.withColumn("chunk_id", F.col(chunk_col).cast("bigint"))
-    stages = Stages(incidents, rule, workspace, sizes)
+    stages = Stages(incidents, rule, workspace, sizes, carry=("chunk_id",))
     if not rule.can_match:
         return _nothing_matches(stages)
-    rows = incidents.count()
+    rows = stages.rows
     kept = stages.thin_sample(rows, pct, seed)
     matched, tail = stages.credit(rows, kept, "chunk_id")
     local = thin_chunks(tail, rule, stages.ws, sizes)
@@ -246,7 +257,7 @@ def hotspots_chunked(
     suppressors = _staged(merged, "rest").unionByName(_zero(stages.outside(), "rest"))
     if kept is not None:
         suppressors = _with_owned(kept, matched, "sample").unionByName(suppressors)
-    return HotspotRun(incidents, suppressors, None, stages.ws, stages.seconds)
+    return stages.run(suppressors, None)
 
 
 def thin_chunks(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.fitness import nonzero, strong
 from ..rule import STRONG_FITNESS
+from ..workspace import Workspace
 
 OUTPUT_SCHEMA = "lat DOUBLE, lon DOUBLE, fitness BIGINT"
 
@@ -26,13 +27,15 @@ def write_hotspots(
     Executors write their own parts; text output is tab-separated without header. Given the
     parsed ``incidents``, coordinates are repeated exactly as they stood in the input.
     """
+    ws = Workspace(suppressors.sparkSession)
     spots = nonzero(suppressors)
     if incidents is not None:
         texts = incidents.select("row_id", "lat_text", "lon_text")
         spots = spots.join(texts, "row_id").selectExpr(
             "lat_text AS lat", "lon_text AS lon", "fitness"
         )
-    spots = spots.select("lat", "lon", "fitness")
+    # Both outputs come from one saved table.
+    spots = ws.write(spots.select("lat", "lon", "fitness"), "spots")
     for part, target in (
         (spots, path),
         (strong(spots, min_fitness), strong_path(path, min_fitness)),
@@ -41,6 +44,7 @@ def write_hotspots(
         if format == "csv":
             writer = writer.option("sep", "\t")
         writer.save(target)
+    ws.close()
 
 
 def read_hotspots(spark: SparkSession, path: str, format: str = "csv") -> DataFrame:

@@ -7,11 +7,11 @@ of the Spark side.
 
 from __future__ import annotations
 
-from fixture import CHUNKS, INCIDENTS_SQL, MILEAGE, PCT, SEED
+import math
+
+from fixture import CHUNKS, INCIDENTS_SQL, MILEAGE, PCT, SEED, SHARP_SQL
 
 from incidentlens.functions import EARTH_RADIUS_MILES
-from incidentlens.operators.grid import spot_columns
-from incidentlens.rule import MatchRule
 
 RADIUS = MILEAGE / 2
 LIMIT = 60
@@ -172,8 +172,9 @@ FROM marked p JOIN kept k
 
 def head_edges() -> str:
     """Lowest row per narrow cell and heading sector, against the higher rows it matches."""
-    rule = MatchRule(MILEAGE)
-    place = [c.replace("D)", ")") for c in spot_columns(rule)[1:-1]]
+    # Side of a cube whose diagonal is the matching distance, less a millionth.
+    side = 2 * math.sin(RADIUS / (2 * EARTH_RADIUS_MILES)) * (1 - 1e-6) / math.sqrt(3.0)
+    place = [f"floor({axis} / {side!r})" for axis in "xyz"]
     groups = ", ".join(["loc_key", *place, f"bearing // {LIMIT}"])
     return query(
         [
@@ -290,6 +291,35 @@ FROM marked p JOIN kept k ON k.loc_key = p.loc_key AND k.row_id <> p.row_id AND
         "fitness_counts": query(OWNED, credits.format("")),
         "fitness_merged": query(OWNED, with_zero.format("", credits.format(""))),
         "greedy_suppress": query(WHOLE, "SELECT row_id, kept, owner_id FROM greedy"),
+        "dedupe_along_roads": query(
+            [INCIDENTS, walk("greedy", "marked", "loc_key", "partial_location, lat, row_id")],
+            "SELECT row_id, kept, owner_id FROM greedy",
+        ),
+        "first_round": query(
+            [INCIDENTS],
+            f"""SELECT p.row_id FROM marked p WHERE NOT EXISTS (
+  SELECT 1 FROM marked q WHERE q.loc_key = p.loc_key AND q.row_id < p.row_id AND {match("p", "q")})""",
+        ),
+        "assign_first_salted": query(
+            OWNED, "SELECT row_id, owner_id FROM owned WHERE owner_id IS NOT NULL"
+        ),
+        "suppressor_sample_prefix": query(
+            [INCIDENTS], "SELECT row_id, digest FROM marked WHERE sampled"
+        ),
+        "road_counts_sharp": query(
+            [INCIDENTS, f"incidents AS (SELECT * FROM inc), sharp AS ({SHARP_SQL})"],
+            "SELECT lower(partial_location) AS loc_key, count(*) AS incidents FROM sharp GROUP BY 1",
+        ),
+        "guarded_distance_gaps": query(
+            [
+                INCIDENTS,
+                f"""parsed AS ({parsed}),
+placed AS (SELECT *, lower(partial_location) AS road, row_number() OVER (ORDER BY row_id) AS i FROM parsed)""",
+            ],
+            f"""SELECT p.row_id, q.row_id AS next_id,
+CASE WHEN p.road = q.road THEN round({miles("p", "q")}, 6) ELSE -1e0 END AS miles
+FROM placed p JOIN placed q ON q.i = p.i + 1""",
+        ),
         "suppressors_clean": query(
             OWNED, with_zero.format("k.lat, k.lon,", credits.format("AND sampled"))
         ),
