@@ -216,7 +216,7 @@ def perplexity(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     ws = workspace(docs)
     entries = ws.save(build_model(trusted.select("text"), ws), "model")
     shards = max(1, -(-entries.rows // SHARD_ROWS))
-    dealt = ws.write(_with_shard(entries.df, shards).repartition("shard"), "model-shards")
+    dealt = ws.write(_with_shard(entries.df, shards), "model-shards")
     rows = docs.select("doc_id", "lang", F.xxhash64("text").alias("text_key"), "text")
     schema = (
         f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, text_key bigint,"

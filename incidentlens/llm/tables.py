@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
@@ -15,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from incidentlens.workers import ship
 from incidentlens.workspace import Workspace
 
 # A table of at most this many bytes (rows times width) may be broadcast; larger ones are shuffled.
@@ -29,26 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, so that tasks can import it."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="ship-"), "incidentlens.zip")
-    with zipfile.ZipFile(path, "w") as out:
-        for folder, _, names in os.walk(top):
-            for name in sorted(names):
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    out.write(full, os.path.relpath(full, os.path.dirname(top)))
-    context.addPyFile(path)
-    _shipped.add(context.applicationId)
-
-
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     """``mapInArrow`` with this package at hand on the executors."""
     ship(df.sparkSession)
