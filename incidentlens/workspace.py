@@ -29,7 +29,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
     folder = folder or context.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder shared by the whole cluster")
     folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     context.setCheckpointDir(folder)
