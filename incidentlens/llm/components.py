@@ -9,27 +9,19 @@ from pyspark.sql import functions as F
 def components(edges: DataFrame, ws) -> DataFrame:
     """``node`` and ``root`` (the smallest node of its component) of every node of edges (``u``, ``v``).
 
-    A round hooks each node to its smallest smaller neighbour, follows the hooks to their ends, and
-    contracts the edges to those ends. Every node with a smaller neighbour leaves the game, so rounds
-    are few; each ends in a written table. A node with very many edges only meets aggregations that
-    combine before the shuffle, and joins that adaptive execution splits.
+    A round hooks each node to its smallest smaller neighbour, follows the hooks four steps up, and
+    contracts the edges to where that leads. Labels only ever fall and edges between equal labels go, so
+    the rounds end, and as every node with a smaller neighbour moves, they are few. Each ends in written
+    tables. A node with very many edges only meets aggregations that combine before the shuffle, and
+    joins that adaptive execution splits.
     """
     small = F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")
     left = ws.save(edges.select(*small).filter("u <> v").distinct(), "edges")
     nodes = left.df.select(F.col("u").alias("node")).union(left.df.select("v")).distinct()
     labels = ws.write(nodes.withColumn("root", F.col("node")), "labels")
     while left.rows:
-        hooks = ws.save(left.df.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("up")), "hooks")
-        while True:
-            # up := up of up, until all point to a node without a hook
-            above = hooks.df.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            jumped = hooks.df.join(above, "up", "left")
-            moved = ws.save(jumped.select("node", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")), "hooks")
-            more = moved.df.filter("moved").limit(1).count()
-            hooks = moved
-            if not more:
-                break
-        up = hooks.df.select("node", "up")
+        hooks = ws.write(left.df.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("up")), "hooks")
+        up = ws.write(_twice(_twice(hooks)), "hooks")
         labels = ws.write(
             labels.withColumnRenamed("root", "at")
             .join(up.withColumnRenamed("node", "at"), "at", "left")
@@ -44,3 +36,9 @@ def components(edges: DataFrame, ws) -> DataFrame:
             ends.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).filter("u <> v").distinct(), "edges"
         )
     return labels
+
+
+def _twice(hooks: DataFrame) -> DataFrame:
+    """Each node's hook followed by the hook of where it leads, if there is one."""
+    above = hooks.select(F.col("node").alias("up"), F.col("up").alias("top"))
+    return hooks.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"))
