@@ -40,14 +40,14 @@ from incidentlens.llm.words import Runs, WordNumbers, signed, split_words
 SHINGLE = 5
 COUNT_SLOTS = 1 << 20
 HEAVY = 8  # tokens in fewer documents count as rare
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 BLOCK = 256  # sets in one trie
 STEP = 128  # tokens looked at between two looks at the bound
 
 
 def shingles(text: str | None, known: WordNumbers) -> np.ndarray:
     """Sorted distinct shingle numbers of a text, letters A-Z in lower case."""
-    numbers = known.of([word.lower() for word in split_words(text)])
+    numbers = known.of(split_words(text, fold=True))
     if len(numbers) < SHINGLE:
         length = len(numbers)
         return Runs(numbers).of_length(length) if length else np.zeros(0, np.uint64)
@@ -73,9 +73,18 @@ class TokenOrder:
     def __init__(self, weights: np.ndarray):
         self.weights = weights
 
+    def _weights(self, tokens: np.ndarray) -> np.ndarray:
+        return self.weights[(tokens & np.uint64(COUNT_SLOTS - 1)).astype(np.int64)]
+
     def sort(self, tokens: np.ndarray) -> np.ndarray:
-        weight = self.weights[(tokens & np.uint64(COUNT_SLOTS - 1)).astype(np.int64)]
-        return tokens[np.lexsort((tokens, -weight))]
+        """``tokens``, sorted by number before, in this order."""
+        return tokens[np.argsort(-self._weights(tokens), kind="stable")]
+
+    def last(self, tokens: np.ndarray, n: int) -> np.ndarray:
+        """The last n of ``sort(tokens)``; no sorting is needed where so many are rare."""
+        rare = tokens[self._weights(tokens) == 0]
+        ordered = rare if len(rare) >= n else self.sort(tokens)
+        return ordered[len(ordered) - n :]
 
 
 def tree_join(probe: np.ndarray, sets: list[tuple[int, np.ndarray]], order: TokenOrder) -> Iterator[int]:
@@ -154,8 +163,8 @@ def _prefixes(docs: DataFrame, shared) -> DataFrame:
         known, order = WordNumbers(), TokenOrder(shared.value)
 
         def run(columns):
-            sets = [order.sort(shingles(text, known)) for text in columns["text"]]
-            parts = [s[len(s) - prefix_length(len(s)) :] for s in sets]
+            sets = [shingles(text, known) for text in columns["text"]]
+            parts = [order.last(s, prefix_length(len(s))) for s in sets]
             lengths = [len(p) for p in parts]
             return {
                 "token": signed(np.concatenate(parts)),
@@ -268,7 +277,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     nodes = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc"), "text")
     nodes = nodes.join(bounded_broadcast(out.df, out.rows, 64), "doc", "left_anti")
 
-    prefixes = _prefixes(nodes, shared)
+    prefixes = ws.write(_prefixes(nodes, shared), "all-prefixes")
     repeated = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token")
     repeated = ws.write(repeated, "repeated-tokens")
     prefixes = ws.write(prefixes.join(repeated.hint("merge"), "token"), "prefixes")

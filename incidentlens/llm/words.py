@@ -13,21 +13,22 @@ _MIXER = np.uint64(0xD6E8FEB86659FD93)
 
 
 class WordNumbers(dict):
-    """64-bit numbers of words, given as bytes."""
+    """64-bit numbers of words, given as bytes; kept as eight bytes each, which join fast."""
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) >= CACHED_WORDS:
             self.clear()
-        number = self[word] = xxhash.xxh64_intdigest(word)
+        number = self[word] = xxhash.xxh64_digest(word)
         return number
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), np.uint64)
 
 
-def split_words(text: str | None) -> list[bytes]:
-    """Words between ASCII white space (space and the characters 9 to 13)."""
-    return (text or "").encode("utf-8", "surrogatepass").split()
+def split_words(text: str | None, fold: bool = False) -> list[bytes]:
+    """Words between ASCII white space (space and the characters 9 to 13), A-Z in lower case if asked."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    return (data.lower() if fold else data).split()
 
 
 class _Powers:
