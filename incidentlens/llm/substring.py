@@ -24,6 +24,7 @@ Definitions
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -39,25 +40,37 @@ DROP, CHECK = 0, 1
 
 
 class Pieces:
-    """The path pieces of one text: anchor place, first and last window start, edge and path number."""
+    """Path pieces of texts that lie one behind the other in ``numbers``; ``lengths`` are their words.
 
-    def __init__(self, numbers: np.ndarray):
+    ``text`` tells which text a piece is of; its anchor ``place`` and ``first`` and ``last`` window start
+    count from the start of that text.
+    """
+
+    def __init__(self, numbers: np.ndarray, lengths: list[int]):
         self.runs = Runs(numbers)
-        edges = self.runs.of_length(EDGE)
-        if len(numbers) < WINDOW:
-            self.place = self.first = self.last = np.zeros(0, np.int64)
+        ends = np.cumsum(np.array(lengths, np.int64))
+        owner = np.repeat(np.arange(len(ends)), lengths)
+        n = max(0, len(numbers) - WINDOW + 1)
+        starts = np.flatnonzero(np.arange(n) + WINDOW <= ends[owner[:n]])  # windows inside one text
+        if not len(starts):
+            self.text = self.place = self.first = self.last = np.zeros(0, np.int64)
             self.edge = self.path = np.zeros(0, np.uint64)
             return
-        views = np.lib.stride_tricks.sliding_window_view(edges, WINDOW - EDGE + 1)
-        anchors = np.arange(len(views)) + views.argmin(axis=1)
+        edges = self.runs.of_length(EDGE)
+        views = np.lib.stride_tricks.sliding_window_view(edges, WINDOW - EDGE + 1)[:n]
+        anchors = (np.arange(n) + views.argmin(axis=1))[starts]
+        # An anchor lies inside the window, so the next text has others.
         breaks = np.flatnonzero(np.diff(anchors)) + 1
-        self.first = np.concatenate([[0], breaks])
-        self.last = np.concatenate([breaks - 1, [len(anchors) - 1]])
-        self.place = anchors[self.first]
-        self.edge = edges[self.place]
+        first = starts[np.concatenate([[0], breaks])]
+        last = starts[np.concatenate([breaks - 1, [len(starts) - 1]])]
+        place = anchors[np.concatenate([[0], breaks])]
+        self.edge = edges[place]
         # The offset of the anchor is part of the path: else equal words could be cut differently.
-        offset = (self.place - self.first).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        self.path = self.runs.between(self.first, self.last + WINDOW) ^ offset
+        offset = (place - first).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        self.path = self.runs.between(first, last + WINDOW) ^ offset
+        self.text = owner[first]
+        begin = (ends - np.array(lengths, np.int64))[self.text]
+        self.place, self.first, self.last = place - begin, first - begin, last - begin
 
 
 def _pieces(docs: DataFrame) -> DataFrame:
@@ -67,13 +80,14 @@ def _pieces(docs: DataFrame) -> DataFrame:
         known = WordNumbers()
 
         def run(columns):
-            parts = [Pieces(known.of(split_words(text))) for text in columns["text"]]
-            counts = [len(p.place) for p in parts]
+            words = [split_words(text) for text in columns["text"]]
+            lengths = list(map(len, words))
+            pieces = Pieces(known.of(list(chain.from_iterable(words))), lengths)
             return {
-                "edge": signed(_joined([p.edge for p in parts], np.uint64)),
-                "path": signed(_joined([p.path for p in parts], np.uint64)),
-                "doc": np.repeat(np.array(columns["doc"], np.int64), counts),
-                "place": _joined([p.place for p in parts], np.int64).astype(np.int32),
+                "edge": signed(pieces.edge),
+                "path": signed(pieces.path),
+                "doc": np.array(columns["doc"], np.int64)[pieces.text],
+                "place": pieces.place.astype(np.int32),
             }
 
         return run
@@ -118,7 +132,8 @@ def _branch_windows(texts: DataFrame) -> DataFrame:
                 checked = {(f["place"], f["path"]) for f in fates if f["fate"] == CHECK}
                 if not checked:
                     continue
-                pieces = Pieces(known.of(split_words(text)))
+                words = split_words(text)
+                pieces = Pieces(known.of(words), [len(words)])
                 windows = pieces.runs.of_length(WINDOW)
                 for i, key in enumerate(zip(pieces.place.tolist(), signed(pieces.path).tolist())):
                     if key in checked:
@@ -147,7 +162,7 @@ def _cut(texts: DataFrame) -> DataFrame:
             out = {"doc_id": columns["doc_id"], "n_words": [], "n_removed": [], "kept_text": []}
             for text, fates, starts in zip(columns["text"], columns["fates"], columns["starts"]):
                 words = split_words(text)
-                pieces = Pieces(known.of(words))
+                pieces = Pieces(known.of(words), [len(words)])
                 gone = np.zeros(len(words) + 1, np.int64)
                 dropped = {(f["place"], f["path"]) for f in fates or () if f["fate"] == DROP}
                 for i, key in enumerate(zip(pieces.place.tolist(), signed(pieces.path).tolist())):
@@ -195,7 +210,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     copied = bounded_broadcast(copies.df, copies.rows, 128)
     first_rows = rows.join(copied, ["doc", "text_key"], "left_anti")
 
-    pieces = _pieces(first_rows)
+    pieces = ws.write(_pieces(first_rows), "pieces")
     repeated = pieces.groupBy("edge").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("edge")
     repeated = ws.write(repeated, "repeated-edges")
     shared = ws.save(pieces.join(repeated.hint("merge"), "edge"), "shared-pieces").df
