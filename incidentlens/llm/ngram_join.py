@@ -10,8 +10,8 @@ Links are wanted for components, so pairs that are connected already need no com
 1. equal sets become one node (the smallest id);
 2. in STAR_ROUNDS rounds each document meets one other per round that shares prefix tokens with it but
    is not in its component, which joins up even very large groups of copies in few comparisons;
-3. all other pairs of different components that share enough prefix tokens are compared: with c common
-   prefix tokens the overlap is at most c + max(ceil(0.8 n_a), ceil(0.8 n_b)) - 1. No pair is left out.
+3. all other pairs of different components that share a token among as many of their rarest tokens as the
+   overlap they need leaves open are compared. No pair is left out.
 
 Tokens that many documents share come late in the order, so that they stay out of prefixes. Their
 counts come from one pass, as a table of fixed size (COUNT_SLOTS); it only influences the order.
@@ -157,7 +157,7 @@ def _weights(scan: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, shared) -> DataFrame:
-    """(token, doc, n): the rarest tokens of each set, as many as its prefix holds."""
+    """(token, doc, n, pos): the rarest tokens of each set, as many as its prefix holds, by rarity."""
 
     def make():
         known, order = WordNumbers(), TokenOrder(shared.value)
@@ -170,11 +170,12 @@ def _prefixes(docs: DataFrame, shared) -> DataFrame:
                 "token": signed(np.concatenate(parts)),
                 "doc": np.repeat(np.array(columns["doc"], np.int64), lengths),
                 "n": np.repeat(np.array([len(s) for s in sets], np.int32), lengths),
+                "pos": np.concatenate([np.arange(k - 1, -1, -1, dtype=np.int32) for k in lengths]),
             }
 
         return run
 
-    return map_batches(docs.select("doc", "text"), make, "token bigint, doc bigint, n int")
+    return map_batches(docs.select("doc", "text"), make, "token bigint, doc bigint, n int, pos int")
 
 
 def _compare(pairs, docs: DataFrame, shared, ws) -> DataFrame:
@@ -220,7 +221,7 @@ def _open_tokens(prefixes: DataFrame, roots: DataFrame | None, ws) -> DataFrame:
     rows = prefixes.withColumn("root", F.col("doc"))
     if roots is not None:
         known = roots.select(F.col("node").alias("doc"), F.col("root").alias("known"))
-        rows = prefixes.join(known, "doc", "left").select("token", "doc", "n", F.coalesce("known", "doc").alias("root"))
+        rows = prefixes.join(known, "doc", "left").select("token", "doc", "n", "pos", F.coalesce("known", "doc").alias("root"))
     rows = ws.write(rows, "rooted")
     mixed = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     mixed = ws.write(mixed.filter("low <> high").select("token"), "open-tokens")
@@ -246,16 +247,18 @@ def _star_pairs(rows: DataFrame, number: int) -> DataFrame:
 
 
 def _all_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of different components with enough common prefix tokens to be alike."""
-    pairs = (
-        rows.alias("l")
-        .join(rows.alias("r"), "token")
-        .filter(f"l.doc < r.doc AND l.root <> r.root AND {_SIZES_FIT}")
-        .groupBy(F.col("l.doc").alias("a"), F.col("r.doc").alias("b"), F.col("l.n").alias("n_a"), F.col("r.n").alias("n_b"))
-        .agg(F.count(F.lit(1)).alias("c"))
+    """Pairs of different components that can be alike.
+
+    With an overlap of o at least, the n_a - o + 1 rarest tokens of one set and the n_b - o + 1 rarest of
+    the other have one in common. For sets of equal size that is about a ninth of each, so that frequent
+    tokens, at the end of the prefixes, hardly ever bring two documents together.
+    """
+    least = "ceil(4 * (l.n + r.n) / 9)"
+    near = f"l.pos <= l.n - {least} AND r.pos <= r.n - {least}"
+    pairs = rows.alias("l").join(rows.alias("r"), "token").filter(
+        f"l.doc < r.doc AND l.root <> r.root AND {_SIZES_FIT} AND {near}"
     )
-    outside = "greatest(ceil(4 * n_a / 5), ceil(4 * n_b / 5)) - 1"
-    return pairs.filter(f"c + {outside} >= ceil(4 * (n_a + n_b) / 9)").select("a", "b")
+    return pairs.select(F.col("l.doc").alias("a"), F.col("r.doc").alias("b")).distinct()
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
@@ -284,7 +287,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
 
     links, roots, tested, rows = equal, None, None, prefixes
     for number in range(STAR_ROUNDS + 1):
-        rows = _open_tokens(rows.select("token", "doc", "n"), roots, ws)
+        rows = _open_tokens(rows.select("token", "doc", "n", "pos"), roots, ws)
         last = number == STAR_ROUNDS
         pairs = _all_pairs(rows) if last else _star_pairs(rows, number)
         if tested is not None:
