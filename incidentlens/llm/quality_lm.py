@@ -12,12 +12,15 @@ units). Log-probabilities are kept in millionths and summed as integers: results
 
 A document is rejected when its log-perplexity lies outside the quantiles LOW and HIGH of the trusted
 documents of its language, each moved outwards by SLACK + SPREAD / sqrt(units) nats: the mean over few
-units varies more, and unusual clean text should stay.
+units varies more, and unusual clean text should stay. The quantiles are those of held-out scores: the
+trusted texts are dealt into two halves, each scored by a model of the other, as unlabelled text is new to
+the model, too; scores of trusted texts by the whole model widen them. A language with fewer than FEW_ROWS
+trusted rows takes the wider of its own and the all-language limits, moved outwards by WIDE more.
 
 Definitions
 * null or empty text: nothing to predict, log-perplexity null, rejected (there is nothing to train on);
 * null language is a language of its own; one without trusted documents uses the quantiles of all
-  trusted documents; without any trusted document nothing but empty text is rejected;
+  trusted documents, moved by WIDE; without trusted text in both halves nothing but empty text is rejected;
 * a document labelled several times is trusted if no label says otherwise; repeated document rows get
   one result row each; long texts are read whole.
 """
@@ -36,6 +39,7 @@ from incidentlens.llm.tables import bounded_broadcast, map_rows, workspace
 ORDER = 4
 LOW, HIGH, SLACK = 0.002, 0.995, 0.08
 SPREAD = 2.0
+FEW_ROWS, WIDE = 50, 0.5  # languages with fewer trusted rows get limits wider by so many nats
 SHARD_ROWS = 2_000_000
 MICRO = 1_000_000
 BINS = 1_000  # quantiles are found on a grid of thousandths of a nat
@@ -258,7 +262,7 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def limits(scored: DataFrame, low: float = LOW, high: float = HIGH, slack: float = SLACK) -> DataFrame:
-    """``lang``, ``lower``, ``upper``: exact quantiles on the grid; a row with null ``any_lang`` = all."""
+    """``lang``, ``rows``, ``lower``, ``upper``: exact quantiles on the grid; the row with null ``lang`` = all."""
     binned = scored.filter("log_ppl IS NOT NULL").select(
         F.coalesce("lang", F.lit("")).alias("lang"), F.floor(F.col("log_ppl") * BINS).alias("bin"), "copies"
     )
@@ -271,19 +275,54 @@ def limits(scored: DataFrame, low: float = LOW, high: float = HIGH, slack: float
     whole = Window.partitionBy("lang")
     ranked = both.select("lang", "bin", F.sum("n").over(upto).alias("upto"), F.sum("n").over(whole).alias("total"))
     return ranked.groupBy("lang").agg(
+        F.first("total").alias("rows"),
         (F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * low), F.col("bin"))) / BINS - slack).alias("lower"),
         ((F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * high), F.col("bin"))) + 1) / BINS + slack).alias("upper"),
     )
 
 
+def held_out(trusted: DataFrame) -> DataFrame:
+    """Scores of trusted texts by a model that has not seen them: each half by the other's counts.
+
+    Equal texts lie in one half. Without text in both halves there are no such scores.
+    """
+    half = F.pmod(F.xxhash64("text", F.lit(29)), F.lit(2)).cast("int")
+    halves = [trusted.filter(half == k) for k in (0, 1)]
+    some = trusted.filter("text <> ''").select(half.alias("half")).distinct().count()
+    scored = [perplexity(own, other) for own, other in (halves, halves[::-1])]
+    return scored[0].unionByName(scored[1]) if some == 2 else scored[0].limit(0)
+
+
+def ranges_of(held: DataFrame, seen: DataFrame) -> DataFrame:
+    """``lang``, ``lower``, ``upper``; a null ``lang`` is for languages without trusted documents.
+
+    Held-out and seen scores both count as usual, since copies of trusted texts have the latter.
+    """
+    own, known = limits(held).alias("h"), limits(seen).alias("s")
+    both = own.join(known, F.expr("h.lang <=> s.lang")).select(
+        "h.lang",
+        "h.rows",
+        F.least("h.lower", "s.lower").alias("lower"),
+        F.greatest("h.upper", "s.upper").alias("upper"),
+    )
+    overall = both.filter("lang IS NULL").select(F.col("lower").alias("low"), F.col("upper").alias("high"))
+    few = F.col("lang").isNull() | (F.col("rows") < FEW_ROWS)
+    return both.join(F.broadcast(overall)).select(
+        "lang",
+        F.when(few, F.least("lower", "low") - WIDE).otherwise(F.col("lower")).alias("lower"),
+        F.when(few, F.greatest("upper", "high") + WIDE).otherwise(F.col("upper")).alias("upper"),
+    )
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id``, ``lang``, ``text_key``, ``copies``, ``units``, ``log_ppl``, ``perplexity``, ``kept``."""
     ws = workspace(docs)
     ids = ws.save(trusted_ids(labels), "trusted")
-    trusted = docs.join(bounded_broadcast(ids.df, ids.rows, 64), "doc_id", "left_semi")
+    known = bounded_broadcast(ids.df, ids.rows, 64)
+    trusted = ws.write(docs.select("doc_id", "lang", "text").join(known, "doc_id", "left_semi"), "trusted-texts")
     scored = ws.save(perplexity(docs, trusted), "perplexity").df
-    ranges = limits(scored.join(bounded_broadcast(ids.df, ids.rows, 64), "doc_id", "left_semi"))
-    ranges = ws.save(ranges, "limits").df
+    held = ws.write(held_out(trusted), "held-out")
+    ranges = ws.save(ranges_of(held, scored.join(known, "doc_id", "left_semi")), "limits").df
     overall = ranges.filter("lang IS NULL").first()
     lower, upper = (overall["lower"], overall["upper"]) if overall else (None, None)
     judged = scored.withColumn("known", F.coalesce("lang", F.lit(""))).join(

@@ -82,6 +82,20 @@ def test_quality_on_labels(spark):
     assert sum(kept) >= 0.99 * len(kept) and sum(junk) <= 0.4 * len(junk)
 
 
+def test_quality_on_hidden_rows(spark):
+    """Clean documents stay, in languages with few trusted rows, too, though training never saw them."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    lang = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
+    shown = labels.filter("quality = 1 AND crc32(CAST(doc_id AS STRING)) % 5 = 0")
+    kept = {r["doc_id"]: r["kept"] for r in quality_lm.classify(docs, shown).collect()}
+    hidden = {r["doc_id"] for r in labels.filter("quality = 1").collect()} - {r["doc_id"] for r in shown.collect()}
+    for name in set(lang.values()):
+        own = [kept[i] for i in hidden if lang[i] == name]
+        assert sum(own) >= 0.95 * len(own) and own, name
+    junk = [kept[r["doc_id"]] for r in labels.filter("quality = 0").collect()]
+    assert sum(junk) <= 0.5 * len(junk)
+
+
 def test_toxicity_on_held_out(spark):
     rows = {r["doc_id"]: r for r in queries.op3_toxicity(spark, "/root/testdata/sf0.1").collect()}
     held = [(r["toxic"], rows[r["doc_id"]]["predicted"]) for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect() if rows[r["doc_id"]]["held_out"]]
