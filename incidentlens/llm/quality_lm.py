@@ -5,10 +5,9 @@ newlines). Trusted text is every document labelled quality 1; all of it is count
 and probabilities of the four orders are joins and aggregations of n-gram tables, sharded by n-gram;
 a 4-gram is one BIGINT. Then each document's log-probability is added up against the model.
 
-The model is met in blocks: entries are dealt over shards by the two middle units of a 4-gram, so that one
-shard decides a position alone; one shard holds SHARD_ROWS entries or so and is broadcast; each shard
-takes one pass over the texts. Entries of order 1 and 2 go with every shard (at most one per pair of
-units). Log-probabilities are kept in millionths and summed as integers: results do not depend on order.
+A model of SHARD_ROWS entries or fewer, which are counted first, is fetched and broadcast. A larger one stays
+on the executors: texts in lots ask for their different 4-grams, the model's tables are joined to these order by
+order, and the answers go back to the lots, where each text is added up. Log-probabilities are kept in millionths and summed as integers: results do not depend on order.
 
 A document is rejected when its log-perplexity lies outside the quantiles LOW and HIGH of the trusted
 documents of its language, each moved outwards by SLACK + SPREAD / sqrt(units) nats: the mean over few
@@ -28,19 +27,23 @@ Definitions
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from incidentlens.llm.tables import bounded_broadcast, map_rows, workspace
+from incidentlens.llm.tables import arrow_schema, bounded_broadcast, map_rows, workspace
 
 ORDER = 4
 LOW, HIGH, SLACK = 0.002, 0.995, 0.08
 SPREAD = 2.0
 FEW_ROWS, WIDE = 50, 0.5  # languages with fewer trusted rows get limits wider by so many nats
 SHARD_ROWS = 2_000_000
+LOT_UNITS = 1 << 21
 MICRO = 1_000_000
 BINS = 1_000  # quantiles are found on a grid of thousandths of a nat
 UNITS = 1 << 16
@@ -48,6 +51,7 @@ _START = np.full(ORDER - 1, 10, np.uint64)
 COUNT_UNITS = 1 << 21  # n-grams are counted in lots of some so many units
 # kinds of model entries: probability of an n-gram, weight of the shorter context after a context
 PROB, BACK = 0, 1
+NO_ENTRY = -round(np.log(UNITS) * MICRO)  # of a unit never seen
 
 
 def keys_of(text: str | None) -> np.ndarray:
@@ -146,30 +150,14 @@ def build_model(texts: DataFrame, ws) -> DataFrame:
     return out
 
 
-def _with_shard(entries: DataFrame, shards: int) -> DataFrame:
-    """Entries by the middle units of the 4-grams that need them; -1: every shard."""
-    key = F.col("key")
-    middle = (
-        F.when((F.col("kind") == PROB) & (F.col("n") == 4), F.shiftrightunsigned(key, 16))
-        .when((F.col("kind") == PROB) & (F.col("n") == 3), F.shiftrightunsigned(key, 16))
-        .when((F.col("kind") == BACK) & F.col("n").isin(2, 3), key)
-    )
-    spread = _suffix(middle, 2) * F.lit(40503) % F.lit(shards)
-    return entries.withColumn("shard", F.coalesce(spread, F.lit(-1)).cast("int"))
-
-
-class Shard:
-    """Lookup tables of one shard. ``total`` adds up a text's positions that belong to it."""
+class Lookup:
+    """Tables of a whole model. ``total`` adds up a text's positions."""
 
-    def __init__(self, arrays: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]], shard: int, shards: int):
+    def __init__(self, arrays: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]):
         self.tables = {k: _Table(*v) for k, v in arrays.items()}
-        self.shard, self.shards = shard, shards
 
     def total(self, text: str | None) -> tuple[int, int]:
         keys = keys_of(text)
-        if self.shards > 1:
-            middle = (keys >> np.uint64(16)) & np.uint64(0xFFFFFFFF)
-            keys = keys[middle * np.uint64(40503) % np.uint64(self.shards) == self.shard]
         positions, out = len(keys), 0
         for n in range(ORDER, 0, -1):
             suffix = keys & np.uint64((1 << (16 * n)) - 1) if n < ORDER else keys
@@ -181,7 +169,7 @@ class Shard:
             contexts = (suffix[~found] >> np.uint64(16)) if n > 1 else np.zeros(len(keys), np.uint64)
             values, found = self.tables[BACK, n - 1].find(contexts)
             out += int(values[found].sum())
-        return out - round(np.log(UNITS) * MICRO) * len(keys), positions
+        return out + NO_ENTRY * len(keys), positions
 
 
 class _Table:
@@ -219,31 +207,101 @@ def perplexity(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """
     ws = workspace(docs)
     entries = ws.save(build_model(trusted.select("text"), ws), "model")
-    shards = max(1, -(-entries.rows // SHARD_ROWS))
-    dealt = ws.write(_with_shard(entries.df, shards), "model-shards")
     rows = docs.select("doc_id", "lang", F.xxhash64("text").alias("text_key"), "text")
-    schema = (
-        f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, text_key bigint,"
-        " micro bigint, units bigint"
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, lang string, text_key bigint, micro bigint, units bigint"
+    if entries.rows <= SHARD_ROWS:
+        scored = _by_broadcast(rows, entries.df, schema)
+    else:
+        scored = _by_join(rows, entries.df, schema, ws)
+    added = scored.groupBy("doc_id", "lang", "text_key").agg(
+        F.first("micro").alias("micro"), F.first("units").alias("units"), F.count(F.lit(1)).cast("int").alias("copies")
     )
-    passes = None
-    for shard in range(shards):
-        arrays = _arrays(dealt.filter(F.col("shard").isin(shard, -1)))
-        shared = docs.sparkSession.sparkContext.broadcast(arrays)
-
-        def score(part: Iterator[tuple], shared=shared, shard=shard) -> Iterator[tuple]:
-            tables = Shard(shared.value, shard, shards)
-            for doc_id, lang, text_key, text in part:
-                yield doc_id, lang, text_key, *tables.total(text)
-
-        one = map_rows(rows, ["doc_id", "lang", "text_key", "text"], score, schema)
-        passes = one if passes is None else passes.unionByName(one)
-    added = passes.groupBy("doc_id", "lang", "text_key").agg(
-        F.sum("micro").alias("micro"), F.sum("units").alias("units"), F.count(F.lit(1)).alias("rows")
-    )
-    copies = (F.col("rows") / shards).cast("int")
     log_ppl = F.when(F.col("units") > 0, -F.col("micro") / F.col("units") / MICRO)
-    return added.select("doc_id", "lang", "text_key", copies.alias("copies"), (F.col("units") / copies).cast("bigint").alias("units"), log_ppl.alias("log_ppl"))
+    return added.select("doc_id", "lang", "text_key", "copies", "units", log_ppl.alias("log_ppl"))
+
+
+def _by_broadcast(rows: DataFrame, entries: DataFrame, schema: str) -> DataFrame:
+    """Totals of each text, against a model small enough for the driver and every worker."""
+    shared = rows.sparkSession.sparkContext.broadcast(_arrays(entries))
+
+    def score(part: Iterator[tuple]) -> Iterator[tuple]:
+        tables = Lookup(shared.value)
+        for doc_id, lang, text_key, text in part:
+            yield doc_id, lang, text_key, *tables.total(text)
+
+    return map_rows(rows, ["doc_id", "lang", "text_key", "text"], score, schema)
+
+
+def _by_join(rows: DataFrame, entries: DataFrame, schema: str, ws) -> DataFrame:
+    """Totals of each text, against a model of any size, which stays on the executors.
+
+    Texts are dealt into lots of LOT_UNITS units or so; each lot asks for its different 4-grams once, so that
+    no 4-gram stands on more rows than there are lots, and gets their log-probabilities back.
+    """
+    names, most = ["doc_id", "lang", "text_key", "text"], LOT_UNITS
+
+    def deal(part: Iterator[tuple]) -> Iterator[tuple]:
+        lot, held = TaskContext.get().partitionId() << 32, 0
+        for row in part:
+            units = len(row[3] or "") + 1
+            if held and held + units > most:
+                lot, held = lot + 1, 0
+            held += units
+            yield lot, *row
+
+    def ask(part: Iterator[tuple]) -> Iterator[tuple]:
+        for lot, same in groupby(part, key=lambda row: row[0]):
+            for gram in np.unique(np.concatenate([keys_of(text) for _, text in same])).view(np.int64).tolist():
+                yield lot, gram
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    # Written, so that a text keeps its lot.
+    dealt = ws.write(map_rows(rows, names, deal, f"lot bigint, doc_id {kind}, lang string, text_key bigint, text string"), "lots")
+    asked = ws.write(map_rows(dealt, ["lot", "text"], ask, "lot bigint, gram bigint"), "lot-grams")
+    answers = asked.join(_resolved(asked.select("gram"), entries, ws), "gram").select("lot", "gram", "micro")
+    out = arrow_schema(schema)
+
+    def add(texts: pa.Table, known: pa.Table) -> pa.Table:
+        grams, micro = (known.column(c).to_numpy().astype(np.int64) for c in ("gram", "micro"))
+        order = np.argsort(grams, kind="stable")
+        grams, micro = grams[order], micro[order]
+        totals, units = [], []
+        for text in texts.column("text").to_pylist():
+            keys = keys_of(text).view(np.int64)
+            totals.append(int(micro[np.searchsorted(grams, keys)].sum()) if len(keys) else 0)
+            units.append(len(keys))
+        columns = [texts.column(c) for c in names[:3]] + [pa.array(totals, pa.int64()), pa.array(units, pa.int64())]
+        return pa.table([c.cast(f.type) for c, f in zip(columns, out)], schema=out)
+
+    return dealt.groupBy("lot").cogroup(answers.groupBy("lot")).applyInArrow(add, schema)
+
+
+def _resolved(grams: DataFrame, entries: DataFrame, ws) -> DataFrame:
+    """``gram`` and ``micro`` of different 4-grams, whether the model holds them or not.
+
+    From the shortest suffixes up; no key has more rows than there are different units.
+    """
+    needed = {ORDER: ws.write(grams.distinct(), "needed4")}
+    for n in range(ORDER - 1, 0, -1):
+        needed[n] = ws.write(needed[n + 1].select(_suffix(F.col("gram"), n).alias("gram")).distinct(), f"needed{n}")
+
+    def of(kind: int, n: int, key: str, value: str) -> DataFrame:
+        return entries.filter((F.col("kind") == kind) & (F.col("n") == n)).select(F.col("key").alias(key), F.col("micro").alias(value))
+
+    none = of(BACK, 0, "context", "back").first()
+    lower, base = None, NO_ENTRY + (none["back"] if none else 0)
+    for n in range(1, ORDER + 1):
+        asked = needed[n].join(of(PROB, n, "gram", "own"), "gram", "left")
+        if lower is None:
+            shorter = F.lit(base)
+        else:
+            asked = asked.withColumns({"context": _context(F.col("gram")), "suffix": _suffix(F.col("gram"), n - 1)})
+            asked = asked.join(of(BACK, n - 1, "context", "back"), "context", "left").join(lower, "suffix")
+            shorter = F.coalesce("back", F.lit(0)) + F.col("below")
+        found = ws.write(asked.select("gram", F.coalesce("own", shorter).cast("bigint").alias("micro")), f"resolved{n}")
+        lower = found.select(F.col("gram").alias("suffix"), F.col("micro").alias("below"))
+    return found
 
 
 def _arrays(entries: DataFrame) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:

@@ -74,6 +74,20 @@ def test_kneser_ney(spark, monkeypatch, shard_rows):
             assert row["log_ppl"] == pytest.approx(-model(text) / n, abs=2e-5)
 
 
+def test_large_model_stays_on_executors(spark, monkeypatch):
+    """No more than SHARD_ROWS entries are ever fetched, and the scores are the same."""
+    docs = spark.createDataFrame([(r[0], r[1], r[2]) for r in fixtures.documents()], "doc_id bigint, text string, lang string")
+    docs = docs.unionByName(docs.filter("doc_id IS NULL OR doc_id = 4"))
+    trusted = docs.filter("doc_id < 20")
+    want = Counter(map(tuple, quality_lm.perplexity(docs, trusted).collect()))
+    fetched, fetch = [], quality_lm._arrays
+    monkeypatch.setattr(quality_lm, "_arrays", lambda entries: fetched.append(entries.count()) or fetch(entries))
+    monkeypatch.setattr(quality_lm, "SHARD_ROWS", 150)
+    monkeypatch.setattr(quality_lm, "LOT_UNITS", 3000, raising=False)
+    assert Counter(map(tuple, quality_lm.perplexity(docs, trusted).collect())) == want
+    assert all(n <= 150 for n in fetched)
+
+
 def test_quality_on_labels(spark):
     rows = {r["doc_id"]: r["kept"] for r in queries.op7_quality(spark, SF).collect()}
     labels = spark.read.parquet(f"{SF}/labels.parquet").collect()
