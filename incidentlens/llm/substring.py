@@ -12,7 +12,9 @@ with the same anchor are one *path piece*: a nonbranching stretch of the graph,
    piece are compared window by window, again by smallest coordinates.
 4. Texts with anything to remove are read again and cut; each coordinate is checked against the text.
 
-Copies of whole texts are set apart first, so that a large group of copies costs one row each.
+Copies of whole texts are set apart first, so that a large group of copies costs one row each. Rows with equal
+id and text are read once and counted; what is to be removed is listed per id and text, so that a list is
+bounded by one text however many rows share an id or have none.
 
 Definitions
 * order: smaller ``doc_id`` first, a null id before all others; then earlier start;
@@ -74,7 +76,7 @@ class Pieces:
 
 
 def _pieces(docs: DataFrame) -> DataFrame:
-    """(edge, path, doc, place) of every piece of every text."""
+    """(edge, path, doc, key, place) of every piece of every text."""
 
     def make():
         known = WordNumbers()
@@ -87,12 +89,13 @@ def _pieces(docs: DataFrame) -> DataFrame:
                 "edge": signed(pieces.edge),
                 "path": signed(pieces.path),
                 "doc": np.array(columns["doc"], np.int64)[pieces.text],
+                "key": np.array(columns["key"], np.int64)[pieces.text],
                 "place": pieces.place.astype(np.int32),
             }
 
         return run
 
-    return map_batches(docs.select("doc", "text"), make, "edge bigint, path bigint, doc bigint, place int")
+    return map_batches(docs.select("doc", "key", "text"), make, "edge bigint, path bigint, doc bigint, key bigint, place int")
 
 
 def _joined(arrays: list[np.ndarray], kind) -> np.ndarray:
@@ -108,6 +111,7 @@ def _base(docs: DataFrame) -> DataFrame:
             return {
                 "doc_id": columns["doc_id"],
                 "doc": columns["doc"],
+                "key": columns["key"],
                 "text_key": columns["text_key"],
                 "n_words": list(map(len, words)),
                 "whole_sha256": [hashlib.sha256(b" ".join(w)).hexdigest() for w in words],
@@ -116,19 +120,19 @@ def _base(docs: DataFrame) -> DataFrame:
         return run
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, doc bigint, text_key binary, n_words bigint, whole_sha256 string"
-    return map_batches(docs.select("doc_id", "doc", "text_key", "text"), make, schema)
+    schema = f"doc_id {kind}, doc bigint, key bigint, text_key binary, n_words bigint, whole_sha256 string"
+    return map_batches(docs.select("doc_id", "doc", "key", "text_key", "text"), make, schema)
 
 
 def _branch_windows(texts: DataFrame) -> DataFrame:
-    """(number, doc, start) of each window of the pieces that are to be checked."""
+    """(number, doc, key, start) of each window of the pieces that are to be checked."""
 
     def make():
         known = WordNumbers()
 
         def run(columns):
-            numbers, docs, starts = [], [], []
-            for doc, text, fates in zip(columns["doc"], columns["text"], columns["fates"]):
+            numbers, docs, keys, starts = [], [], [], []
+            for doc, own, text, fates in zip(columns["doc"], columns["key"], columns["text"], columns["fates"]):
                 checked = {(f["place"], f["path"]) for f in fates if f["fate"] == CHECK}
                 if not checked:
                     continue
@@ -141,15 +145,17 @@ def _branch_windows(texts: DataFrame) -> DataFrame:
                         numbers.append(windows[at])
                         starts.append(at)
                         docs.append(np.full(len(at), doc, np.int64))
+                        keys.append(np.full(len(at), own, np.int64))
             return {
                 "number": signed(_joined(numbers, np.uint64)),
                 "doc": _joined(docs, np.int64),
+                "key": _joined(keys, np.int64),
                 "start": _joined(starts, np.int64).astype(np.int32),
             }
 
         return run
 
-    return map_batches(texts.select("doc", "text", "fates"), make, "number bigint, doc bigint, start int")
+    return map_batches(texts.select("doc", "key", "text", "fates"), make, "number bigint, doc bigint, key bigint, start int")
 
 
 def _cut(texts: DataFrame) -> DataFrame:
@@ -159,7 +165,7 @@ def _cut(texts: DataFrame) -> DataFrame:
         known = WordNumbers()
 
         def run(columns):
-            out = {"doc_id": columns["doc_id"], "n_words": [], "n_removed": [], "kept_text": []}
+            out = {"doc_id": columns["doc_id"], "n": columns["n"], "n_words": [], "n_removed": [], "kept_text": []}
             for text, fates, starts in zip(columns["text"], columns["fates"], columns["starts"]):
                 words = split_words(text)
                 pieces = Pieces(known.of(words), [len(words)])
@@ -185,8 +191,22 @@ def _cut(texts: DataFrame) -> DataFrame:
         return run
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_words bigint, n_removed bigint, kept_text string"
-    return map_batches(texts.select("doc_id", "text", "fates", "starts"), make, schema)
+    schema = f"doc_id {kind}, n bigint, n_words bigint, n_removed bigint, kept_text string"
+    return map_batches(texts.select("doc_id", "n", "text", "fates", "starts"), make, schema)
+
+
+def _once(rows: DataFrame, base: DataFrame, ws) -> DataFrame:
+    """Rows with text, those with equal id and text as one row; ``n`` is their number."""
+    same = ["doc_id", "doc", "key", "text_key"]
+    several = base.filter("text_key IS NOT NULL").groupBy(*same).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    several = ws.save(several.select("doc", "text_key").distinct(), "several")
+    names = [*same, "text", F.lit(1).cast("bigint").alias("n")]
+    if not several.rows:
+        return rows.filter("text_key IS NOT NULL").select(*names)
+    known = bounded_broadcast(several.df, several.rows, 64)
+    single = rows.filter("text_key IS NOT NULL").join(known, ["doc", "text_key"], "left_anti").select(*names)
+    joined = rows.join(known, ["doc", "text_key"], "left_semi").groupBy(*same)
+    return single.unionByName(joined.agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n")))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -196,6 +216,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = docs.select(
         "doc_id",
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc"),
+        F.xxhash64("text").alias("key"),
         F.unhex(F.md5("text")).alias("text_key"),
         "text",
     )
@@ -208,7 +229,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         "copies",
     )
     copied = bounded_broadcast(copies.df, copies.rows, 128)
-    first_rows = rows.join(copied, ["doc", "text_key"], "left_anti")
+    first_rows = _once(rows.join(copied, ["doc", "text_key"], "left_anti"), base, ws)
 
     pieces = ws.write(_pieces(first_rows), "pieces")
     repeated = pieces.groupBy("edge").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("edge")
@@ -223,14 +244,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     fate = F.when(place != F.col("head"), DROP).when(F.col("branching"), CHECK)
     fates = (
         shared.join(paths, ["edge", "path"])
-        .select("doc", F.struct("place", "path", fate.alias("fate")).alias("fate"))
+        .select("doc", "key", F.struct("place", "path", fate.alias("fate")).alias("fate"))
         .filter("fate.fate IS NOT NULL")
-        .groupBy("doc")
-        .agg(F.collect_list("fate").alias("fates"))  # at most one per word of the document
+        .groupBy("doc", "key")
+        .agg(F.collect_list("fate").alias("fates"))  # at most one per word of the text
     )
     fates = ws.save(fates, "fates")
-    wanted = bounded_broadcast(fates.df.select("doc"), fates.rows, 64)
-    texts = ws.write(first_rows.join(wanted, "doc", "left_semi").join(fates.df, "doc"), "branching-texts")
+    wanted = bounded_broadcast(fates.df.select("doc", "key"), fates.rows, 64)
+    own = ["doc", "key"]
+    texts = ws.write(first_rows.join(wanted, own, "left_semi").join(fates.df, own), "branching-texts")
 
     windows = ws.write(_branch_windows(texts), "windows")
     heads = windows.groupBy("number").agg(
@@ -240,13 +262,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     starts = (
         windows.join(heads, "number")
         .filter(F.struct("doc", "start") != F.col("head"))
-        .groupBy("doc")
+        .groupBy("doc", "key")
         .agg(F.collect_list(F.struct("start", "number")).alias("starts"))
     )
-    cut = ws.write(_cut(texts.join(ws.write(starts, "starts"), "doc", "left")), "cut")
+    cut = ws.write(_cut(texts.join(ws.write(starts, "starts"), own, "left")), "cut")
 
     plain = base.join(copied.withColumn("copy", F.lit(True)), ["doc", "text_key"], "left").join(
-        wanted.withColumn("read", F.lit(True)), "doc", "left"
+        wanted.withColumn("read", F.lit(True)), own, "left"
     )
     is_copy = F.coalesce("copy", F.lit(False))
     emptied = is_copy & (F.col("n_words") >= WINDOW)
@@ -257,7 +279,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         F.when(emptied, hashlib.sha256(b"").hexdigest()).otherwise(F.col("whole_sha256")).alias("kept_sha256"),
         F.lit(None).cast("string").alias("kept_text"),
     )
-    changed = cut.select(
+    changed = cut.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"), "kept_text"
     )
     return untouched.unionByName(changed)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 from collections import Counter
 
@@ -10,7 +11,7 @@ import pytest
 import tiktoken
 from tests.llm import brute, fixtures
 
-from incidentlens.llm import bpe, queries
+from incidentlens.llm import bpe, queries, substring
 from incidentlens.llm.decontaminate import contamination
 
 DOCS = fixtures.documents()
@@ -76,6 +77,21 @@ def test_substring(spark, hard):
     assert got == Counter(brute.without_repeats(TEXTS))
 
 
+def test_substring_shared_ids(spark, monkeypatch):
+    """What is to be removed is listed per text, not per id, and equal rows are read once."""
+    rng = random.Random(9)
+    passage = fixtures.prose(rng, 30)
+    texts = [(i % 2 or None, f"{fixtures.prose(rng, 5 + i)} {passage} {fixtures.prose(rng, 25)}") for i in range(30)]
+    twice = passage + " and " + passage
+    texts += [(None, twice)] * 12 + [(7, twice)] * 3 + [(8, texts[0][1]), (None, None), (None, ""), (-(1 << 63), texts[2][1])]
+    seen, cut = [], substring._cut
+    monkeypatch.setattr(substring, "_cut", lambda df: seen.append(df.selectExpr("count(*) n", "max(size(fates)) most").first()) or cut(df))
+    got = rows_of(substring.remove_repeats(spark.createDataFrame(texts, "doc_id bigint, text string")), "doc_id", "n_words", "n_removed", "kept_sha256")
+    plain = brute.without_repeats([(-1 if d == -(1 << 63) else d, t) for d, t in texts])  # before all others, as null is
+    assert got == Counter((d, *row[1:]) for (d, _), row in zip(texts, plain))
+    assert seen[0]["n"] <= 33 and seen[0]["most"] <= 80
+
+
 def test_personal_data(spark, hard):
     got = {(r["doc_id"], r["base_sha256"]): r for r in queries.op8_pii(spark, hard).collect()}
     by_id = dict(TEXTS)
