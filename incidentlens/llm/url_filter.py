@@ -10,7 +10,8 @@ Log ratios are rounded to 1e-6 and summed as integers, so that scores do not dep
 additions. The model is a written table; it meets the URLs in ordinary joins on n-grams.
 
 Definitions
-* null URL or no ``://``: host and path are empty, no rule fits, the empty text is scored;
+* the models learn from and score the whole text of a URL, with scheme, query and fragment; rules see host and path;
+* null URL: the empty text is scored; null URL or no ``://``: host and path are empty, no rule fits;
 * the longest rule (host and path together) wins, on a tie the one with the longer host;
 * no accepted or no rejected URLs: that model is uniform, and without either the threshold is 0;
 * repeated rows give one result row each; null page ids are kept.
@@ -139,15 +140,15 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", page_
     """``page_id``, ``host``, ``path``, ``rule``, ``verdict``, ``score`` (nats per character) per row."""
     ws = workspace(pages)
     parts = with_rule(with_parts(pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url")), "url"), rules)
-    text = F.concat("host", "path")
-    # URLs with the same host and path are one row of a class until the end.
+    parts = parts.withColumn("url", F.coalesce("url", F.lit("")))
+    # Equal URLs are one row of a class until the end.
     classes = ws.save(
-        parts.groupBy("host", "path").agg(
+        parts.groupBy("url").agg(
             F.first("rule_verdict").alias("rule_verdict"), F.count(F.lit(1)).alias("n")
         ),
         "url-classes",
     ).df
-    rows = classes.select("host", "path", "n", "rule_verdict", F.explode(_grams(text)).alias("gram"))
+    rows = classes.select("url", "n", "rule_verdict", F.explode(_grams(F.col("url"))).alias("gram"))
     counts = rows.groupBy("gram").agg(
         F.sum(F.when(F.col("rule_verdict") == "allow", F.col("n")).otherwise(0)).alias("a"),
         F.sum(F.when(F.col("rule_verdict") == "block", F.col("n")).otherwise(0)).alias("r"),
@@ -156,15 +157,15 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", page_
     model = ws.save(score_grams(counts, ws), "url-model").df
     total = (
         rows.join(model, "gram")
-        .groupBy("host", "path", "rule_verdict")
+        .groupBy("url", "rule_verdict")
         .agg(F.sum("ratio").alias("ratio"), F.count(F.lit(1)).alias("length"))
     )
     score = F.col("ratio") / (F.lit(UNIT) * F.col("length"))
     step = F.floor(F.greatest(F.least(score, F.lit(SCORE_LIMIT)), F.lit(-SCORE_LIMIT)) * STEPS)
-    scored = ws.save(total.select("host", "path", "rule_verdict", score.alias("score"), step.alias("step")), "url-scores").df
+    scored = ws.save(total.select("url", "rule_verdict", score.alias("score"), step.alias("step")), "url-scores").df
     threshold = _threshold(scored)
-    judged = scored.select("host", "path", "score", "step")
+    judged = scored.select("url", "score", "step")
     verdict = F.coalesce("rule_verdict", F.when(F.col("step") >= threshold, "allow").otherwise("block"))
-    return parts.join(judged, ["host", "path"]).select(
+    return parts.join(judged, "url").select(
         "page_id", "host", "path", "rule", verdict.alias("verdict"), "score"
     )

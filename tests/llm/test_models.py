@@ -150,6 +150,18 @@ def test_url_model(spark):
         assert got[g] == pytest.approx(want * url_filter.UNIT, abs=2)
 
 
+def test_url_query_counts(spark):
+    """URLs that differ only in scheme, query or fragment, or have no scheme, are scored each for itself."""
+    urls = [f"http://a.org/p?id={i}" for i in range(9)] + [f"http://a.com/de/p?sid=zz{i}#top" for i in range(9)]
+    other = ["http://b.net/p?id=3", "http://b.net/p?sid=zz3#top", "https://b.net/p", "http://b.net/p", "b.net/p?id=3", "sid=zz3#top", None, ""]
+    pages = spark.createDataFrame(list(enumerate(urls + other)), "page_id bigint, url string")
+    rows = {r["page_id"]: r for r in url_filter.filter_urls(pages, queries.URL_RULES).collect()}
+    found = [rows[i] for i in range(len(urls), len(urls) + len(other))]
+    assert len({r["score"] for r in found}) == len(other) - 1  # null is as empty
+    assert found[0]["score"] > found[1]["score"]  # the query is like those of accepted URLs
+    assert all(r["rule"] is None for r in found)
+
+
 def test_template_language():
     t = chat.Template("{{ 'A' + 'B' }}{% for m in messages %}{% if loop.first and not m.role == 'x' %}[{% endif %}{{ m.text | upper }};{% endfor %}!")
     assert "".join(text for text, _ in t.render([("u", "a"), ("x", "b")])) == "AB[A;B;!"
