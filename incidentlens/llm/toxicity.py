@@ -12,6 +12,7 @@ Definitions
 * null or empty text: no features, the score of the prior; texts are read whole, however long;
 * a document labelled several times is toxic if one label says so; null labels are not learned from;
 * without labels, or with one class only, the score is the smoothed share of toxic labels;
+* of rows that share an id, the one with the smallest hash of its text is learned from;
 * repeated document rows give one result row each; rows with null ids are scored, never held out.
 """
 
@@ -94,6 +95,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     )
     chosen = ws.save(chosen, "toxic-labels")
     sample = docs.select("doc_id", "text").join(bounded_broadcast(chosen.df, chosen.rows, 64), "doc_id")
+    # One row per id, so that the bound holds for rows.
+    sample = sample.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     sample = ws.save(sample.select("toxic", "text"), "toxic-sample")
     by_class = {r["toxic"]: r["count"] for r in sample.df.groupBy("toxic").count().collect()}
     n_clean, n_toxic = by_class.get(0, 0), sum(n for k, n in by_class.items() if k)

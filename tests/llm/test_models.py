@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from tests.llm import fixtures
 
-from incidentlens.llm import chat, ngram_join, quality_lm, queries, url_filter
+from incidentlens.llm import chat, ngram_join, quality_lm, queries, toxicity, url_filter
 from incidentlens.llm.tables import workspace
 
 SF = "/root/testdata/sf0.01"
@@ -118,6 +118,12 @@ def test_toxicity_on_held_out(spark):
     assert found[0, 1] <= 0.01 * (found[0, 1] + found[0, 0])
 
 
+def test_toxicity_learns_one_row_per_id(spark, hard):
+    docs, labels = spark.read.parquet(f"{hard}/documents.parquet"), spark.read.parquet(f"{hard}/labels.parquet")
+    more = docs.filter("doc_id IN (2, 4, 8, 10)").crossJoin(spark.range(40)).select(*docs.columns)
+    assert toxicity.fit(docs.unionByName(more), labels) == toxicity.fit(docs, labels)
+
+
 def test_url_model(spark):
     """Witten-Bell ratios against plain recomputation."""
     texts = [("abab/x", "allow"), ("abac/x", "allow"), ("zzab/y", "block"), ("zz", "block"), ("abzz/q", None)]
