@@ -80,9 +80,80 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0)
 FROM doc_words LEFT JOIN kept USING (doc_id)
 """
 
+
+def _encoded(value: str) -> str:
+    return f"coalesce(CAST(strlen(CAST({value} AS VARCHAR)) AS VARCHAR) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+_LEAF = " || ".join(map(_encoded, ("doc_id", "source", "lang", "n_chars")))
+_TAMPERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """CTEs ``name`` (all nodes of trees of arity 8) and ``name_runs`` (their runs)."""
+    return f"""
+{name}(g, lvl, idx, held, digest) AS (
+  SELECT g, 0, idx, held, digest FROM {leaves}
+  UNION ALL
+  SELECT g, lvl + 1, idx // 8, (held + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx))
+  FROM {name} WHERE held > 1 GROUP BY g, lvl, idx // 8, held),
+{name}_runs AS (
+  SELECT g, lvl, idx // 8 AS run, list(digest ORDER BY idx) AS members
+  FROM {name} WHERE held > 1 GROUP BY g, lvl, idx // 8)"""
+
+
+def _walk(name: str, start: str, tree: str) -> str:
+    """CTEs ``name`` and ``name_end``: from (id, g, idx, proof, fold) of ``start`` up to the top of its tree."""
+    return f"""
+{name}(id, g, lvl, idx, proof, fold) AS (
+  SELECT id, g, 0, idx, proof, fold FROM {start}
+  UNION ALL
+  SELECT w.id, w.g, w.lvl + 1, w.idx // 8,
+         w.proof || array_to_string(list_concat(r.members[1:w.idx % 8], r.members[w.idx % 8 + 2:]), ''),
+         sha256(array_to_string(list_concat(r.members[1:w.idx % 8], [w.fold], r.members[w.idx % 8 + 2:]), ''))
+  FROM {name} w JOIN {tree}_runs r ON r.g = w.g AND r.lvl = w.lvl AND r.run = w.idx // 8),
+{name}_end AS (SELECT id, g, arg_max(proof, lvl) AS proof, arg_max(fold, lvl) AS fold FROM {name} GROUP BY id, g)"""
+
+
+# The table of CRC-32 follows from its polynomial, bit by bit.
+OP11 = f"""
+WITH RECURSIVE crc_bits(n, k, c) AS (
+  SELECT n, 0, n FROM (SELECT unnest(range(256)) AS n)
+  UNION ALL
+  SELECT n, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM crc_bits WHERE k < 8),
+crc_table AS (SELECT n, c FROM crc_bits WHERE k = 8),
+docs AS (
+  SELECT *, row_number() OVER () AS id, CAST(doc_id AS VARCHAR) AS key,
+         sha256({_LEAF} || {_encoded("text")}) AS leaf, sha256({_LEAF} || {_encoded(_TAMPERED)}) AS other
+  FROM documents),
+crc(id, i, c) AS (
+  SELECT id, 0, 4294967295 FROM docs WHERE doc_id IS NOT NULL
+  UNION ALL
+  SELECT s.id, s.i + 1, xor(s.c // 256, t.c)
+  FROM crc s JOIN docs d ON d.id = s.id JOIN crc_table t ON t.n = xor(s.c % 256, ascii(d.key[s.i + 1]))
+  WHERE s.i < length(d.key)),
+tampered AS (SELECT c.id FROM crc c JOIN docs d ON d.id = c.id WHERE c.i = length(d.key) AND xor(c.c, 4294967295) % 3 = 0),
+leaves AS (
+  SELECT d.id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, leaf AS digest,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+         count(*) OVER (PARTITION BY lang) AS held, CASE WHEN t.id IS NULL THEN leaf ELSE other END AS fold, '' AS proof
+  FROM docs d LEFT JOIN tampered t ON t.id = d.id),
+{_tree("nodes", "leaves")},
+subroots AS (SELECT g AS idx, digest, count(*) OVER () AS held, 0 AS g FROM nodes WHERE held = 1),
+{_tree("crown", "subroots")},
+{_walk("low", "leaves", "nodes")},
+mid AS (SELECT id, 0 AS g, g AS idx, proof, fold FROM low_end),
+{_walk("high", "mid", "crown")}
+SELECT d.doc_id, d.leaf, s.digest AS subroot, c.digest AS root, sha256(h.proof) AS proof_sha256, h.fold AS folded_root,
+       h.fold = c.digest AS verified
+FROM docs d JOIN leaves l ON l.id = d.id JOIN subroots s ON s.idx = l.g JOIN high_end h ON h.id = d.id
+CROSS JOIN (SELECT digest FROM crown WHERE held = 1) c
+"""
+
 STATEMENTS = {
     "op1_decontaminate": OP1,
     "op4_ngram_join": OP4,
     "op5_chat_format": OP5,
     "op6_substring": OP6,
+    "op11_merkle": OP11,
 }

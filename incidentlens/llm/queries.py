@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incidentlens.llm import bpe, chat, decontaminate, line_rules, ngram_join, oracle, pii, quality_lm, substring, toxicity, url_filter
+from incidentlens.llm import bpe, chat, decontaminate, line_rules, merkle, ngram_join, oracle, pii, quality_lm, substring, toxicity, url_filter
 from incidentlens.llm.tables import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -100,7 +100,30 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+MANIFEST_COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
+AZ, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*MANIFEST_COLUMNS)
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.lit(False))
+    now = docs.select(
+        *MANIFEST_COLUMNS, F.when(tampered, F.translate("text", AZ, SMALL)).otherwise(F.col("text")).alias("text_now")
+    )
+    leaf_now = merkle.leaf_digest(*MANIFEST_COLUMNS[:-1], "text_now")
+    found = merkle.manifest(now, MANIFEST_COLUMNS, "lang", "doc_id", carry={"leaf_now": leaf_now})
+    proof = F.array_join(F.transform(merkle.proof_digests(F.col("steps")), merkle.hexed), "")
+    return merkle.verify(found, F.col("leaf_now")).select(
+        "doc_id",
+        *[merkle.hexed(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")],
+        F.sha2(proof.cast("binary"), 256).alias("proof_sha256"),
+        merkle.hexed(F.col("folded_root")).alias("folded_root"),
+        "verified",
+    )
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_byte_bpe, op3_toxicity, op4_ngram_join, op5_chat_format, op6_substring, op7_quality, op8_pii, op9_line_rules, op10_url_filter,
+    op11_merkle,
 )}
 ORACLE: dict[str, str] = oracle.STATEMENTS
