@@ -18,6 +18,9 @@ SCHEMAS = {
     "conversations": pa.schema(
         [("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("seq", pa.string())]
     ),
+    "embeddings": pa.schema(
+        [("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32())), ("label", pa.int32()), ("key", pa.string()), ("score", pa.string())]
+    ),
 }
 
 
@@ -88,10 +91,27 @@ def conversations() -> list[tuple]:
     return rows
 
 
+def embeddings() -> list[tuple]:
+    rng = random.Random(11)
+    rows: list[tuple] = []
+    for i in range(400):
+        v = [round(rng.gauss(0, 0.3), 2) for _ in range(12)]
+        rows.append((i, v, rng.randrange(10), "k", "s"))
+    rows += [(400 + i, list(rows[i % 7][1]), i % 3, "k", "s") for i in range(60)]  # equal vectors, many ties
+    nan, inf = float("nan"), float("inf")
+    rows += [(500, [nan] * 12, 1, "k", "s"), (501, [inf] + [0.0] * 11, 1, "k", "s"), (502, None, 1, "k", "s"), (503, [0.1] * 12, None, "k", "s")]
+    rows += [(504, [0.1, None] + [0.2] * 10, 1, "k", "s"), (None, [0.9] * 12, 1, "k", "s"), (505, [], 2, "k", "s"), (506, [0.5, 0.25], 2, "k", "s")]
+    rows += [(550, [3.0e38] * 12, 2, "k", "s"), (551, [2000.0] * 12, 2, "k", "s"), (600, [-0.3] * 12, 2, "k", "s"), (601, [0.3] * 12, 2, "k", "s")]
+    rows += [rows[50], rows[50], rows[51], (100, [0.2] * 12, 8, None, None), (650, [0.4] * 20, 3, "k", "s"), (700, [0.1] * 12, 77, "k", "s")]
+    rng.shuffle(rows)
+    return rows
+
+
 def write(folder: str, empty: bool = False) -> str:
     docs = documents()
     tables = {
         "documents": docs, "benchmark": benchmark(docs), "labels": labels(docs), "pages": pages(), "conversations": conversations(),
+        "embeddings": embeddings(),
     }
     for name, schema in SCHEMAS.items():
         columns = list(zip(*tables[name])) if not empty else [()] * len(schema)
