@@ -27,19 +27,21 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BI
 FROM doc_words LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
-OP4 = f"""
+def _components(length: int, percent: int) -> str:
+    """Documents linked by the similarity of their sets of shingles, from all pairs that share one."""
+    return f"""
 WITH RECURSIVE doc_words AS (SELECT doc_id, {_WORDS % _LOWER} AS ws FROM documents),
 sets AS (
-  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END)) AS s
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {length} THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - {length} + 2), lambda i: array_to_string(ws[i:i + {length} - 1], ' ')) END)) AS s
   FROM doc_words),
 heads AS (SELECT s, min(doc_id) AS head FROM sets WHERE len(s) > 0 GROUP BY s),
 shingles AS (SELECT head, len(s) AS n, unnest(s) AS t FROM heads),
 common AS (
   SELECT a.head AS a, b.head AS b, a.n AS na, b.n AS nb, count(*) AS c
-  FROM shingles a JOIN shingles b ON a.t = b.t AND a.head < b.head AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
+  FROM shingles a JOIN shingles b ON a.t = b.t AND a.head < b.head AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
   GROUP BY ALL),
-links AS (SELECT a, b FROM common WHERE 100 * c >= 80 * (na + nb - c)),
+links AS (SELECT a, b FROM common WHERE 100 * c >= {percent} * (na + nb - c)),
 both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach(head, other) AS (
   SELECT head, head FROM heads
@@ -49,6 +51,11 @@ SELECT doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(root, doc_id)
 FROM sets LEFT JOIN heads ON sets.s = heads.s LEFT JOIN roots USING (head)
 """
 
+
+OP4 = _components(5, 80)
+_OP12 = _components(3, 85)
+OP12 = f"SELECT *, doc_id = component_id AS kept FROM ({_OP12})"
+
 OP5 = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -177,5 +184,6 @@ STATEMENTS = {
     "op5_chat_format": OP5,
     "op6_substring": OP6,
     "op11_merkle": OP11,
+    "op12_minhash": OP12,
     "op13_hard_negatives": OP13,
 }

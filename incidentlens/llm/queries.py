@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incidentlens.llm import bpe, chat, decontaminate, hard_negatives, line_rules, merkle, ngram_join, oracle, pii, quality_lm, substring, toxicity, url_filter
+from incidentlens.llm import bpe, chat, decontaminate, hard_negatives, line_rules, merkle, minhash, ngram_join, oracle, pii, quality_lm, substring, toxicity, url_filter
 from incidentlens.llm.tables import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -122,6 +122,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(
         "vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"), "embedding"
@@ -131,6 +135,6 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_byte_bpe, op3_toxicity, op4_ngram_join, op5_chat_format, op6_substring, op7_quality, op8_pii, op9_line_rules, op10_url_filter,
-    op11_merkle, op13_hard_negatives,
+    op11_merkle, op12_minhash, op13_hard_negatives,
 )}
 ORACLE: dict[str, str] = oracle.STATEMENTS

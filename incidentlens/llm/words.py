@@ -80,3 +80,11 @@ def mixed(values: np.ndarray) -> np.ndarray:
 def signed(values: np.ndarray) -> np.ndarray:
     """The same bits as BIGINT."""
     return np.ascontiguousarray(values, dtype=np.uint64).view(np.int64)
+
+
+def shingle_set(text: str | None, known: WordNumbers, length: int) -> np.ndarray:
+    """Sorted distinct numbers of a text's runs of ``length`` words, A-Z folded; all its words if they are fewer."""
+    numbers = known.of(split_words(text, fold=True))
+    if not len(numbers):
+        return np.zeros(0, np.uint64)
+    return np.unique(Runs(numbers).of_length(min(length, len(numbers))))

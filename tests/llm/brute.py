@@ -35,12 +35,12 @@ def contamination(docs, items):
         yield doc, len(words), len(hit), len(found), sha(",".join(sorted(found))), bool(hit) and 20 * len(hit) >= len(words)
 
 
-def components(docs):
+def components(docs, length=5, percent=80):
     """Rows (doc_id, n_shingles, component); docs: (doc_id, text), null ids linked with nothing."""
     sets = []
     for doc, text in docs:
         words = WORD.findall((text or "").translate(AZ))
-        sets.append((doc, frozenset([tuple(words)] if 0 < len(words) < 5 else [tuple(words[i : i + 5]) for i in range(len(words) - 4)])))
+        sets.append((doc, frozenset([tuple(words)] if 0 < len(words) < length else [tuple(words[i : i + length]) for i in range(len(words) - length + 1)])))
     parent = {doc: doc for doc, _ in sets}
 
     def find(x):
@@ -50,7 +50,7 @@ def components(docs):
 
     for i, (a, x) in enumerate(sets):
         for b, y in sets[:i]:
-            if a is not None and b is not None and x and y and 100 * len(x & y) >= 80 * len(x | y):
+            if a is not None and b is not None and x and y and 100 * len(x & y) >= percent * len(x | y):
                 low, high = sorted((find(a), find(b)))
                 parent[high] = low
     return [(doc, len(s), None if doc is None else find(doc)) for doc, s in sets]
