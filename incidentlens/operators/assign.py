@@ -6,43 +6,81 @@ output stays linear in the incidents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bearing_difference, haversine_miles
 from ..rule import MatchRule
-from .grid import match_join, near_condition
+from ..sizes import Sizes
+from .grid import anchor_bytes, anchors_by_cell, match_condition, match_join, near_condition
+
+
+def miles_to(anchor: str) -> str:
+    return haversine_miles(f"{anchor}lat", f"{anchor}lon", "lat", "lon")
 
-MILES_APART = haversine_miles("a_lat", "a_lon", "lat", "lon")
+
+MILES_APART = miles_to("a_")
 
 
 def _assign(
-    points: DataFrame, kept: DataFrame, rule: MatchRule, crowded: DataFrame | None, best: str
+    points: DataFrame,
+    kept: DataFrame,
+    rule: MatchRule,
+    crowded: DataFrame | None,
+    sizes: Sizes,
+    order: Callable[[str], list[str]],
 ) -> DataFrame:
+    """``owner_id`` of the lowest matching suppressor by ``order``: expressions, given a prefix for its columns."""
+    if sizes.broadcast_bytes and anchor_bytes(kept, rule) <= sizes.broadcast_bytes:
+        return _assign_in_place(points, kept, rule, order)
     joined = match_join(points, kept, rule, "left", crowded)
     # Grouping starts with the join keys: after a shuffled join no further exchange is needed.
     where = [*rule.keys, "cell", *(["salt"] if crowded is not None else []), "rank"]
     carried = [f"first({c}) AS {c}" for c in points.columns if c not in where]
-    made = [F.expr(sql) for sql in (*carried, f"{best} AS owner_id")]
+    best = f"min_by(a_row_id, struct({', '.join(order('a_'))})) AS owner_id"
+    made = [F.expr(sql) for sql in (*carried, best)]
     return joined.groupBy(*where).agg(*made).select(*points.columns, "owner_id")
 
 
+def _assign_in_place(
+    points: DataFrame, kept: DataFrame, rule: MatchRule, order: Callable[[str], list[str]]
+) -> DataFrame:
+    """The same without a shuffle: every row finds its cell's suppressors in a broadcast table."""
+    cells = F.broadcast(anchors_by_cell(kept, rule))
+    joined = points.join(cells, [*rule.keys, "cell"], "left")
+    matching = f"filter(anchors, a -> {match_condition(rule, '', 'a.')})"
+    ranked = ", ".join([*order("a."), "a.row_id AS owner"])
+    return joined.selectExpr(
+        *points.columns, f"array_min(transform({matching}, a -> struct({ranked}))).owner AS owner_id"
+    )
+
+
 def assign_first(
-    points: DataFrame, kept: DataFrame, rule: MatchRule, crowded: DataFrame | None = None
+    points: DataFrame,
+    kept: DataFrame,
+    rule: MatchRule,
+    crowded: DataFrame | None = None,
+    sizes: Sizes = Sizes(),
 ) -> DataFrame:
     """Add ``owner_id``: row_id of the lowest-ranked matching suppressor, NULL without one.
 
-    A suppressor among the points owns itself.
+    A suppressor among the points owns itself. Few suppressors (counted first) are broadcast, so
+    that the points stay where they are; many are joined by cell.
     """
-    return _assign(points, kept, rule, crowded, "min_by(a_row_id, a_rank)")
+    return _assign(points, kept, rule, crowded, sizes, lambda a: [f"{a}rank"])
 
 
 def assign_nearest(
-    points: DataFrame, kept: DataFrame, rule: MatchRule, crowded: DataFrame | None = None
+    points: DataFrame,
+    kept: DataFrame,
+    rule: MatchRule,
+    crowded: DataFrame | None = None,
+    sizes: Sizes = Sizes(),
 ) -> DataFrame:
     """Like :func:`assign_first`, but the closest suppressor wins, then the lower-ranked one."""
-    best = f"min_by(a_row_id, struct({MILES_APART}, a_rank))"
-    return _assign(points, kept, rule, crowded, best)
+    return _assign(points, kept, rule, crowded, sizes, lambda a: [miles_to(a), f"{a}rank"])
 
 
 def unmatched(assigned: DataFrame) -> DataFrame:

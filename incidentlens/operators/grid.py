@@ -43,6 +43,9 @@ MAX_SPLIT_CELLS = 100_000
 
 GEOMETRY = ("lat", "lon", "bearing", "x", "y", "z")
 
+# An anchor in a cell's array, and its share of a hash table.
+ANCHOR_BYTES = 160
+
 
 def reach(rule: MatchRule) -> float:
     """Chord that no matching pair exceeds."""
@@ -141,6 +144,24 @@ def spread(anchors: DataFrame, rule: MatchRule) -> DataFrame:
     return out.selectExpr(*kept, f"{cell_number('cx', 'cy', 'cz', side)} AS a_cell")
 
 
+def anchor_bytes(anchors: DataFrame, rule: MatchRule) -> int:
+    """What ``anchors_by_cell`` takes at most when broadcast: every anchor counted in 8 cells."""
+    keys = " + ".join(f"octet_length(CAST({k} AS STRING))" for k in rule.keys)
+    found = anchors.selectExpr("count(1) AS held", f"coalesce(sum({keys}), 0L) AS keys").first()
+    return 8 * (ANCHOR_BYTES * found["held"] + found["keys"])
+
+
+def anchors_by_cell(anchors: DataFrame, rule: MatchRule) -> DataFrame:
+    """One row per wide cell with the array of all anchors that a row of it can match.
+
+    Cells that share a number share a row, which only adds anchors too far away to match.
+    """
+    copies = spread(anchors, rule)
+    fields = ", ".join(f"a_{c} AS {c}" for c in ("rank", "row_id", *GEOMETRY))
+    by = [F.col(f"a_{k}").alias(k) for k in (*rule.keys, "cell")]
+    return copies.groupBy(*by).agg(F.expr(f"collect_list(struct({fields})) AS anchors"))
+
+
 def near_condition(rule: MatchRule, point: str = "", anchor: str = "a_") -> str:
     """Distance of a point to an anchor, the cheap chord test first; arguments are prefixes."""
     far = reach(rule)

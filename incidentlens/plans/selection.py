@@ -121,7 +121,7 @@ class Stages:
             self.lap("credit")
             return None, tail
         crowded = self.crowded(points, rows, self.rule)
-        owned = self.assign(points, kept, self.rule, crowded)
+        owned = self.assign(points, kept, self.rule, crowded, self.sizes)
         # One pass writes both results; of an owned row only the owner is kept.
         geometry = [
             f"CASE WHEN owner_id IS NULL THEN {c} END AS {c}"
@@ -187,7 +187,7 @@ def hotspots(
     crowded = stages.crowded(tail.df, tail.rows, rule)
     late = greedy_survivors(tail.df, rule, stages.ws, crowded, sizes)
     late_owned = stages.ws.write(
-        stages.assign(tail.df, late, rule, crowded).select("row_id", "owner_id"), "late-owned"
+        stages.assign(tail.df, late, rule, crowded, sizes).select("row_id", "owner_id"), "late-owned"
     )
     stages.lap("thin_rest")
     suppressors = _with_owned(late, late_owned, "rest").unionByName(
@@ -218,7 +218,7 @@ def dedupe_points(
     crowded = stages.crowded(points.df, points.rows, rule)
     kept = greedy_survivors(points.df, rule, stages.ws, crowded, sizes)
     owned = stages.ws.write(
-        assign_first(points.df, kept, rule, crowded).select("row_id", "owner_id"), "owned"
+        assign_first(points.df, kept, rule, crowded, sizes).select("row_id", "owner_id"), "owned"
     )
     stages.lap("thin_rest")
     suppressors = _with_owned(kept, owned, "rest").unionByName(_zero(stages.outside(), "rest"))
@@ -270,7 +270,7 @@ def thin_chunks(
     within = rule.also_equal("chunk_id")
     crowded = crowded_cells(points.df, within, points.rows, ws, sizes)
     kept = greedy_survivors(points.df, within, ws, crowded, sizes)
-    counts = fitness_counts(assign_first(points.df, kept, within, crowded))
+    counts = fitness_counts(assign_first(points.df, kept, within, crowded, sizes))
     ranked = with_rank(with_fitness(kept, counts), "chunk_id", "rank")
     return ws.save(
         ranked.select(

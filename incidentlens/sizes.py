@@ -20,6 +20,8 @@ class Sizes:
     slow_share: float = 0.5
     # A sweep that leaves more than this share undecided is followed by a plain round.
     stuck_share: float = 0.9
+    # Suppressors are broadcast, listed by cell, when they take no more bytes than this (counted first).
+    broadcast_bytes: int = 64 << 20
     # A sample cut-off shared by at most this many rows is found by sorting them.
     sort_rows: int = 10_000
 
