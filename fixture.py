@@ -8,6 +8,7 @@ PCT = 10
 MILEAGE = 0.5
 SEED = 42
 CHUNKS = 4
+MANY_CHUNKS = 64
 
 # Literals carry an exponent: plain decimals would be DECIMAL, with other rounding rules.
 INCIDENTS_SQL = """

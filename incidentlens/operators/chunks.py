@@ -2,7 +2,8 @@
 
 In the merge each survivor absorbs at most one survivor of every higher chunk, the first free
 match, and takes over its fitness. Matching survivors can therefore remain; this is how the
-chunked mode is defined.
+chunked mode is defined. The matches between chunks can be listed (``chunk_edges``), but the merge
+does without that list.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from ..rule import MatchRule
 from ..sizes import Sizes
 from ..workspace import SavedTable, Workspace
 from .fitness import add_fitness
-from .grid import GEOMETRY, match_join
-from .suppress import group_sizes
+from .grid import GEOMETRY, match_condition, match_join
+from .suppress import group_sizes, plain_round
 
 
 def even_chunks(rows: int, chunks: int) -> Column:
@@ -45,52 +46,125 @@ def chunk_edges(
     )
 
 
-def ordered_edge_fold(edges: DataFrame, rule: MatchRule) -> DataFrame:
-    """The taken edges, by trying each key group's edges one after the other.
+def _free_pairs(
+    points: DataFrame,
+    sources: DataFrame,
+    taken: DataFrame | None,
+    rule: MatchRule,
+    crowded: DataFrame | None,
+) -> DataFrame:
+    """(src, dst, dst_chunk): lower sources each point matches that have not absorbed from its chunk yet."""
+    met = match_join(points, sources, rule, "inner", crowded, extra="a_rank < rank")
+    pairs = met.selectExpr("a_rank AS src", "rank AS dst", "chunk_id AS dst_chunk")
+    if taken is None:
+        return pairs
+    return pairs.join(taken.select("src", "dst_chunk"), ["src", "dst_chunk"], "left_anti")
+
+
+def ordered_fold(rows: DataFrame, rule: MatchRule) -> DataFrame:
+    """The absorptions (src, dst, dst_chunk), by walking each key group's rows in rank order.
 
-    A group becomes one array, so its size must be known to be small.
+    A row is absorbed by the first source it matches that has not absorbed from its chunk, and
+    else becomes a source. ``rows`` carry ``settled`` (a source whatever it matches) and ``used``
+    (chunks it has absorbed from). A group becomes one array, so its size must be known to be small.
     """
-    rows = F.expr("array_sort(collect_list(struct(src, dst, dst_chunk)))")
-    conflict = "t.dst = e.dst OR t.dst = e.src OR (t.src = e.src AND t.dst_chunk = e.dst_chunk)"
-    taken = f"""aggregate(rows, filter(rows, e -> false), (taken, e) ->
-        IF(exists(taken, t -> {conflict}), taken, concat(taken, array(e))))"""
-    groups = edges.groupBy(*rule.keys).agg(rows.alias("rows"))
-    return groups.selectExpr(f"inline({taken})")
+    fields = ", ".join(["rank", "chunk_id", "settled", "used", *GEOMETRY])
+    groups = rows.groupBy(*rule.keys).agg(F.expr(f"array_sort(collect_list(struct({fields}))) AS rows"))
+    free = f"{match_condition(rule, 'p.', 'k.')} AND NOT array_contains(k.used, p.chunk_id)"
+    first = f"IF(p.settled, NULL, get(filter(s.sources, k -> {free}), 0).rank)"
+    marked = """transform(s.sources, k -> IF(k.rank = hit,
+        named_struct('rank', k.rank, 'chunk_id', k.chunk_id, 'settled', k.settled,
+                     'used', concat(k.used, array(p.chunk_id)), {geometry}), k))"""
+    marked = marked.format(geometry=", ".join(f"'{c}', k.{c}" for c in GEOMETRY))
+    # The array of one element binds the source found to a name.
+    step = f"""transform(array({first}), hit -> named_struct(
+        'sources', IF(hit IS NULL, concat(s.sources, array(p)), {marked}),
+        'taken', IF(hit IS NULL, s.taken, concat(s.taken, array(
+            named_struct('src', hit, 'dst', p.rank, 'dst_chunk', p.chunk_id))))))[0]"""
+    nothing = "CAST(array() AS array<struct<src: bigint, dst: bigint, dst_chunk: bigint>>)"
+    start = f"named_struct('sources', filter(rows, p -> false), 'taken', {nothing})"
+    return groups.selectExpr(f"inline(aggregate(rows, {start}, (s, p) -> {step}).taken)")
 
 
 def absorptions(
-    edges: DataFrame, rule: MatchRule, ws: Workspace, sizes: Sizes = Sizes()
+    survivors: DataFrame,
+    rule: MatchRule,
+    ws: Workspace,
+    crowded: DataFrame | None = None,
+    sizes: Sizes = Sizes(),
 ) -> DataFrame:
-    """The edges taken when all are tried in (src, dst) order: ``(src, dst, dst_chunk)``.
-
-    An edge is taken unless its dst or its src has been absorbed or its src already absorbed a
-    row of that chunk. A round takes every undecided edge that is the lowest of its dst, the
-    lowest of its (src, chunk) and whose src is no undecided edge's dst: no lower edge can
-    prevent it any more.
+    """``(src, dst, dst_chunk)``: who absorbs whom if the matches are tried in (src, dst) order.
+
+    A match is taken unless its dst or its src has been absorbed or its src already absorbed a
+    row of that chunk. Two matches that exclude each other share a row, and stand in the same order
+    by (src, dst) as by (dst, src); so rows can as well be taken in rank order, each going to the first
+    source that is free for its chunk. Only survivors that have *acted*, being settled as sources,
+    can take a row, and few of them match any one row: it only joins them while all nearer to it are
+    busy with its chunk. So the matches between chunks, which grow with their number, are never listed.
+
+    A round settles as sources the rows that no undecided lower row matches and no source is free
+    for. Then each source takes the lowest undecided row it matches in every chunk at once, if it is the
+    first source free for it and no undecided row before the source matches it.
     """
-    columns = [*rule.keys, "src", "dst", "dst_chunk"]
-    undecided, taken_rounds = edges.select(*columns), []
+    columns = ["rank", "row_id", "chunk_id", *rule.keys, *GEOMETRY, "cell"]
+    undecided, sources, rounds, path = survivors.select(*columns), None, [], None
     left, most = group_sizes(undecided, rule)
     while not sizes.foldable(left, most):
-        first_src = undecided.groupBy("dst").agg(F.min("src").alias("src"))
-        first_dst = undecided.groupBy("src", "dst_chunk").agg(F.min("dst").alias("dst"))
-        targets = undecided.selectExpr("dst AS src").distinct()
-        lowest = first_dst.join(first_src, ["src", "dst"]).join(targets, "src", "left_anti")
-        taken = ws.write(lowest.select("src", "dst", "dst_chunk"), "taken")
-        taken_rounds.append(taken)
-        gone = taken.select("dst")
-        rest = (
-            undecided.join(gone, "dst", "left_anti")
-            .join(gone.selectExpr("dst AS src"), "src", "left_anti")
-            .join(taken.select("src", "dst_chunk"), ["src", "dst_chunk"], "left_anti")
-        )
-        undecided = ws.write(rest.select(*columns), "undecided-edges")
+        taken = reduce(DataFrame.unionByName, rounds) if rounds else None
+        first = plain_round(undecided, rule, ws, crowded).select("rank")
+        ready = undecided.join(first, "rank", "left_semi")
+        if sources is not None:
+            wanted = _free_pairs(ready, sources, taken, rule, crowded).selectExpr("dst AS rank")
+            ready = ready.join(wanted.distinct(), "rank", "left_anti")
+        acting = ws.write(ready.select(*columns), "acting")
+        sources = acting if sources is None else sources.unionByName(acting)
+        rest = undecided.join(acting.select("rank"), "rank", "left_anti").select(*columns)
+        pairs = _free_pairs(rest, sources, taken, rule, crowded)
+        first_src = pairs.groupBy("dst", "dst_chunk").agg(F.min("src").alias("src"))
+        first_dst = pairs.groupBy("src", "dst_chunk").agg(F.min("dst").alias("dst"))
+        agreed = ws.write(first_src.join(first_dst, ["src", "dst", "dst_chunk"]), "agreed")
+        targets = rest.join(agreed.selectExpr("dst AS rank", "src"), "rank")
+        waiting = match_join(rest, targets, rule, "inner", crowded, extra="rank < a_src")
+        waiting = waiting.selectExpr("a_rank AS dst").distinct()
+        found = agreed.join(waiting, "dst", "left_anti").select("src", "dst", "dst_chunk")
+        rounds.append(ws.write(found, "taken"))
+        gone = rounds[-1].selectExpr("dst AS rank")
+        used, undecided = path, ws.write(rest.join(gone, "rank", "left_anti").select(*columns), "undecided")
+        path = ws.last
+        if used:
+            ws.remove(used)
+        before = left
         left, most = group_sizes(undecided, rule)
+        if left == before:
+            raise ValueError("ranks must be unique and keys not NULL")
     if most:
-        taken_rounds.append(ws.write(ordered_edge_fold(undecided, rule), "taken"))
-    if not taken_rounds:
-        return undecided.select("src", "dst", "dst_chunk")
-    return reduce(DataFrame.unionByName, taken_rounds)
+        rounds.append(ws.write(_folded(undecided, sources, rounds, rule, crowded), "taken"))
+    if not rounds:
+        return undecided.selectExpr("rank AS src", "rank AS dst", "chunk_id AS dst_chunk")
+    return reduce(DataFrame.unionByName, rounds)
+
+
+def _folded(
+    undecided: DataFrame,
+    sources: DataFrame | None,
+    rounds: list[DataFrame],
+    rule: MatchRule,
+    crowded: DataFrame | None,
+) -> DataFrame:
+    """What the undecided rows come to, together with the sources that match any of them."""
+    columns = ["rank", "chunk_id", *rule.keys, *GEOMETRY]
+    nothing = "CAST(array() AS array<bigint>) AS used"
+    rows = undecided.selectExpr(*columns, "false AS settled", nothing)
+    if sources is not None:
+        met = match_join(undecided, sources, rule, "inner", crowded, extra="a_rank < rank")
+        near = met.selectExpr(*[f"a_{c} AS {c}" for c in columns]).distinct()
+        taken = reduce(DataFrame.unionByName, rounds)
+        used = taken.groupBy(F.col("src").alias("rank")).agg(F.collect_list("dst_chunk").alias("used"))
+        near = near.join(used, "rank", "left").selectExpr(
+            *columns, "true AS settled", "coalesce(used, CAST(array() AS array<bigint>)) AS used"
+        )
+        rows = rows.unionByName(near)
+    return ordered_fold(rows, rule)
 
 
 def merge_chunks(
@@ -103,9 +177,7 @@ def merge_chunks(
     """Survivors of the merge with ``fitness`` summed up: own + (absorbed + 1) for each absorbed."""
     if not rule.can_match:
         return local.df
-    found = chunk_edges(local.df, rule, crowded).drop("src_id", "dst_id")
-    edges = ws.write(found, "chunk-edges")
-    taken = absorptions(edges, rule, ws, sizes)
+    taken = absorptions(local.df, rule, ws, crowded, sizes)
     passed_on = local.df.selectExpr("rank AS dst", "fitness + 1 AS fitness")
     gains = taken.join(passed_on, "dst").selectExpr("src AS owner_id", "fitness")
     total = add_fitness(gains).selectExpr("owner_id AS rank", "fitness AS gain")

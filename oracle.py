@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from fixture import CHUNKS, INCIDENTS_SQL, MILEAGE, PCT, SEED, SHARP_SQL
+from fixture import CHUNKS, INCIDENTS_SQL, MANY_CHUNKS, MILEAGE, PCT, SEED, SHARP_SQL
 
 from incidentlens.functions import EARTH_RADIUS_MILES
 
@@ -107,7 +107,7 @@ SURVIVORS = [
 ]
 
 
-def chunked(source: str, before: list[str]) -> list[str]:
+def chunked(source: str, before: list[str], chunks: int = CHUNKS) -> list[str]:
     """CTEs ending in ``local`` (survivors per chunk), ``edges`` and ``merged``."""
     return [
         *before,
@@ -132,7 +132,7 @@ def chunked(source: str, before: list[str]) -> list[str]:
          CASE WHEN free THEN list_append(w.slots, e.slot) ELSE w.slots END,
          CASE WHEN free THEN list_append(w.taken, e.j) ELSE w.taken END
   FROM edge_walk w
-  JOIN (SELECT *, src_id * {CHUNKS} + dst_chunk AS slot FROM edge_seq) e
+  JOIN (SELECT *, src_id * {chunks} + dst_chunk AS slot FROM edge_seq) e
     ON e.loc_key = w.loc_key AND e.j = w.j + 1
   CROSS JOIN LATERAL (
     SELECT NOT list_contains(w.gone, e.dst_id) AND NOT list_contains(w.gone, e.src_id)
@@ -153,6 +153,11 @@ merged AS (
 
 
 CHUNK_WHOLE = chunked("marked", [INCIDENTS])
+CHUNK_MANY = chunked(
+    "many",
+    [INCIDENTS, f"many AS (SELECT * REPLACE (row_id * {MANY_CHUNKS} // n AS chunk_id) FROM marked)"],
+    MANY_CHUNKS,
+)
 CHUNK_TAIL = chunked(
     "tail",
     [
@@ -335,6 +340,7 @@ WHERE NOT g.kept""",
         "chunk_suppress": query(
             CHUNK_WHOLE, "SELECT row_id, chunk_id, fitness FROM local"
         ),
+        "chunk_merge_many": query(CHUNK_MANY, "SELECT row_id, chunk_id, fitness FROM merged"),
         "chunk_merge": query(CHUNK_WHOLE, "SELECT row_id, chunk_id, fitness FROM merged"),
         "conservation_check": query(
             SURVIVORS,
