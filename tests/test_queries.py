@@ -1,4 +1,4 @@
-"""Every registered query against its DuckDB counterpart on the smallest tables."""
+"""Every query of the hot-spot library against its DuckDB counterpart on the smallest tables."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+import oracle
 from check_queries import duckdb_tables, sorted_rows
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -21,11 +22,17 @@ def con() -> duckdb.DuckDBPyConnection:
 
 
 def test_every_query_has_sql():
-    assert set(entry_point.queries()) == set(entry_point.oracle_sql())
+    assert set(entry_point.CORE) == set(oracle.statements())
+    assert set(oracle.statements()) <= set(entry_point.oracle_sql()) <= set(entry_point.queries())
+
+
+def test_without_the_operators_for_training_data(monkeypatch):
+    monkeypatch.setattr(entry_point, "llm_queries", None)
+    assert set(entry_point.queries()) == set(entry_point.CORE) == set(entry_point.oracle_sql())
 
 
 @needs_tables
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+@pytest.mark.parametrize("name", sorted(oracle.statements()))
 def test_query(spark, con, name):
     df = entry_point.queries()[name](spark, SF_DIR)
     cursor = con.execute(entry_point.oracle_sql()[name])
