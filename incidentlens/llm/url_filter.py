@@ -4,7 +4,9 @@ Two smoothed variable-order Markov models, one of accepted and one of rejected U
 decides), give each character's probability after its ORDER - 1 predecessors; Witten-Bell smoothing
 backs off to shorter contexts as far as a context was seen. A URL's score is the difference of the two
 log-likelihoods divided by its length; it is accepted from the threshold that best separates the rules'
-own URLs (least sum of both error shares; the lowest such threshold on ties).
+own URLs (least sum of both error shares; the lowest such threshold on ties). For that they are scored
+as unknown URLs are, by models that have not seen them: dealt into two halves by their text, each half is
+scored by the models of the other.
 
 Log ratios are rounded to 1e-6 and summed as integers, so that scores do not depend on the order of
 additions. The model is a written table; it meets the URLs in ordinary joins on n-grams.
@@ -124,7 +126,7 @@ def score_grams(grams: DataFrame, ws) -> DataFrame:
 
 def _threshold(scored: DataFrame) -> int:
     """The grid step at and above which a score is accepted. The grid has a fixed number of steps."""
-    counts = scored.filter("rule_verdict IS NOT NULL").groupBy("step").agg(
+    counts = scored.filter("rule_verdict IS NOT NULL").groupBy(_step(F.col("held_score")).alias("step")).agg(
         F.count_if(F.col("rule_verdict") == "allow").alias("a"),
         F.count_if(F.col("rule_verdict") == "block").alias("r"),
     )
@@ -136,6 +138,37 @@ def _threshold(scored: DataFrame) -> int:
     return best["step"] if best else 0
 
 
+def _step(score: Column) -> Column:
+    return F.floor(F.greatest(F.least(score, F.lit(SCORE_LIMIT)), F.lit(-SCORE_LIMIT)) * STEPS)
+
+
+def half_of(url: Column) -> Column:
+    """0 or 1: the half of the decided URLs that a URL belongs to."""
+    return F.pmod(F.xxhash64(url, F.lit(31)), F.lit(2)).cast("int")
+
+
+def judge(classes: DataFrame, ws) -> DataFrame:
+    """``url``, ``score`` and ``accepted`` of different URLs, from ``url``, ``n`` (rows) and ``rule_verdict``."""
+    rows = classes.select("url", "n", "rule_verdict", half_of(F.col("url")).alias("half"), F.explode(_grams(F.col("url"))).alias("gram"))
+
+    def held(verdict: str, half: int) -> Column:
+        return F.sum(F.when((F.col("rule_verdict") == verdict) & (F.col("half") == half), F.col("n")).otherwise(0))
+
+    counts = rows.groupBy("gram").agg(*[held(v, k).alias(f"{v[0]}{k}") for v in ("allow", "block") for k in (0, 1)])
+    counts = ws.save(counts, "url-grams").df
+    model = score_grams(counts.selectExpr("gram", "a0 + a1 AS a", "b0 + b1 AS r"), ws)
+    for half in (0, 1):  # what judges this half is learned from the other
+        other = score_grams(counts.selectExpr("gram", f"a{1 - half} AS a", f"b{1 - half} AS r"), ws)
+        model = model.join(other.withColumnRenamed("ratio", f"ratio{half}"), "gram")
+    model = ws.save(model, "url-model").df
+    total = rows.join(model, "gram").groupBy("url", "rule_verdict", "half").agg(
+        F.sum("ratio").alias("ratio"), F.sum(F.expr("if(half = 0, ratio0, ratio1)")).alias("held"), F.count(F.lit(1)).alias("length")
+    )
+    score, held_score = (F.col(c) / (F.lit(UNIT) * F.col("length")) for c in ("ratio", "held"))
+    scored = ws.save(total.select("url", "rule_verdict", score.alias("score"), held_score.alias("held_score")), "url-scores").df
+    return scored.select("url", "score", (_step(F.col("score")) >= _threshold(scored)).alias("accepted"))
+
+
 def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", page_id: str = "page_id") -> DataFrame:
     """``page_id``, ``host``, ``path``, ``rule``, ``verdict``, ``score`` (nats per character) per row."""
     ws = workspace(pages)
@@ -148,24 +181,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", page_
         ),
         "url-classes",
     ).df
-    rows = classes.select("url", "n", "rule_verdict", F.explode(_grams(F.col("url"))).alias("gram"))
-    counts = rows.groupBy("gram").agg(
-        F.sum(F.when(F.col("rule_verdict") == "allow", F.col("n")).otherwise(0)).alias("a"),
-        F.sum(F.when(F.col("rule_verdict") == "block", F.col("n")).otherwise(0)).alias("r"),
-    )
-    counts = ws.save(counts, "url-grams").df
-    model = ws.save(score_grams(counts, ws), "url-model").df
-    total = (
-        rows.join(model, "gram")
-        .groupBy("url", "rule_verdict")
-        .agg(F.sum("ratio").alias("ratio"), F.count(F.lit(1)).alias("length"))
-    )
-    score = F.col("ratio") / (F.lit(UNIT) * F.col("length"))
-    step = F.floor(F.greatest(F.least(score, F.lit(SCORE_LIMIT)), F.lit(-SCORE_LIMIT)) * STEPS)
-    scored = ws.save(total.select("url", "rule_verdict", score.alias("score"), step.alias("step")), "url-scores").df
-    threshold = _threshold(scored)
-    judged = scored.select("url", "score", "step")
-    verdict = F.coalesce("rule_verdict", F.when(F.col("step") >= threshold, "allow").otherwise("block"))
-    return parts.join(judged, "url").select(
+    verdict = F.coalesce("rule_verdict", F.when(F.col("accepted"), "allow").otherwise("block"))
+    return parts.join(judge(classes, ws), "url").select(
         "page_id", "host", "path", "rule", verdict.alias("verdict"), "score"
     )

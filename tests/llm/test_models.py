@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 from tests.llm import fixtures
 
 from incidentlens.llm import chat, ngram_join, quality_lm, queries, toxicity, url_filter
@@ -124,16 +126,9 @@ def test_toxicity_learns_one_row_per_id(spark, hard):
     assert toxicity.fit(docs.unionByName(more), labels) == toxicity.fit(docs, labels)
 
 
-def test_url_model(spark):
-    """Witten-Bell ratios against plain recomputation."""
-    texts = [("abab/x", "allow"), ("abac/x", "allow"), ("zzab/y", "block"), ("zz", "block"), ("abzz/q", None)]
-    grams, n = Counter(), url_filter.ORDER
-    by_class = {"allow": Counter(), "block": Counter(), None: Counter()}
-    for text, verdict in texts:
-        padded = url_filter.START * (n - 1) + text + url_filter.END
-        for i in range(n - 1, len(padded)):
-            grams[padded[i - n + 1 : i + 1]] += 1
-            by_class[verdict][padded[i - n + 1 : i + 1]] += 1
+def url_ratios(by_class, grams):
+    """Witten-Bell log ratios of grams, from counts of accepted and rejected ones; plainly."""
+    n = url_filter.ORDER
     alphabet = len({g[-1] for g in grams})
 
     def p(gram, counts):
@@ -147,15 +142,76 @@ def test_url_model(spark):
                 out = (seen[gram[-1]] + len(seen) * out) / (sum(seen.values()) + len(seen))
         return out
 
+    return {g: math.log(p(g, by_class["allow"])) - math.log(p(g, by_class["block"])) for g in grams}
+
+
+def url_grams(text):
+    padded = url_filter.START * (url_filter.ORDER - 1) + text + url_filter.END
+    return [padded[i : i + url_filter.ORDER] for i in range(len(text) + 1)]
+
+
+def test_url_model(spark):
+    """Witten-Bell ratios against plain recomputation."""
+    texts = [("abab/x", "allow"), ("abac/x", "allow"), ("zzab/y", "block"), ("zz", "block"), ("abzz/q", None)]
+    by_class = {"allow": Counter(), "block": Counter(), None: Counter()}
+    for text, verdict in texts:
+        by_class[verdict].update(url_grams(text))
+    grams = set().union(*by_class.values())
     rows = [(g, by_class["allow"][g], by_class["block"][g]) for g in grams]
     ws = workspace(spark)
     got = {r["gram"]: r["ratio"] for r in url_filter.score_grams(spark.createDataFrame(rows, "gram string, a bigint, r bigint"), ws).collect()}
-    assert got.keys() == grams.keys()
-    for g in grams:
-        want = math.log(p(g, by_class["allow"])) - math.log(p(g, by_class["block"]))
+    assert got.keys() == grams
+    for g, want in url_ratios(by_class, grams).items():
         assert got[g] == pytest.approx(want * url_filter.UNIT, abs=2)
 
 
+def test_url_threshold_and_verdict(spark):
+    """Scores, threshold and verdicts of the whole query, recomputed plainly."""
+    rng = random.Random(8)
+    stems = {"allow": ["http://a.org/news/", "http://b.org/wiki/"], "block": ["http://c.com/de/shop", "http://d.com/de/x?"]}
+    urls = [(rng.choice(s) + str(rng.randrange(90)), v) for v, s in stems.items() for _ in range(30)]
+    urls += [(f"http://{h}/{rng.choice(['news/', 'wiki/', 'de/shop', 'x?'])}{rng.randrange(50)}", None) for h in ("e.net", "f.net") for _ in range(15)]
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls)], "page_id bigint, url string")
+    halves = {r["url"]: r["half"] for r in pages.select("url", url_filter.half_of(F.col("url")).alias("half")).collect()}
+    counts = {half: {"allow": Counter(), "block": Counter()} for half in (0, 1, 2)}
+    for url, verdict in urls:
+        for half in (halves[url], 2) if verdict else ():
+            counts[half][verdict].update(url_grams(url))
+    grams = {g for url, _ in urls for g in url_grams(url)}
+    ratios = {half: url_ratios(counts[other], grams) for half, other in ((0, 1), (1, 0), (2, 2))}
+
+    def score(url, half):
+        return sum(round(ratios[half][g] * url_filter.UNIT) for g in url_grams(url)) / url_filter.UNIT / (len(url) + 1)
+
+    decided = {url: (verdict, math.floor(score(url, halves[url]) * url_filter.STEPS)) for url, verdict in urls if verdict}
+    sizes = Counter(verdict for verdict, _ in decided.values())
+
+    def error(step):
+        return (sum(v == "allow" and s < step for v, s in decided.values()) / sizes["allow"]
+                - sum(v == "block" and s < step for v, s in decided.values()) / sizes["block"])
+
+    threshold = min(sorted({s for _, s in decided.values()}), key=lambda step: (round(error(step), 9), step))
+    got = {r["page_id"]: r for r in url_filter.filter_urls(pages, queries.URL_RULES).collect()}
+    for page, (url, verdict) in enumerate(urls):
+        assert got[page]["score"] == pytest.approx(score(url, 2), abs=1e-5)
+        close = abs(score(url, 2) * url_filter.STEPS - threshold) < 1e-3
+        assert close or got[page]["verdict"] == (verdict or ("allow" if score(url, 2) * url_filter.STEPS >= threshold else "block"))
+
+
+def test_url_verdicts_of_hidden_urls(spark):
+    """Half of the URLs that rules decide are kept from the models, which judge them as the rules do."""
+    ws = workspace(spark)
+    pages = url_filter.with_rule(url_filter.with_parts(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")), queries.URL_RULES)
+    urls = pages.filter("url IS NOT NULL").groupBy("url").agg(F.first("rule_verdict").alias("truth"), F.count(F.lit(1)).alias("n"))
+    hidden = F.pmod(F.xxhash64("url", F.lit(77)), F.lit(2)) == 0
+    known = urls.withColumn("rule_verdict", F.when(~hidden, F.col("truth")))
+    judged = url_filter.judge(known.select("url", "n", "rule_verdict"), ws).join(known.filter(hidden), "url")
+    found = Counter((r["truth"], r["accepted"]) for r in judged.filter("truth IS NOT NULL").collect())
+    assert sum(found.values()) > 300
+    assert found["allow", False] <= 0.05 * (found["allow", False] + found["allow", True])
+    assert found["block", True] <= 0.05 * (found["block", False] + found["block", True])
+
+
 def test_url_query_counts(spark):
     """URLs that differ only in scheme, query or fragment, or have no scheme, are scored each for itself."""
     urls = [f"http://a.org/p?id={i}" for i in range(9)] + [f"http://a.com/de/p?sid=zz{i}#top" for i in range(9)]
