@@ -4,8 +4,9 @@ Kinds and how they are accepted
 * ``email`` ``ip`` ``card`` ``phone``: the pattern and its check alone (part values, Luhn, digit
   count). They score 1 and are accepted whatever stands near.
 * ``iban``: mod-97 must hold; ``key``: access keys with a fixed prefix.
-* ``ssn``, ``birth``: weak patterns, accepted only when a context word within CONTEXT_CHARS lifts
-  their score to MIN_SCORE.
+* ``ssn``, ``birth``, ``secret``: weak patterns, accepted only when a context word within CONTEXT_CHARS lifts
+  their score to MIN_SCORE. A ``secret`` is a run of SECRET_CHARS or more letters, digits and ``_+/-`` with both
+  letters and digits and an entropy of SECRET_BITS a character or more.
 
 Spans are in code points, end exclusive, leftmost and non-overlapping within each kind. A null text
 has no spans. Patterns are written so that long runs of digits or letters take linear time.
@@ -14,18 +15,21 @@ has no spans. Patterns are written so that long runs of digits or letters take l
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import log2
 
 from pyspark.sql import DataFrame
 
 from incidentlens.llm.tables import map_batches
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "iban", "ssn", "birth", "key")
+KINDS = (*BASE_KINDS, "iban", "ssn", "birth", "key", "secret")
 MIN_SCORE = 0.5
 CONTEXT_CHARS = 40
 CONTEXT_SCORE = 0.4
+SECRET_CHARS, SECRET_BITS = 20, 3.0
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -35,6 +39,7 @@ _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _BIRTH = re.compile(r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})(?![0-9])")
 _KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|ghp_[0-9A-Za-z]{36})(?![A-Za-z0-9])")
+_SECRET = re.compile(rf"[A-Za-z0-9_+/-]{{{SECRET_CHARS},}}+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -42,6 +47,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 CONTEXT = {
     "ssn": {"ssn", "social", "security", "taxpayer"},
     "birth": {"birth", "born", "dob", "birthday", "geboren", "nacido", "nacida", "né", "née"},
+    "secret": {"token", "secret", "secrets", "key", "apikey", "password", "passwd", "passwort", "contraseña", "credential", "credentials"},
 }
 
 
@@ -66,6 +72,22 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def entropy(text: str) -> float:
+    """Bits a character, from the shares of the different characters."""
+    shares = [n / len(text) for n in Counter(text).values()]
+    return -sum(p * log2(p) for p in shares)
+
+
+def _secrets(text: str) -> Iterator[tuple[int, int]]:
+    for match in _SECRET.finditer(text):
+        run = match.group().strip("_+/-")
+        if len(run) < SECRET_CHARS or run.isalpha() or not any(map(str.isalpha, run)):
+            continue
+        if any(map(str.isdigit, run)) and entropy(run) >= SECRET_BITS:
+            start = match.start() + match.group().index(run)
+            yield start, start + len(run)
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     free = 0  # end of the match before
     for match in _DOMAIN.finditer(text):
@@ -110,6 +132,8 @@ def proposals(text: str) -> Iterator[Span]:
             yield Span(kind, m.start(), m.end(), 0.3)
     for m in _KEY.finditer(text):
         yield Span("key", m.start(), m.end(), 0.9)
+    for start, end in _secrets(text):
+        yield Span("secret", start, end, 0.3)
 
 
 def spans(text: str | None) -> list[Span]:

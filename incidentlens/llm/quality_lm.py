@@ -13,8 +13,9 @@ A document is rejected when its log-perplexity lies outside the quantiles LOW an
 documents of its language, each moved outwards by SLACK + SPREAD / sqrt(units) nats: the mean over few
 units varies more, and unusual clean text should stay. The quantiles are those of held-out scores: the
 trusted texts are dealt into two halves, each scored by a model of the other, as unlabelled text is new to
-the model, too; scores of trusted texts by the whole model widen them. A language with fewer than FEW_ROWS
-trusted rows takes the wider of its own and the all-language limits, moved outwards by WIDE more.
+the model, too; scores of trusted texts by the whole model widen them. Few rows make poor quantiles: with n trusted
+rows in a language its own limits count n / (n + FEW_ROWS), and the wider of its own and the all-language
+limits, moved outwards by WIDE, the rest.
 
 Definitions
 * null or empty text: nothing to predict, log-perplexity null, rejected (there is nothing to train on);
@@ -41,7 +42,7 @@ from incidentlens.llm.tables import arrow_schema, bounded_broadcast, map_rows, w
 ORDER = 4
 LOW, HIGH, SLACK = 0.002, 0.995, 0.08
 SPREAD = 2.0
-FEW_ROWS, WIDE = 50, 0.5  # languages with fewer trusted rows get limits wider by so many nats
+FEW_ROWS, WIDE = 10, 0.5  # the rows that count half, and by how many nats the limits for none are wider
 SHARD_ROWS = 2_000_000
 LOT_UNITS = 1 << 21
 MICRO = 1_000_000
@@ -339,16 +340,18 @@ def limits(scored: DataFrame, low: float = LOW, high: float = HIGH, slack: float
     )
 
 
-def held_out(trusted: DataFrame) -> DataFrame:
+def held_out(trusted: DataFrame, scored: DataFrame) -> DataFrame:
     """Scores of trusted texts by a model that has not seen them: each half by the other's counts.
 
-    Equal texts lie in one half. Without text in both halves there are no such scores.
+    Equal texts lie in one half. Without text in both halves there are no such scores; ``scored`` has their columns.
     """
     half = F.pmod(F.xxhash64("text", F.lit(29)), F.lit(2)).cast("int")
     halves = [trusted.filter(half == k) for k in (0, 1)]
     some = trusted.filter("text <> ''").select(half.alias("half")).distinct().count()
-    scored = [perplexity(own, other) for own, other in (halves, halves[::-1])]
-    return scored[0].unionByName(scored[1]) if some == 2 else scored[0].limit(0)
+    if some < 2:
+        return scored.limit(0)
+    parts = [perplexity(own, other) for own, other in (halves, halves[::-1])]
+    return parts[0].unionByName(parts[1])
 
 
 def ranges_of(held: DataFrame, seen: DataFrame) -> DataFrame:
@@ -364,11 +367,13 @@ def ranges_of(held: DataFrame, seen: DataFrame) -> DataFrame:
         F.greatest("h.upper", "s.upper").alias("upper"),
     )
     overall = both.filter("lang IS NULL").select(F.col("lower").alias("low"), F.col("upper").alias("high"))
-    few = F.col("lang").isNull() | (F.col("rows") < FEW_ROWS)
+    # A language without trusted rows, which is what the null row is for, has the wide limits alone.
+    own = F.when(F.col("lang").isNull(), F.lit(0.0)).otherwise(F.col("rows") / (F.col("rows") + FEW_ROWS))
+    lower, upper = F.least("lower", "low") - WIDE, F.greatest("upper", "high") + WIDE
     return both.join(F.broadcast(overall)).select(
         "lang",
-        F.when(few, F.least("lower", "low") - WIDE).otherwise(F.col("lower")).alias("lower"),
-        F.when(few, F.greatest("upper", "high") + WIDE).otherwise(F.col("upper")).alias("upper"),
+        (own * F.col("lower") + (1 - own) * lower).alias("lower"),
+        (own * F.col("upper") + (1 - own) * upper).alias("upper"),
     )
 
 
@@ -379,7 +384,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = bounded_broadcast(ids.df, ids.rows, 64)
     trusted = ws.write(docs.select("doc_id", "lang", "text").join(known, "doc_id", "left_semi"), "trusted-texts")
     scored = ws.save(perplexity(docs, trusted), "perplexity").df
-    held = ws.write(held_out(trusted), "held-out")
+    held = ws.write(held_out(trusted, scored), "held-out")
     ranges = ws.save(ranges_of(held, scored.join(known, "doc_id", "left_semi")), "limits").df
     overall = ranges.filter("lang IS NULL").first()
     lower, upper = (overall["lower"], overall["upper"]) if overall else (None, None)

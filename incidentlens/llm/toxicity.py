@@ -1,12 +1,12 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the n-grams (MIN_N to MAX_N characters of the lower-cased text) that a text holds, hashed to
-BUCKETS numbers. Each counts by its log ratio r = ln(P(present | toxic) / P(present | clean)), smoothed by
-one document of either kind; a logistic regression over these scaled features gives the score.
+Features are the n-grams (MIN_N to MAX_N characters of the lower-cased text) that a text holds, hashed to BUCKETS
+numbers: all that MIN_DOCS of the documents learned from hold. Each counts by its log ratio r = ln(P(present | toxic) / P(present | clean)), smoothed by
+one document of either kind; a ridge logistic regression over these scaled features gives the score.
 
-Labels are learned from TRAIN_ROWS labelled rows at most, those with the smallest hash of their id,
-and FEATURES features at most, those that tell the classes apart best; both are parameters. Counting
-and scoring run in Spark; the fit itself sees the bounded sample in sparse form.
+The fit is an L-BFGS descent: gradients are summed on the executors, over the sample's bucket lists, written once;
+the driver holds vectors of BUCKETS numbers only. Labels are learned from TRAIN_ROWS labelled documents at most, those
+with the smallest hash of their id; labels without a document do not count towards that.
 
 Definitions
 * null or empty text: no features, the score of the prior; texts are read whole, however long;
@@ -28,13 +28,15 @@ from pyspark.sql import functions as F
 from incidentlens.llm.tables import bounded_broadcast, map_batches, map_rows, workspace
 
 MIN_N, MAX_N = 3, 6
-BUCKETS = 1 << 22
+BUCKETS = 1 << 20
 TRAIN_ROWS = 12_000
-FEATURES = 4_096
-MIN_DOCS = 3
+MIN_DOCS = 5  # n-grams in fewer documents tell nothing about new ones
 THRESHOLD = 0.3
 RIDGE = 1.0
-STEPS = 800
+# The descent ends after this many steps, or when the gradient is this much smaller than at its start.
+STEPS, SMALL = 60, 1e-4
+MEMORY = 8  # steps that L-BFGS looks back
+LOT = 1 << 20  # bucket numbers in one row of the sample's lists
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIXER = np.uint64(0xD6E8FEB86659FD93)
 
@@ -49,35 +51,42 @@ def ngram_buckets(text: str | None) -> Iterator[np.ndarray]:
         rolled = (rolled[:-1] + points[n - 1 :]) * _MULTIPLIER
         if n >= MIN_N:
             mixed = (rolled ^ (rolled >> np.uint64(32)) ^ np.uint64(n)) * _MIXER
-            yield (mixed >> np.uint64(42)).astype(np.int64)
+            yield (mixed >> np.uint64(44)).astype(np.int64)
+
+
+class Distinct:
+    """The different bucket numbers of a text, in order of appearance, without sorting."""
+
+    def __init__(self):
+        self.at = np.zeros(BUCKETS, np.int64)
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        parts = list(ngram_buckets(text))
+        if not parts:
+            return np.zeros(0, np.int64)
+        numbers = np.concatenate(parts)
+        places = np.arange(len(numbers))
+        self.at[numbers] = places  # the last place of each
+        return numbers[self.at[numbers] == places]
 
 
 @dataclass(frozen=True)
 class Model:
-    """Weights of the selected buckets and the intercept; of bounded size."""
+    """A weight per bucket (packed doubles) and the intercept; of fixed size."""
 
-    buckets: tuple[int, ...]
-    weights: tuple[float, ...]
+    weights: bytes
     intercept: float
 
     def scorer(self):
-        slots = np.zeros(BUCKETS, np.uint16)
-        slots[list(self.buckets)] = np.arange(1, len(self.buckets) + 1)
-        weights = np.array((0.0, *self.weights))
+        weights, distinct = np.frombuffer(self.weights), Distinct()
 
         def score(text: str | None) -> float:
-            total = self.intercept + float(weights[present(slots, text)].sum())
+            total = self.intercept + float(weights[distinct(text)].sum())
             return float(1 / (1 + np.exp(-np.clip(total, -500, 500))))
 
         return score
 
 
-def present(slots: np.ndarray, text: str | None) -> np.ndarray:
-    """Sorted slots (from 1) of the selected features that a text holds."""
-    found = [part[part > 0] for part in (slots[b] for b in ngram_buckets(text))]
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint16)
-
-
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -85,93 +94,147 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Learn from labelled documents whose id is not held out."""
     ws = workspace(docs)
-    chosen = (
+    known = (
         labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL")
         .filter(~held_out())
         .groupBy("doc_id")
         .agg(F.max("toxic").cast("int").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id")
-        .limit(train_rows)
+        .join(docs.select("doc_id"), "doc_id", "left_semi")
     )
+    chosen = known.orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(train_rows)
     chosen = ws.save(chosen, "toxic-labels")
     sample = docs.select("doc_id", "text").join(bounded_broadcast(chosen.df, chosen.rows, 64), "doc_id")
     # One row per id, so that the bound holds for rows.
     sample = sample.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    sample = ws.save(sample.select("toxic", "text"), "toxic-sample")
-    by_class = {r["toxic"]: r["count"] for r in sample.df.groupBy("toxic").count().collect()}
-    n_clean, n_toxic = by_class.get(0, 0), sum(n for k, n in by_class.items() if k)
+    lists = map_rows(sample.select("toxic", "text"), ["toxic", "text"], _lists, "toxic binary, ends binary, buckets binary")
+    lists = ws.write(lists, "toxic-lists")
+    n_clean, n_toxic, held = _counts(lists)
     prior = float(np.log((n_toxic + 1) / (n_clean + 1)))
     if not (n_clean and n_toxic):
-        return Model((), (), prior)
-
-    counts = (
-        map_rows(sample.df, ["toxic", "text"], _count, "bucket int, toxic bigint, clean bigint")
-        .groupBy("bucket")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .filter(F.col("toxic") + F.col("clean") >= MIN_DOCS)
-    )
-    p, q = (F.col("toxic") + 1) / (n_toxic + 2), (F.col("clean") + 1) / (n_clean + 2)
-    selected = (
-        counts.select("bucket", F.log(p / q).alias("ratio"), ((p - q) * F.log(p / q)).alias("gain"))
-        .orderBy(F.desc("gain"), "bucket")
-        .limit(FEATURES)
-        .collect()
-    )
-    buckets = [row["bucket"] for row in selected]
-    ratios = np.array([row["ratio"] for row in selected])
-
-    def vectors(rows: Iterator[tuple]) -> Iterator[tuple]:
-        slots = np.zeros(BUCKETS, np.uint16)
-        slots[buckets] = np.arange(1, len(buckets) + 1)
-        for toxic, text in rows:
-            yield int(toxic > 0), present(slots, text).tolist()
-
-    rows = map_rows(sample.df, ["toxic", "text"], vectors, "toxic int, slots array<int>").collect()
-    rows = sorted((r["toxic"], r["slots"]) for r in rows)
-    weights, intercept = _logistic(rows, ratios, prior)
+        return Model(np.zeros(BUCKETS).tobytes(), prior)
+    ratios = np.log((held[1] + 1) / (n_toxic + 2)) - np.log((held[0] + 1) / (n_clean + 2))
+    ratios[held.sum(axis=0) < MIN_DOCS] = 0
+    rows = n_clean + n_toxic
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        """The mean loss with its ridge, and its gradient, at scaled weights and an intercept."""
+        total, slope = _pass(lists, ratios * x[:-1], x[-1])
+        value = (total + 0.5 * RIDGE * float(x[:-1] @ x[:-1])) / rows
+        return value, np.append(ratios * slope[:-1] + RIDGE * x[:-1], slope[-1]) / rows
+
+    found = descend(loss, np.append(np.zeros(BUCKETS), prior))
     ws.close()
-    return Model(tuple(buckets), tuple((weights * ratios).tolist()), intercept)
+    return Model((found[:-1] * ratios).tobytes(), float(found[-1]))
 
 
-def _count(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """How many toxic and clean texts of a partition hold each bucket."""
-    held = np.zeros((2, BUCKETS), np.int32)
+def _lists(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Labels, ends and bucket numbers of documents, packed, some LOT numbers in a row."""
+    distinct, labels, parts, held = Distinct(), [], [], 0
+
+    def lot() -> tuple:
+        ends = np.cumsum([len(p) for p in parts])
+        return np.array(labels, np.int8).tobytes(), ends.astype(np.int64).tobytes(), np.concatenate(parts).astype(np.int32).tobytes()
+
     for toxic, text in rows:
-        parts = list(ngram_buckets(text))
-        if parts:
-            held[int(toxic > 0), np.unique(np.concatenate(parts))] += 1
-    for bucket in np.flatnonzero(held.any(axis=0)).tolist():
-        yield bucket, int(held[1, bucket]), int(held[0, bucket])
-
-
-def _logistic(rows: list, ratios: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by accelerated gradient steps on sparse rows."""
-    y = np.array([toxic for toxic, _ in rows], float)
-    lengths = np.array([len(slots) for _, slots in rows])
-    columns = np.concatenate([np.array(slots, np.int64) for _, slots in rows]) - 1
-    at = np.repeat(np.arange(len(rows)), lengths)
-    values = ratios[columns]
-    # The largest row norm bounds the curvature of the mean loss.
-    norms = np.bincount(at, values**2, len(rows)) + 1
-    step = 1 / (0.25 * norms.max() + RIDGE / len(rows))
-    w, b = np.zeros(len(ratios)), prior
-    w_last, b_last = w.copy(), b
-    for t in range(1, STEPS + 1):
-        ahead = (t - 1) / (t + 2)
-        v, c = w + ahead * (w - w_last), b + ahead * (b - b_last)
-        z = np.bincount(at, values * v[columns], len(rows)) + c
-        error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / len(rows)
-        gradient = np.bincount(columns, values * error[at], len(ratios)) + RIDGE / len(rows) * v
-        w_last, b_last = w, b
-        w, b = v - step * gradient, c - step * error.sum()
-    return w, float(b)
+        labels.append(int(toxic > 0))
+        parts.append(distinct(text))
+        held += len(parts[-1])
+        if held >= LOT:
+            yield lot()
+            labels, parts, held = [], [], 0
+    if labels:
+        yield lot()
+
+
+def _unpacked(rows: Iterator[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Labels, the number of buckets of each document, and the bucket numbers of each lot."""
+    for toxic, ends, buckets in rows:
+        counts = np.diff(np.frombuffer(ends, np.int64), prepend=0)
+        yield np.frombuffer(toxic, np.int8), counts, np.frombuffer(buckets, np.int32)
+
+
+def _counts(lists: DataFrame) -> tuple[int, int, np.ndarray]:
+    """Clean and toxic documents, and how many of each kind hold a bucket."""
+
+    def count(rows: Iterator[tuple]) -> Iterator[tuple]:
+        held, kinds = np.zeros((2, BUCKETS), np.int32), np.zeros(2, np.int64)
+        for toxic, counts, buckets in _unpacked(rows):
+            kinds += np.bincount(toxic, minlength=2)
+            of = np.repeat(toxic, counts)
+            for kind in (0, 1):
+                held[kind] += np.bincount(buckets[of == kind], minlength=BUCKETS)
+        yield kinds.tobytes(), held.tobytes()
+
+    kinds, held = np.zeros(2, np.int64), np.zeros((2, BUCKETS), np.int64)
+    for row in map_rows(lists, ["toxic", "ends", "buckets"], count, "kinds binary, held binary").collect():
+        kinds += np.frombuffer(row["kinds"], np.int64)
+        held += np.frombuffer(row["held"], np.int32).reshape(2, BUCKETS)
+    return int(kinds[0]), int(kinds[1]), held
+
+
+def _pass(lists: DataFrame, weights: np.ndarray, intercept: float) -> tuple[float, np.ndarray]:
+    """Sum of the logistic losses of all documents, and its slope by bucket weight and intercept."""
+    shared = lists.sparkSession.sparkContext.broadcast(weights)
+
+    def slopes(rows: Iterator[tuple]) -> Iterator[tuple]:
+        w, total, slope, shift = shared.value, 0.0, np.zeros(BUCKETS), 0.0
+        for toxic, counts, buckets in _unpacked(rows):
+            at = np.repeat(np.arange(len(counts)), counts)
+            z = np.bincount(at, w[buckets], len(counts)) + intercept
+            total += float(np.logaddexp(0, np.where(toxic == 1, -z, z)).sum())
+            error = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - toxic
+            slope += np.bincount(buckets, error[at], BUCKETS)
+            shift += float(error.sum())
+        yield total, np.append(slope, shift).astype(np.float32).tobytes()
+
+    total, slope = 0.0, np.zeros(BUCKETS + 1)
+    for row in map_rows(lists, ["toxic", "ends", "buckets"], slopes, "total double, slope binary").collect():
+        total += row["total"]
+        slope += np.frombuffer(row["slope"], np.float32)
+    shared.destroy()
+    return total, slope
+
+
+def descend(loss, x: np.ndarray) -> np.ndarray:
+    """The minimum of a convex function, by L-BFGS with halved steps."""
+    value, slope = loss(x)
+    first, past = np.linalg.norm(slope), []
+    for _ in range(STEPS):
+        if np.linalg.norm(slope) <= SMALL * first:
+            break
+        way, shares = slope.copy(), []
+        for s, y in reversed(past):
+            shares.append((s @ way) / (y @ s))
+            way -= shares[-1] * y
+        if past:
+            s, y = past[-1]
+            way *= (s @ y) / (y @ y)
+        else:
+            way /= max(1.0, np.linalg.norm(slope))
+        for (s, y), share in zip(past, reversed(shares)):
+            way += (share - (y @ way) / (y @ s)) * s
+        length, drop = 1.0, float(slope @ way)
+        while True:
+            there = x - length * way
+            new, new_slope = loss(there)
+            if new <= value - 1e-4 * length * drop or length < 1e-6:
+                break
+            length /= 2
+        if new >= value:
+            break
+        step, turn = there - x, new_slope - slope
+        if step @ turn > 0:
+            past = [*past[1 - MEMORY :], (step, turn)]
+        x, value, slope = there, new, new_slope
+    return x
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` per document row."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        scorer = model.scorer()
+        scorer = shared.value.scorer()
         return lambda columns: {
             "doc_id": columns["doc_id"],
             "score": [scorer(text) for text in columns["text"]],

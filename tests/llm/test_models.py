@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tests.llm import fixtures
@@ -95,21 +97,19 @@ def test_quality_on_labels(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet").collect()
     kept = [rows[r["doc_id"]] for r in labels if r["quality"] == 1]
     junk = [rows[r["doc_id"]] for r in labels if r["quality"] == 0]
-    assert sum(kept) >= 0.99 * len(kept) and sum(junk) <= 0.4 * len(junk)
+    assert sum(kept) >= 0.99 * len(kept) and sum(junk) <= 0.15 * len(junk)
 
 
-def test_quality_on_hidden_rows(spark):
-    """Clean documents stay, in languages with few trusted rows, too, though training never saw them."""
+@pytest.mark.parametrize("rows", [5, 49, 50])
+def test_quality_on_hidden_rows(spark, rows):
+    """Clean documents stay and junk goes, however few trusted rows there are, though training never saw them."""
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
-    lang = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
-    shown = labels.filter("quality = 1 AND crc32(CAST(doc_id AS STRING)) % 5 = 0")
+    shown = labels.filter("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     kept = {r["doc_id"]: r["kept"] for r in quality_lm.classify(docs, shown).collect()}
     hidden = {r["doc_id"] for r in labels.filter("quality = 1").collect()} - {r["doc_id"] for r in shown.collect()}
-    for name in set(lang.values()):
-        own = [kept[i] for i in hidden if lang[i] == name]
-        assert sum(own) >= 0.95 * len(own) and own, name
+    assert sum(kept[i] for i in hidden) >= 0.95 * len(hidden)
     junk = [kept[r["doc_id"]] for r in labels.filter("quality = 0").collect()]
-    assert sum(junk) <= 0.5 * len(junk)
+    assert rows < 49 or sum(junk) <= 0.15 * len(junk)  # five texts make no model
 
 
 def test_toxicity_on_held_out(spark):
@@ -120,6 +120,40 @@ def test_toxicity_on_held_out(spark):
     assert found[0, 1] <= 0.01 * (found[0, 1] + found[0, 0])
 
 
+def test_toxicity_model(spark):
+    """Counts, ratios and scores recomputed plainly; the fit is where the ridge loss is flat."""
+    rng = random.Random(12)
+    rows = [(i, fixtures.prose(rng, rng.randrange(3, 40)) + rng.choice([" idiot", " scum", ""] if i % 3 == 0 else ["", " fine"])) for i in range(90)]
+    rows += [(200, None), (201, ""), (202, "ab"), (203, "Idiot idiot")]
+    toxic = {i: int(i % 3 == 0) for i, _ in rows}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, t) for i, t in toxic.items()] + [(0, 0), (1, None)], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels)
+    sets = {i: {int(b) for part in toxicity.ngram_buckets(t) for b in part} for i, t in rows}
+    learned = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    n = Counter(toxic[i] for i in learned)
+    held = Counter((toxic[i], b) for i in learned for b in sets[i])
+    often = lambda b: held[0, b] + held[1, b] >= toxicity.MIN_DOCS
+    ratio = {b: often(b) * (math.log((held[1, b] + 1) / (n[1] + 2)) - math.log((held[0, b] + 1) / (n[0] + 2))) for i in sets for b in sets[i]}
+    weights = np.frombuffer(model.weights)
+    score = {i: 1 / (1 + math.exp(-model.intercept - sum(weights[b] for b in sets[i]))) for i in sets}
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    assert got == pytest.approx(score, abs=1e-9)
+    slope = {b: toxicity.RIDGE * weights[b] / ratio[b] + ratio[b] * sum(score[i] - toxic[i] for i in learned if b in sets[i]) for b in ratio if ratio[b]}
+    start = {b: ratio[b] * sum(n[1] / len(learned) - toxic[i] for i in learned if b in sets[i]) for b in slope}
+    norm = lambda values: math.sqrt(sum(v * v for v in values))
+    assert norm(slope.values()) < 1e-3 * norm(start.values())
+    assert abs(sum(score[i] - toxic[i] for i in learned)) < 0.05
+    assert set(np.flatnonzero(weights)) <= {b for b in ratio if ratio[b]} and len(slope) > 100
+
+
+def test_toxicity_labels_without_documents(spark, hard):
+    """Labels of absent ids, however many, leave the model as it is."""
+    docs, labels = spark.read.parquet(f"{hard}/documents.parquet"), spark.read.parquet(f"{hard}/labels.parquet")
+    absent = spark.range(10_000, 210_000).selectExpr("id AS doc_id", "1 AS quality", "CAST(id % 2 AS INT) AS toxic", "'x' AS text")
+    assert toxicity.fit(docs, labels.unionByName(absent), 20) == toxicity.fit(docs, labels, 20)
+
+
 def test_toxicity_learns_one_row_per_id(spark, hard):
     docs, labels = spark.read.parquet(f"{hard}/documents.parquet"), spark.read.parquet(f"{hard}/labels.parquet")
     more = docs.filter("doc_id IN (2, 4, 8, 10)").crossJoin(spark.range(40)).select(*docs.columns)

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 from collections import Counter
 
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 from tests.llm import brute, fixtures
 
-from incidentlens.llm import bpe, queries, substring
+from incidentlens.llm import bpe, pii, queries, substring
 from incidentlens.llm.decontaminate import contamination
 
 DOCS = fixtures.documents()
@@ -112,6 +114,21 @@ def test_personal_data(spark, hard):
     assert row["spans"].count("iban:") == 1 and row["n_card"] >= 1
 
 
+def test_secrets():
+    """Long mixed runs near a word such as token or password; neither prose nor lone digests."""
+    digest = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    found = lambda text: [text[s.start : s.end] for s in pii.spans(text) if s.kind == "secret"]
+    assert found(f'token = "{digest}"') == found(f"export API_KEY={digest}") == [digest]
+    assert found("password: aB3dE6gH9jK2mN5pQ8sT== then") == ["aB3dE6gH9jK2mN5pQ8sT"]
+    for text in (f"commit {digest}", "token " + "a1" * 30, "token antidisestablishmentarianisms", "secret 12345678901234567890123",
+                 "key " + "-" * 40, f"token {digest[:19]}", "token" + " far" * 15 + digest):
+        assert not found(text)
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist()
+    marked = [t for t in texts if re.search('token = "[0-9a-f]{40}"', t or "")]
+    assert len(marked) > 5 and all(found(t) for t in marked)
+    assert sum(bool(found(t)) for t in texts) == len(marked)
+
+
 def test_line_rules(spark, hard):
     names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     df = queries.op9_line_rules(spark, hard)
