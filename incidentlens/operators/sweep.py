@@ -9,11 +9,16 @@ Spark's own. Leaving more rows open than necessary is always right; they wait fo
 
 Decisions are taken one by one, but each settles all rows of its neighbourhood at once, so that there
 are never more turns than kept rows and open cells.
+
+A tile with more than ``Sizes.tile_rows`` rows, however narrow, is cut into ranges of ranks of about that many
+rows. One pass after the other takes the next range of every such tile, and starts from what the passes
+before have left: the tile's kept rows and open cells, a small table. All other tiles run in the first pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +36,9 @@ from .grid import GEOMETRY, cell_number, cell_side, reach
 # Wide cells per side of a tile, widest first; the first width whose largest tile is small enough
 # is taken, else the last.
 TILE_WIDTHS = (256, 64, 16, 4)
+# Kinds of rows that a pass reads, in this order: a neighbouring cell's lowest rank, what was kept and which
+# cells were left open by the passes before, and rows to decide.
+LOWEST, KEPT, OPEN, ROW = range(4)
 _AROUND = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
 
 
@@ -47,6 +55,17 @@ class TileFold:
         self.sectors = 360 // int(self.limit) if by_sector else 1
         self.kept: dict[tuple[int, int, int], list[tuple[float, float, float, int]]] = {}
         self.open: set[tuple[tuple[int, int, int], int]] = set()
+        self.handed: set[tuple[tuple[int, int, int], int]] = set()  # open cells handed over to this fold
+
+    def restore_kept(self, places: np.ndarray, bearing: np.ndarray) -> None:
+        """Rows that were kept of lower ranks."""
+        cells = map(tuple, np.floor(places / self.narrow).astype(np.int64).tolist())
+        for cell, place, turn in zip(cells, places.tolist(), bearing.tolist()):
+            self.kept.setdefault(cell, []).append((*place, int(turn)))
+
+    def restore_open(self, cells: list[tuple[int, int, int]], sectors: list[int]) -> None:
+        self.open.update(zip(cells, sectors))
+        self.handed.update(zip(cells, sectors))
 
     def decide(self, rank: np.ndarray, places: np.ndarray, bearing: np.ndarray) -> list[int]:
         """Positions of the rows that are kept."""
@@ -162,16 +181,68 @@ def tile_sweep(
         .join(cells.selectExpr(*rule.keys, "cx AS nx", "cy AS ny", "cz AS nz"), [*rule.keys, "nx", "ny", "nz"], "left_semi")
     )
     columns = ["rank", "row_id", *rule.keys, *GEOMETRY, "cell"]
+    rows = placed.selectExpr(*columns, f"{tile(width)} AS tile", f"{ROW} AS kind", *[f"bigint({c}) AS {c}" for c in index])
     types = dict(undecided.dtypes)
-    rows = placed.selectExpr(*columns, f"{tile(width)} AS tile", "1 AS kind", *[f"bigint({c}) AS {c}" for c in index])
     absent = [f"CAST(NULL AS {types[c]}) AS {c}" for c in ("row_id", *GEOMETRY, "cell")]
     controls = told.selectExpr(
-        "lowest AS rank", *rule.keys, *absent, "tile", "0 AS kind", *[f"bigint(n{a}) AS c{a}" for a in "xyz"]
+        "lowest AS rank", *rule.keys, *absent, "tile", f"{LOWEST} AS kind", *[f"bigint(n{a}) AS c{a}" for a in "xyz"]
     ).select(*rows.columns)
-    dealt = rows.unionByName(controls).repartition(*rule.keys, "tile")
-    dealt = dealt.sortWithinPartitions(*rule.keys, "tile", "kind", "rank")
-    schema = undecided.select(*columns).schema
-    arrow, keys = to_arrow_schema(schema), [*rule.keys, "tile"]
+    largest = most.first()[0] or 0
+    if largest <= sizes.tile_rows:
+        return _pass(rows.unionByName(controls), rule).filter(f"kind = {KEPT}").select(*columns)
+    hot, ranges = rank_ranges(rows, rule, ws, largest, sizes)
+    by = [*rule.keys, "tile"]
+    part = "coalesce(size(filter(cuts, c -> c < rank)), 0) AS part"
+    # Written, as every pass reads its own part.
+    ranged = ws.write(rows.join(F.broadcast(hot), by, "left").selectExpr(*rows.columns, part), "ranges")
+    passes = []
+    for number in range(ranges):
+        now = ranged.filter(f"part = {number}").select(*rows.columns).unionByName(controls)
+        if passes:
+            now = reduce(DataFrame.unionByName, passes).unionByName(now)
+            now = now.join(F.broadcast(hot.select(*by)), by, "left_semi").select(*rows.columns)
+        passes.append(ws.write(_pass(now, rule, hand_over=True), "pass"))
+    return reduce(DataFrame.unionByName, passes).filter(f"kind = {KEPT}").select(*columns)
+
+
+def rank_ranges(
+    rows: DataFrame, rule: MatchRule, ws: Workspace, largest: int, sizes: Sizes
+) -> tuple[DataFrame, int]:
+    """Tiles of more than ``tile_rows`` rows with ``cuts``, the ranks between their ranges, and the number of these.
+
+    A range holds ``tile_rows`` rows at most, up to half a percent. There are fewer such tiles than
+    rows / tile_rows, so that the table is safe to broadcast.
+    """
+    ranges = -(-largest // sizes.tile_rows)
+    shares = ", ".join(f"{k / ranges!r}D" for k in range(1, ranges))
+    cuts = f"percentile_approx(rank, array({shares}), {max(10_000, 200 * ranges)}) AS cuts"
+    counted = rows.groupBy(*rule.keys, "tile").agg(F.count(F.lit(1)).alias("held"), F.expr(cuts))
+    return ws.write(counted.filter(f"held > {sizes.tile_rows}").drop("held"), "hot-tiles"), ranges
+
+
+def _pass(dealt: DataFrame, rule: MatchRule, hand_over: bool = False) -> DataFrame:
+    """Rows of kind KEPT and, to be handed over, of kind OPEN (a narrow cell, the sector as bearing) of every tile."""
+    keys = [*rule.keys, "tile"]
+    ordered = dealt.repartition(*keys).sortWithinPartitions(*keys, "kind", "rank")
+    arrow = to_arrow_schema(dealt.schema)
+
+    def places_of(part: pa.RecordBatch) -> np.ndarray:
+        return np.stack([part.column(axis).to_numpy() for axis in "xyz"], axis=1)
+
+    def headings(part: pa.RecordBatch) -> np.ndarray:
+        return part.column("bearing").to_numpy().astype(np.int64)
+
+    def cells(part: pa.RecordBatch) -> list[tuple[int, int, int]]:
+        return list(zip(*(part.column(f"c{axis}").to_pylist() for axis in "xyz")))
+
+    def opened(named: tuple, fold: TileFold) -> Iterator[pa.RecordBatch]:
+        found = sorted(fold.open - fold.handed)
+        if hand_over and found:
+            of = dict(zip(keys, named))
+            columns = {f.name: [of.get(f.name)] * len(found) for f in arrow}
+            columns |= {f"c{axis}": [cell[i] for cell, _ in found] for i, axis in enumerate("xyz")}
+            columns |= {"rank": [0] * len(found), "kind": [OPEN] * len(found), "bearing": [sector for _, sector in found]}
+            yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, fold = None, None
@@ -180,25 +251,29 @@ def tile_sweep(
                 continue
             named = list(zip(*(batch.column(k).to_pylist() for k in keys)))
             kinds = batch.column("kind").to_numpy()
-            ranks = batch.column("rank").to_numpy()
-            cuts = [i for i in range(1, len(named)) if named[i] != named[i - 1]]
+            cuts = [i for i in range(1, len(named)) if named[i] != named[i - 1] or kinds[i] != kinds[i - 1]]
             for start, end in zip([0, *cuts], [*cuts, len(named)]):
                 if named[start] != current:
+                    if fold is not None:
+                        yield from opened(current, fold)
                     current, fold = named[start], TileFold(rule, {})
-                split = start + int((kinds[start:end] == 0).sum())
-                if split > start:
-                    part = batch.slice(start, split - start)
-                    at = zip(*(part.column(c).to_pylist() for c in index))
-                    fold.lows.update(zip(at, ranks[start:split].tolist()))
-                if split < end:
-                    part = batch.slice(split, end - split)
-                    places = np.stack([part.column(a).to_numpy() for a in "xyz"], axis=1)
-                    kept = fold.decide(ranks[split:end], places, part.column("bearing").to_numpy().astype(np.int64))
+                part, kind = batch.slice(start, end - start), kinds[start]
+                ranks = part.column("rank").to_numpy()
+                if kind == LOWEST:
+                    fold.lows.update(zip(cells(part), ranks.tolist()))
+                elif kind == KEPT:
+                    fold.restore_kept(places_of(part), headings(part))
+                elif kind == OPEN:
+                    fold.restore_open(cells(part), part.column("bearing").to_pylist())
+                else:
+                    kept = fold.decide(ranks, places_of(part), headings(part))
                     if kept:
                         taken = part.take(pa.array(kept))
-                        yield pa.RecordBatch.from_arrays(
-                            [taken.column(f.name).cast(f.type) for f in arrow], schema=arrow
-                        )
+                        columns = {name: taken.column(name) for name in taken.schema.names}
+                        columns["kind"] = pa.array([KEPT] * len(kept))
+                        yield pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in arrow], schema=arrow)
+        if fold is not None:
+            yield from opened(current, fold)
 
-    ship(undecided.sparkSession)
-    return dealt.mapInArrow(run, schema)
+    ship(dealt.sparkSession)
+    return ordered.mapInArrow(run, dealt.schema)

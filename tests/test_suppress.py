@@ -8,6 +8,7 @@ import model
 import pytest
 
 from incidentlens import MatchRule, Sizes, dedupe_points
+from incidentlens.operators import sweep
 
 ROUNDS_ONLY = Sizes(fold_rows=0, fold_work=0)
 SPLIT = Sizes(fold_rows=0, fold_work=0, split_rows=20)
@@ -82,6 +83,22 @@ def test_sweeps_on_random_rows(spark, tile_rows):
     assert owners(spark, rows, 0.6, sizes)[0] == want
 
 
+def test_hot_tile_is_swept_in_ranges(spark, monkeypatch):
+    """Two thirds of the rows in one tile: no task is given more than a range of them."""
+    rows = model.random_rows(300, seed=8, roads=2, span=0.2, hot=200)
+    seen, one_pass = [], sweep._pass
+
+    def counting(dealt, rule, hand_over=False):
+        given = dealt.filter(f"kind = {sweep.ROW}").groupBy(*rule.keys, "tile").count()
+        seen.append(given.agg({"count": "max"}).first()[0] or 0)
+        return one_pass(dealt, rule, hand_over)
+
+    monkeypatch.setattr(sweep, "_pass", counting)
+    sizes = Sizes(fold_rows=0, fold_work=0, tile_rows=8, slow_share=0.0)
+    assert owners(spark, rows, 0.6, sizes)[0] == model.greedy(rows, 0.6)
+    assert len(seen) > 4 and max(seen) <= 9
+
+
 def test_heading_limit_and_extra_key(spark):
     rows = model.random_rows(150, seed=5, roads=1, span=0.01)
     rule = MatchRule(0.5, bearing_limit=200)

@@ -48,6 +48,27 @@ def test_whole_tile_is_settled(limit, lot):
     assert fold(places, bearing, rule, lot) == walk(places, bearing, rule)
 
 
+@pytest.mark.parametrize("limit", [45, 60])
+def test_hand_over_between_ranges(limit):
+    """A fold that starts from another's kept rows and open cells goes on as the other would."""
+    rng = np.random.default_rng(limit)
+    rule = MatchRule(0.5, bearing_limit=limit)
+    places = points(52 + rng.integers(0, 400, 900) * 1e-4, 1 + rng.integers(0, 30, 900) * 1e-4)
+    bearing = rng.integers(0, 360, 900)
+    wide = np.floor(places / TileFold(rule, {}).wide).astype(np.int64)
+    lows = {tuple(cell): 300 for cell in wide[::7].tolist()}
+    want = fold(places, bearing, rule, 100, lows)
+    kept, open_cells = [], set()
+    for start in range(0, 900, 300):
+        state = TileFold(rule, lows)
+        state.restore_kept(places[kept], bearing[kept])
+        state.restore_open([c for c, _ in open_cells], [s for _, s in open_cells])
+        found = state.decide(np.arange(start, start + 300), places[start : start + 300], bearing[start : start + 300])
+        kept += [start + i for i in found]
+        open_cells |= state.open
+    assert kept == want
+
+
 def test_rows_that_others_may_decide_stay_open():
     rng = np.random.default_rng(5)
     rule = MatchRule(0.5)
