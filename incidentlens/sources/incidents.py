@@ -25,6 +25,8 @@ INCIDENT_SCHEMA = T.StructType(
     ]
 )
 REQUIRED_FIELDS = 4
+# A table of this many splits, 24 bytes each, is small enough for every executor.
+BROADCAST_SPLITS = 500_000
 
 
 @dataclass(frozen=True)
@@ -84,31 +86,33 @@ def read_incidents(
 ) -> ParsedIncidents:
     """Read text files of incidents; ``row_id`` numbers the lines in file order from 0.
 
-    The text is scanned once: parsed lines are saved as Parquet with their position (file, start
-    of the split, line order within it), and the running line count of the splits, one row each,
-    gives the number of the first line of every split.
+    The text is scanned once: parsed lines are saved as Parquet with the number of their split and their
+    order within the task. The running line count of the splits, in order of file and position, gives
+    the number of each split's first line. That table, three BIGINTs per split, is counted and
+    broadcast, so that the lines are numbered where they lie; beyond ``BROADCAST_SPLITS`` splits it is joined.
     """
     ws = workspace or Workspace(spark)
     lines = spark.read.text(path).selectExpr(
         "value AS line",
         "_metadata.file_path AS file",
         "_metadata.file_block_start AS block",
+        "xxhash64(_metadata.file_path, _metadata.file_block_start) AS split",
         "monotonically_increasing_id() AS seq",
     )
     parsed = ws.write(parse_lines(lines, sep), "parsed-lines")
-    blocks = parsed.groupBy("file", "block").agg(
-        F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("held")
+    splits = parsed.groupBy("split").agg(
+        F.min("file").alias("file"),
+        F.min("block").alias("block"),
+        F.min("seq").alias("first_seq"),
+        F.count(F.lit(1)).alias("held"),
     )
     before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ws.write(
-        blocks.withColumn("start", F.coalesce(F.sum("held").over(before), F.lit(0))).select(
-            "file", "block", "first_seq", "start"
-        ),
-        "split-starts",
-    )
-    numbered = parsed.join(starts, ["file", "block"]).selectExpr(
+    start = F.coalesce(F.sum("held").over(before), F.lit(0))
+    starts = ws.save(splits.select("split", "first_seq", start.alias("start")), "split-starts")
+    few = starts.rows <= BROADCAST_SPLITS
+    numbered = parsed.join(F.broadcast(starts.df) if few else starts.df, "split").selectExpr(
         "start + seq - first_seq AS row_id",
-        *[c for c in parsed.columns if c not in ("file", "block", "seq")],
+        *[c for c in parsed.columns if c not in ("file", "block", "split", "seq")],
     )
     if min_partitions:
         numbered = numbered.repartition(min_partitions)

@@ -67,6 +67,39 @@ class Workspace:
 
     def remove(self, path: str) -> None:
         """Delete one table, once nothing that is still to run reads it."""
+        Files(self.spark).delete(path)
+
+
+class Files:
+    """Folders in whatever file system their path names."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def _at(self, path: str):
         hadoop_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        conf = self.spark._jsc.hadoopConfiguration()
-        hadoop_path.getFileSystem(conf).delete(hadoop_path, True)
+        return hadoop_path, hadoop_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def exists(self, path: str) -> bool:
+        hadoop_path, system = self._at(path)
+        return system.exists(hadoop_path)
+
+    def delete(self, path: str) -> None:
+        hadoop_path, system = self._at(path)
+        system.delete(hadoop_path, True)
+
+    def make(self, path: str) -> None:
+        hadoop_path, system = self._at(path)
+        system.mkdirs(hadoop_path)
+
+    def rename(self, source: str, target: str) -> None:
+        hadoop_path, system = self._at(source)
+        if not system.rename(hadoop_path, self._at(target)[0]):
+            raise OSError(f"{source} could not be renamed to {target}")
+
+    def put(self, path: str, text: str) -> None:
+        """Write a small file."""
+        hadoop_path, system = self._at(path)
+        stream = system.create(hadoop_path, True)
+        stream.write(bytearray(text.encode()))
+        stream.close()

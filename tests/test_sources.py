@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import json
 import math
+import os
 
 import model
 import pytest
@@ -13,6 +15,8 @@ from incidentlens.sources import (
     read_incidents,
     write_hotspots,
 )
+from incidentlens.sources import incidents
+from incidentlens.workspace import Files
 
 
 def parse(spark, *texts):
@@ -78,6 +82,59 @@ def test_write_and_read_back(spark, tmp_path, format):
     assert [tuple(r) for r in strong] == [(5.0, 6.0, 11)]
 
 
+def outputs(spark, path):
+    return [sorted(tuple(r) for r in read_hotspots(spark, p).collect()) for p in (path, f"{path}_grt10")]
+
+
+def test_both_outputs_or_neither(spark, tmp_path, monkeypatch):
+    """A failure between the two outputs leaves nothing, or what was there before."""
+    schema = "row_id BIGINT, lat DOUBLE, lon DOUBLE, fitness BIGINT"
+    first = spark.createDataFrame([(1, 3.25, 4.0, 10), (2, 5.0, 6.0, 11)], schema)
+    second = spark.createDataFrame([(3, 1.0, 1.0, 12), (4, 2.0, 2.0, 0), (5, 3.0, 3.0, 1)], schema)
+    path, rename = str(tmp_path / "spots"), Files.rename
+
+    def failing(self, source, target):
+        if "staging" in source and target.endswith("_grt10"):
+            raise OSError("lost")
+        rename(self, source, target)
+
+    monkeypatch.setattr(Files, "rename", failing)
+    with pytest.raises(OSError):
+        write_hotspots(first, path)
+    assert not os.listdir(tmp_path)
+    monkeypatch.setattr(Files, "rename", rename)
+    assert write_hotspots(first, path) == {"all": 2, "strong": 1}
+    before = outputs(spark, path)
+    monkeypatch.setattr(Files, "rename", failing)
+    with pytest.raises(OSError):
+        write_hotspots(second, path, mode="overwrite")
+    monkeypatch.setattr(Files, "rename", rename)
+    with pytest.raises(FileExistsError):
+        write_hotspots(second, path)
+    assert outputs(spark, path) == before and len(os.listdir(tmp_path)) == 2
+    assert write_hotspots(second, path, mode="overwrite") == {"all": 2, "strong": 1}
+    assert outputs(spark, path) == [[(1.0, 1.0, 12), (3.0, 3.0, 1)], [(1.0, 1.0, 12)]]
+    manifest = json.loads((tmp_path / "spots" / "_manifest.json").read_text())
+    assert manifest == {"rows": {"all": 2, "strong": 1}, "output": "all"}
+    assert write_hotspots(second.filter("fitness = 0"), path, mode="overwrite") == {"all": 0, "strong": 0}
+    assert outputs(spark, path) == [[], []]
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_lines_are_numbered_where_they_lie(spark, ws, tmp_path, monkeypatch, few):
+    """The table of splits is broadcast, so that parsed lines are not shuffled; many splits are joined."""
+    monkeypatch.setattr(incidents, "BROADCAST_SPLITS", 100 if few else 0)
+    (tmp_path / "a.txt").write_text("52\t1\t10\tr\n" * 50)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        good = read_incidents(spark, str(tmp_path), workspace=ws).good
+        plan = good._jdf.queryExecution().executedPlan().toString()
+        assert ("Exchange hashpartitioning" in plan) != few
+        assert sorted(r.row_id for r in good.select("row_id").collect()) == list(range(50))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_text_to_text_keeps_coordinates_as_written(spark, ws, tmp_path):
     source = tmp_path / "in.txt"
     source.write_text("52.100\t-1.50\t10\tA1\n52.1\t-1.5\t20\ta1\nbroken\n52.1\t-1.5\t20\tB2\n")
