@@ -23,7 +23,7 @@ from incidentlens import (  # noqa: E402
     hotspots,
     hotspots_chunked,
 )
-from incidentlens.operators import assign, chunks, fitness, pairs  # noqa: E402
+from incidentlens.operators import assign, chunks, fitness, graph, pairs  # noqa: E402
 from incidentlens.operators.grid import crowded_cells, to_points  # noqa: E402
 from incidentlens.operators.ordering import with_position  # noqa: E402
 from incidentlens.operators.sampling import (  # noqa: E402
@@ -181,6 +181,13 @@ def match_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return head_edges(points, RULE)
 
 
+def match_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many other incidents each one matches, from the compressed graph of all matches."""
+    ws = Workspace(spark)
+    points = ws.write(to_points(fixture.incidents(spark, sf_dir), RULE, "row_id"), "points")
+    return graph.match_graph(points, RULE, ws).degrees()
+
+
 def assign_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     owned = assign.assign_first(*_sampled(spark, sf_dir), RULE)
     return owned.filter("owner_id IS NOT NULL").select("row_id", "owner_id")
@@ -404,6 +411,7 @@ CORE: dict[str, Query] = {
         suppressor_sample,
         to_be_reduced,
         match_edges,
+        match_degree,
         assign_first,
         assign_nearest,
         unmatched_points,

@@ -304,6 +304,11 @@ FROM marked p JOIN kept k ON k.loc_key = p.loc_key AND k.row_id <> p.row_id AND
             [INCIDENTS],
             f"""SELECT p.row_id FROM marked p WHERE NOT EXISTS (
   SELECT 1 FROM marked q WHERE q.loc_key = p.loc_key AND q.row_id < p.row_id AND {match("p", "q")})""",
+        ),
+        "match_degree": query(
+            [INCIDENTS],
+            f"""SELECT p.row_id, count(q.row_id) AS degree FROM inc p
+LEFT JOIN inc q ON q.loc_key = p.loc_key AND q.row_id <> p.row_id AND {match("p", "q")} GROUP BY p.row_id""",
         ),
         "assign_first_salted": query(
             OWNED, "SELECT row_id, owner_id FROM owned WHERE owner_id IS NOT NULL"
