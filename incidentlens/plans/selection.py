@@ -7,6 +7,7 @@ staging it keeps every join linear, as later stages only see rows that no suppre
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -28,7 +29,7 @@ from ..operators.sampling import draw_sample, find_cut, sample_size
 from ..operators.suppress import greedy_survivors
 from ..rule import STRONG_FITNESS, MatchRule
 from ..sizes import Sizes
-from ..workspace import SavedTable, Workspace
+from ..workspace import SavedTable, Workspace, input_marks
 
 INPUT = ("row_id", "lat", "lon", "bearing", "partial_location")
 OUTPUT = ("row_id", "lat", "lon", "fitness")
@@ -77,8 +78,15 @@ class Stages:
         self.rule = rule
         self.ws = workspace or Workspace(incidents.sparkSession)
         # The input is read once, here; everything else reads the narrow copy.
-        used = (*INPUT, *rule.extra_keys, *carry)
-        saved = self.ws.save(incidents.select(*dict.fromkeys(used)), "incidents")
+        used = incidents.select(*dict.fromkeys((*INPUT, *rule.extra_keys, *carry)))
+        plan = used._jdf.queryExecution().analyzed().canonicalized().toString()
+        self.identity = {
+            "input": input_marks(incidents),
+            "query": plan if self.ws.named else "",
+            "rule": [rule.mileage, rule.bearing_limit, *rule.extra_keys],
+            "nearest": nearest,
+        }
+        saved = self.step("incidents", lambda ws: used)
         self.incidents, self.rows = saved.df, saved.rows
         self.sizes = sizes
         self.assign = assign_nearest if nearest else assign_first
@@ -90,47 +98,67 @@ class Stages:
         self.seconds[stage] = now - self._started
         self._started = now
 
-    def run(self, suppressors: DataFrame, owners: DataFrame | None) -> HotspotRun:
+    def step(self, name: str, make: Callable[[Workspace], DataFrame], **more) -> SavedTable:
+        """A stage's result; what it is made from is deleted, and a run of the same name finds it again."""
+        return self.ws.step(name, {**self.identity, **more}, make)
+
+    def run(self, suppressors: DataFrame, owners: DataFrame | None, **more) -> HotspotRun:
         """The result; suppressors are saved, as every use of a run reads them."""
-        saved = self.ws.write(suppressors, "suppressors")
+        saved = self.step("suppressors", lambda ws: suppressors, **more).df
         return HotspotRun(self.incidents, saved, owners, self.ws, self.seconds)
 
-    def crowded(self, points: DataFrame, rows: int, rule: MatchRule) -> DataFrame | None:
-        return crowded_cells(points, rule, rows, self.ws, self.sizes)
+    def crowded(self, points: DataFrame, rows: int, rule: MatchRule, ws: Workspace) -> DataFrame | None:
+        return crowded_cells(points, rule, rows, ws, self.sizes)
+
+    def survivors(self, points: DataFrame, rows: int, ws: Workspace) -> DataFrame:
+        """Greedy suppression with the rule of the run."""
+        crowded = self.crowded(points, rows, self.rule, ws)
+        return greedy_survivors(points, self.rule, ws, crowded, self.sizes)
+
+    def owners(self, points: DataFrame, rows: int, kept: DataFrame, ws: Workspace) -> DataFrame:
+        """The points with ``owner_id``."""
+        crowded = self.crowded(points, rows, self.rule, ws)
+        return self.assign(points, kept, self.rule, crowded, self.sizes)
 
     def thin_sample(self, rows: int, pct: int, seed: int) -> DataFrame | None:
         """Survivors of the sample, or None when the sample is empty."""
         size = sample_size(rows, pct)
         if not size:
             return None
-        cut = find_cut(self.incidents, rows, size, seed, self.sizes)
-        ranked = with_rank(draw_sample(self.incidents, cut), "digest", "row_id")
-        sample = self.ws.save(to_points(ranked, self.rule, "rank"), "sample")
-        crowded = self.crowded(sample.df, sample.rows, self.rule)
-        kept = greedy_survivors(sample.df, self.rule, self.ws, crowded, self.sizes)
+
+        def thinned(ws: Workspace) -> DataFrame:
+            cut = find_cut(self.incidents, rows, size, seed, self.sizes)
+            ranked = with_rank(draw_sample(self.incidents, cut), "digest", "row_id")
+            sample = ws.save(to_points(ranked, self.rule, "rank"), "sample")
+            return self.survivors(sample.df, sample.rows, ws)
+
+        kept = self.step("sample-kept", thinned, pct=pct, seed=seed).df
         self.lap("thin_sample")
         return kept
 
     def credit(
-        self, rows: int, kept: DataFrame | None, *carry: str
+        self, rows: int, kept: DataFrame | None, *carry: str, **more
     ) -> tuple[DataFrame | None, SavedTable]:
         """Owners of the incidents the sample's survivors match, and the unmatched points."""
         points = to_points(self.incidents, self.rule, "row_id", *carry)
         if kept is None:
-            tail = self.ws.save(points, "tail")
+            tail = self.step("tail", lambda ws: points)
             self.lap("credit")
             return None, tail
-        crowded = self.crowded(points, rows, self.rule)
-        owned = self.assign(points, kept, self.rule, crowded, self.sizes)
         # One pass writes both results; of an owned row only the owner is kept.
         geometry = [
             f"CASE WHEN owner_id IS NULL THEN {c} END AS {c}"
             for c in points.columns
             if c not in ("rank", "row_id")
         ]
-        credited = self.ws.write(owned.selectExpr("rank", "row_id", "owner_id", *geometry), "owned")
-        matched = credited.filter("owner_id IS NOT NULL").select("row_id", "owner_id")
-        open_points = credited.filter("owner_id IS NULL").select(*points.columns)
+
+        def credited(ws: Workspace) -> DataFrame:
+            owned = self.owners(points, rows, kept, ws)
+            return owned.selectExpr("rank", "row_id", "owner_id", *geometry)
+
+        found = self.step("owned", credited, **more).df
+        matched = found.filter("owner_id IS NOT NULL").select("row_id", "owner_id")
+        open_points = found.filter("owner_id IS NULL").select(*points.columns)
         tail = SavedTable(open_points, open_points.count())
         self.lap("credit")
         return matched, tail
@@ -183,12 +211,14 @@ def hotspots(
         return _nothing_matches(stages)
     rows = stages.rows
     kept = stages.thin_sample(rows, pct, seed)
-    matched, tail = stages.credit(rows, kept)
-    crowded = stages.crowded(tail.df, tail.rows, rule)
-    late = greedy_survivors(tail.df, rule, stages.ws, crowded, sizes)
-    late_owned = stages.ws.write(
-        stages.assign(tail.df, late, rule, crowded, sizes).select("row_id", "owner_id"), "late-owned"
-    )
+    drawn = {"pct": pct, "seed": seed}
+    matched, tail = stages.credit(rows, kept, **drawn)
+    late = stages.step("late", lambda ws: stages.survivors(tail.df, tail.rows, ws), **drawn).df
+
+    def owned(ws: Workspace) -> DataFrame:
+        return stages.owners(tail.df, tail.rows, late, ws).select("row_id", "owner_id")
+
+    late_owned = stages.step("late-owned", owned, **drawn).df
     stages.lap("thin_rest")
     suppressors = _with_owned(late, late_owned, "rest").unionByName(
         _zero(stages.outside(), "rest")
@@ -197,7 +227,7 @@ def hotspots(
     if kept is not None:
         suppressors = _with_owned(kept, matched, "sample").unionByName(suppressors)
         owners = matched.withColumn("stage", F.lit("sample")).unionByName(owners)
-    return stages.run(suppressors, owners)
+    return stages.run(suppressors, owners, **drawn)
 
 
 def dedupe_points(
@@ -214,16 +244,22 @@ def dedupe_points(
     stages = Stages(incidents, rule, workspace, sizes, carry=(order,))
     if not rule.can_match:
         return _nothing_matches(stages)
-    points = stages.ws.save(to_points(stages.incidents, rule, order), "points")
-    crowded = stages.crowded(points.df, points.rows, rule)
-    kept = greedy_survivors(points.df, rule, stages.ws, crowded, sizes)
-    owned = stages.ws.write(
-        assign_first(points.df, kept, rule, crowded, sizes).select("row_id", "owner_id"), "owned"
-    )
+    points = to_points(stages.incidents, rule, order)
+
+    def survivors(ws: Workspace) -> DataFrame:
+        saved = ws.save(points, "points")
+        return stages.survivors(saved.df, saved.rows, ws)
+
+    kept = stages.step("kept", survivors, order=order).df
+
+    def owners_of(ws: Workspace) -> DataFrame:
+        return stages.owners(points, stages.rows, kept, ws).select("row_id", "owner_id")
+
+    owned = stages.step("owned", owners_of, order=order).df
     stages.lap("thin_rest")
     suppressors = _with_owned(kept, owned, "rest").unionByName(_zero(stages.outside(), "rest"))
     owners = owned.withColumn("stage", F.lit("rest"))
-    return stages.run(suppressors, owners)
+    return stages.run(suppressors, owners, order=order)
 
 
 def hotspots_chunked(
@@ -249,15 +285,20 @@ def hotspots_chunked(
         return _nothing_matches(stages)
     rows = stages.rows
     kept = stages.thin_sample(rows, pct, seed)
-    matched, tail = stages.credit(rows, kept, "chunk_id")
-    local = thin_chunks(tail, rule, stages.ws, sizes)
-    crowded = stages.crowded(local.df, local.rows, rule)
-    merged = stages.ws.write(merge_chunks(local, rule, stages.ws, crowded, sizes), "merged")
+    drawn = {"pct": pct, "seed": seed, "chunks": chunk_col}
+    matched, tail = stages.credit(rows, kept, "chunk_id", **drawn)
+
+    def merge(ws: Workspace) -> DataFrame:
+        local = thin_chunks(tail, rule, ws, sizes)
+        crowded = stages.crowded(local.df, local.rows, rule, ws)
+        return merge_chunks(local, rule, ws, crowded, sizes)
+
+    merged = stages.step("merged", merge, **drawn).df
     stages.lap("thin_rest")
     suppressors = _staged(merged, "rest").unionByName(_zero(stages.outside(), "rest"))
     if kept is not None:
         suppressors = _with_owned(kept, matched, "sample").unionByName(suppressors)
-    return stages.run(suppressors, None)
+    return stages.run(suppressors, None, **drawn)
 
 
 def thin_chunks(

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+MANIFEST = "_step.json"
 
 
 @dataclass(frozen=True)
@@ -17,6 +22,12 @@ class SavedTable:
     rows: int
 
 
+def input_marks(df: DataFrame) -> list:
+    """What tells one input from another: its files, or a mark of its own for rows that come from no file."""
+    paths = df.inputFiles()
+    return Files(df.sparkSession).marks(paths) if paths else [uuid.uuid4().hex]
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, which every executor can reach.
 
@@ -44,9 +55,11 @@ class Workspace:
     belongs after the results have been written.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None):
+    def __init__(self, spark: SparkSession, folder: str | None = None, name: str | None = None):
+        """``name``: of a run that may be taken up again; its steps are found by later runs of that name."""
         self.spark = spark
-        self.path = f"{folder or checkpoint_folder(spark)}/incidentlens-{uuid.uuid4().hex}"
+        self.path = f"{folder or checkpoint_folder(spark)}/incidentlens-{name or uuid.uuid4().hex}"
+        self.named = name is not None
         self._tables = 0
         self.last: str | None = None  # folder of the table written last
 
@@ -61,6 +74,31 @@ class Workspace:
         table = self.write(df, name)
         return SavedTable(table, table.count())  # answered from the file footers
 
+    def step(self, name: str, identity: dict, make: Callable[[Workspace], DataFrame]) -> SavedTable:
+        """A table with a name, made once.
+
+        ``make`` gets a workspace of its own, whose tables are deleted as soon as the result is
+        written. A manifest of ``identity`` (input and parameters), row count and schema is put beside the
+        result at the end; a later run that finds it with the same identity takes the table as it is.
+        """
+        files, path = Files(self.spark), f"{self.path}/step-{name}"
+        identity = json.loads(json.dumps(identity))
+        if files.exists(f"{path}/{MANIFEST}"):
+            known = json.loads(files.read(f"{path}/{MANIFEST}"))
+            if known["identity"] == identity:
+                schema = StructType.fromJson(known["schema"])
+                return SavedTable(self.spark.read.schema(schema).parquet(path), known["rows"])
+        files.delete(path)
+        inside = Workspace(self.spark, f"{self.path}/in-{name}")
+        made = make(inside)
+        made.write.parquet(path)
+        table = self.spark.read.schema(made.schema).parquet(path)
+        saved = SavedTable(table, table.count())
+        manifest = {"identity": identity, "rows": saved.rows, "schema": table.schema.jsonValue()}
+        files.put(f"{path}/{MANIFEST}", json.dumps(manifest))
+        inside.close()
+        return saved
+
     def close(self) -> None:
         """Delete the run's tables."""
         self.remove(self.path)
@@ -97,6 +135,24 @@ class Files:
         if not system.rename(hadoop_path, self._at(target)[0]):
             raise OSError(f"{source} could not be renamed to {target}")
 
+    def read(self, path: str) -> str:
+        """A small file."""
+        hadoop_path, system = self._at(path)
+        stream = system.open(hadoop_path)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def marks(self, paths: list[str]) -> list[list]:
+        """Path, length and time of change of files."""
+        out = []
+        for path in sorted(paths):
+            hadoop_path, system = self._at(path)
+            status = system.getFileStatus(hadoop_path)
+            out.append([path, status.getLen(), status.getModificationTime()])
+        return out
+
     def put(self, path: str, text: str) -> None:
         """Write a small file."""
         hadoop_path, system = self._at(path)
