@@ -79,13 +79,15 @@ class Stages:
         self.ws = workspace or Workspace(incidents.sparkSession)
         # The input is read once, here; everything else reads the narrow copy.
         used = incidents.select(*dict.fromkeys((*INPUT, *rule.extra_keys, *carry)))
-        plan = used._jdf.queryExecution().analyzed().canonicalized().toString()
-        self.identity = {
-            "input": input_marks(incidents),
-            "query": plan if self.ws.named else "",
-            "rule": [rule.mileage, rule.bearing_limit, *rule.extra_keys],
-            "nearest": nearest,
-        }
+        # What a run is made of, in so far as a later one may take up its steps.
+        self.identity = {}
+        if self.ws.named:
+            self.identity = {
+                "input": input_marks(incidents),
+                "query": used._jdf.queryExecution().analyzed().canonicalized().toString(),
+                "rule": [rule.mileage, rule.bearing_limit, *rule.extra_keys],
+                "nearest": nearest,
+            }
         saved = self.step("incidents", lambda ws: used)
         self.incidents, self.rows = saved.df, saved.rows
         self.sizes = sizes
