@@ -22,16 +22,18 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from incidentlens.llm.tables import map_batches
+from incidentlens.llm.tables import keep, map_batches
 
-# Encodings of pieces, and which tokens go together, are kept per task up to these numbers, and
+OWNER = "bpe"  # of the caches that workers keep from task to task
+
+# Encodings of pieces, and which tokens go together, are kept per worker up to these numbers, and
 # dropped together beyond them.
-CACHED_PIECES = 400_000
+CACHED_PIECES = 250_000
 CACHED_PIECE_CHARS = 64
 # Beginnings of matches whose length is a multiple of this are remembered for other matches.
 STRIDE = 3
-CACHED_PAIRS = 300_000
-CACHED_STARTS = 300_000
+CACHED_PAIRS = 200_000
+CACHED_STARTS = 150_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -238,11 +240,12 @@ def _mapped(docs: DataFrame, source: str, added: str, ranks_path: str, pattern:
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
 
     def make():
+        keep(OWNER, _encoder.cache_clear)
         encoder = _encoder(ranks_path, pattern)
         return lambda columns: {**columns, **work(encoder, columns[source])}
 
     by_text = docs.schema[source].dataType.simpleString() == "string"
-    return map_batches(docs, make, ", ".join([*fields, added]), source if by_text else None)
+    return map_batches(docs, make, ", ".join([*fields, added]), source if by_text else None, OWNER)
 
 
 def ids_text(ids: str = "token_ids") -> Column:

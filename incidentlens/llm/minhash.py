@@ -4,7 +4,7 @@ Two small collections of bands are made per document, COLLECTION on each side, e
 WIDTH minhashes. Table keys are all *pairs* of a band of one side and a band of the other: COLLECTION ** 2
 tables of 2 * WIDTH minhashes each, from only 2 * COLLECTION * WIDTH minhashes, so that computing them grows
 with the square root of the tables. Two sets of similarity s meet in a table with probability
-(1 - (1 - s ** WIDTH) ** COLLECTION) ** 2: all but 6 in a million at the bound of 0.85, and all but fewer than one in
+(1 - (1 - s ** WIDTH) ** COLLECTION) ** 2: all but 6 in a million at the bound of 0.85, and all but some one in
 ten million at 0.9. A pair meets only if it has a band in common on each side, so bands that no other document has are
 dropped before pairs are formed.
 

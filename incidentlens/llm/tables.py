@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from itertools import islice
 
 import pyarrow as pa
@@ -19,6 +22,10 @@ from incidentlens.workspace import Workspace
 BROADCAST_BYTES = 16 << 20
 # Python stages cut their batches so that one holds at most this much text.
 BATCH_CHARS = 4 << 20
+# Spark hands rows to Python in batches of this many bytes at most; by default they only end after 10,000
+# rows, which of long texts take hundreds of megabytes.
+ARROW_BYTES = 8 << 20
+_ARROW_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 BatchFunction = Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]
 
@@ -27,20 +34,68 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
-    """``mapInArrow`` with this package at hand on the executors."""
+# In a Python worker: how to drop what an operator keeps from task to task, by operator.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keep(owner: str, drop: Callable[[], None]) -> None:
+    """Tell how to drop what ``owner`` keeps in this worker; done before a task of another one begins."""
+    _kept[owner] = drop
+
+
+def drop_others(owner: str | None) -> None:
+    """Workers outlive stages, so caches of earlier operators would add up in them."""
+    others = [name for name in _kept if name != owner]
+    for name in others:
+        _kept.pop(name)()
+    if others:
+        gc.collect()
+        # Freed memory goes back to the system where the C library can do that.
+        getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
+
+
+def map_arrow(df: DataFrame, run, schema: str, owner: str | None = None) -> DataFrame:
+    """``mapInArrow`` with this package at hand on the executors; ``owner``: whose caches may stay there."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_ARROW_LIMIT).rstrip("b")) <= ARROW_BYTES:
+        conf.set(_ARROW_LIMIT, str(ARROW_BYTES))
 
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_others(owner)
+        yield from run(batches)
 
-def workspace(df_or_spark) -> Workspace:
-    """Intermediate tables in the folder that ``spark.checkpoint.dir`` names."""
-    return Workspace(getattr(df_or_spark, "sparkSession", df_or_spark))
+    return df.mapInArrow(start, schema)
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with some BATCH_CHARS of text each, one row at least."""
-    offsets = text_ends(batch.column(column))
+_scratch: list[list[Workspace]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Delete, at the end, the intermediate tables of all operators called in between."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for ws in _scratch.pop():
+            ws.close()
+
+
+def workspace(df_or_spark) -> Workspace:
+    """Intermediate tables in the folder that ``spark.checkpoint.dir`` names."""
+    ws = Workspace(getattr(df_or_spark, "sparkSession", df_or_spark))
+    if _scratch:
+        _scratch[-1].append(ws)
+    return ws
+
+
+def pieces(batch: pa.RecordBatch, *columns: str) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with some BATCH_CHARS of text or bytes in ``columns`` each, one row at least."""
+    if not columns:
+        yield batch
+        return
+    offsets = list(map(sum, zip(*(text_ends(batch.column(column)) for column in columns))))
     start = 0
     while start < batch.num_rows:
         end, base = start + 1, offsets[start]
@@ -63,6 +118,7 @@ def map_batches(
     make: Callable[[], Callable[[dict[str, list]], dict[str, Iterable]]],
     schema: str,
     text: str | None = "text",
+    owner: str | None = None,
 ) -> DataFrame:
     """Run a function of plain column lists over Arrow batches.
 
@@ -78,20 +134,22 @@ def map_batches(
                 arrays = [pa.array(out[f.name], f.type) for f in arrow]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
-    return map_arrow(df, run, schema)
+    return map_arrow(df, run, schema, owner)
 
 
 def map_rows(
     df: DataFrame, names: list[str], work: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str
 ) -> DataFrame:
-    """Run a generator over a partition's rows as tuples; rows stream, none is held back."""
+    """Run a generator over a partition's rows as tuples; rows stream, only some BATCH_CHARS of them are unpacked."""
     arrow = arrow_schema(schema)
+    long = [name for name in names if df.schema[name].dataType.simpleString() in ("string", "binary")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (
             row
             for batch in batches
-            for row in zip(*(batch.column(name).to_pylist() for name in names))
+            for part in pieces(batch, *long)
+            for row in zip(*(part.column(name).to_pylist() for name in names))
         )
         out = work(rows)
         while part := list(islice(out, 1000)):
@@ -110,5 +168,11 @@ def bounded_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let the files of earlier shuffles go, which Spark keeps until the driver has dropped what stands for them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def mixed_partitions(df: DataFrame, factor: int = 1) -> int:
     return factor * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 # Numbers of words are kept per task up to this many, and dropped together beyond it.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MIXER = np.uint64(0xD6E8FEB86659FD93)
