@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from tests.llm import fixtures
 
 from incidentlens.llm import chat, ngram_join, quality_lm, queries, toxicity, url_filter
-from incidentlens.llm.tables import workspace
+from incidentlens.llm.tables import scratch, workspace
+from incidentlens.workspace import Files
 
 SF = "/root/testdata/sf0.01"
 
@@ -315,3 +316,22 @@ def test_pipeline_takes_effect(spark, hard):
 
 
 DOCS = fixtures.documents()
+
+
+def test_pipeline_near_duplicates_with_clashing_columns(spark):
+    """Of rows that share an id the smallest text stays, whatever other columns are called."""
+    import corpus_pipeline
+
+    rows = [(1, "one two three four five six", "a", 7), (1, "another text that is quite different", "b", 8), (2, "and a third", "c", 9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, rank string, rank_ bigint")
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(tuple(r) for r in out.collect()) == sorted(rows[1:])
+
+
+def test_scratch_tables_go(spark):
+    with scratch():
+        ws = workspace(spark)
+        ws.write(spark.range(3).toDF("x"), "three")
+        assert Files(spark).exists(ws.path)
+    assert not Files(spark).exists(ws.path)
