@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from incidentlens.llm import bpe, decontaminate, ngram_join, pii, quality_lm
-from incidentlens.llm.tables import bounded_broadcast, table, workspace
+from incidentlens.llm.tables import bounded_broadcast, scratch, table, workspace
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -48,8 +48,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ids = bounded_broadcast(several.df, several.rows, 64)
     single = kept.join(ids, "doc_id", "left_anti").select(*docs.columns)
     order = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in dict.fromkeys(["text", *docs.columns])])
-    ranked = kept.join(ids, "doc_id", "left_semi").select(*docs.columns, F.row_number().over(order).alias("__rank"))
-    return single.unionByName(ranked.filter("__rank = 1").drop("__rank"))
+    rank = "rank"
+    while rank in docs.columns:
+        rank += "_"
+    ranked = kept.join(ids, "doc_id", "left_semi").select(*docs.columns, F.row_number().over(order).alias(rank))
+    return single.unionByName(ranked.filter(F.col(rank) == 1).drop(rank))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -94,5 +97,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, ws = table(spark, sf_dir, "documents"), workspace(spark)
     for number, (_, stage) in enumerate(STAGES):
-        docs = ws.write(stage(spark, docs, sf_dir), f"stage{number}")
+        with scratch():  # what a stage has written goes once its result is
+            docs = ws.write(stage(spark, docs, sf_dir), f"stage{number}")
     return docs
