@@ -35,7 +35,8 @@ THRESHOLD = 0.3
 RIDGE = 1.0
 # The descent ends after this many steps, or when the gradient is this much smaller than at its start.
 STEPS, SMALL = 60, 1e-4
-MEMORY = 8  # steps that L-BFGS looks back
+MEMORY = 5  # steps that L-BFGS looks back
+PARTS = 8  # tasks of a pass over the sample, each of which sends the driver a number per bucket
 LOT = 1 << 20  # bucket numbers in one row of the sample's lists
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIXER = np.uint64(0xD6E8FEB86659FD93)
@@ -107,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     # One row per id, so that the bound holds for rows.
     sample = sample.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     lists = map_rows(sample.select("toxic", "text"), ["toxic", "text"], _lists, "toxic binary, ends binary, buckets binary")
-    lists = ws.write(lists, "toxic-lists")
+    lists = ws.write(lists, "toxic-lists").coalesce(PARTS)
     n_clean, n_toxic, held = _counts(lists)
     prior = float(np.log((n_toxic + 1) / (n_clean + 1)))
     if not (n_clean and n_toxic):
@@ -222,7 +223,7 @@ def descend(loss, x: np.ndarray) -> np.ndarray:
             length /= 2
         if new >= value:
             break
-        step, turn = there - x, new_slope - slope
+        step, turn = (there - x).astype(np.float32), (new_slope - slope).astype(np.float32)
         if step @ turn > 0:
             past = [*past[1 - MEMORY :], (step, turn)]
         x, value, slope = there, new, new_slope
