@@ -50,8 +50,11 @@ def drop_others(owner: str | None) -> None:
         _kept.pop(name)()
     if others:
         gc.collect()
-        # Freed memory goes back to the system where the C library can do that.
-        getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
+
+
+def return_memory() -> None:
+    """Freed memory goes back to the system, where the C library can do that."""
+    getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
 
 
 def map_arrow(df: DataFrame, run, schema: str, owner: str | None = None) -> DataFrame:
@@ -64,6 +67,7 @@ def map_arrow(df: DataFrame, run, schema: str, owner: str | None = None) -> Data
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_others(owner)
         yield from run(batches)
+        return_memory()
 
     return df.mapInArrow(start, schema)
 
