@@ -105,38 +105,52 @@ def absorptions(
     A round settles as sources the rows that no undecided lower row matches and no source is free
     for. Then each source takes the lowest undecided row it matches in every chunk at once, if it is the
     first source free for it and no undecided row before the source matches it.
+
+    What is undecided is joined as it is, not without the rows that have just acted: an acting row has no
+    free source, and one before a target's source would be the target's source itself. A source that is
+    free for no undecided row never will be again, so only the others go on to the next round.
     """
     columns = ["rank", "row_id", "chunk_id", *rule.keys, *GEOMETRY, "cell"]
-    undecided, sources, rounds, path = survivors.select(*columns), None, [], None
+    undecided, sources, rounds, paths = survivors.select(*columns), None, [], []
     left, most = group_sizes(undecided, rule)
     while not sizes.foldable(left, most):
         taken = reduce(DataFrame.unionByName, rounds) if rounds else None
-        first = plain_round(undecided, rule, ws, crowded).select("rank")
-        ready = undecided.join(first, "rank", "left_semi")
+        ready = plain_round(undecided, rule, ws, crowded, ("chunk_id",)).select(*columns)
+        made = [ws.last]
         if sources is not None:
+            ready = ws.write(ready, "ready")
+            made.append(ws.last)
             wanted = _free_pairs(ready, sources, taken, rule, crowded).selectExpr("dst AS rank")
             ready = ready.join(wanted.distinct(), "rank", "left_anti")
         acting = ws.write(ready.select(*columns), "acting")
+        made.append(ws.last)
         sources = acting if sources is None else sources.unionByName(acting)
-        rest = undecided.join(acting.select("rank"), "rank", "left_anti").select(*columns)
-        pairs = _free_pairs(rest, sources, taken, rule, crowded)
+        pairs = ws.write(_free_pairs(undecided, sources, taken, rule, crowded), "free")
+        made.append(ws.last)
         first_src = pairs.groupBy("dst", "dst_chunk").agg(F.min("src").alias("src"))
         first_dst = pairs.groupBy("src", "dst_chunk").agg(F.min("dst").alias("dst"))
-        agreed = ws.write(first_src.join(first_dst, ["src", "dst", "dst_chunk"]), "agreed")
-        targets = rest.join(agreed.selectExpr("dst AS rank", "src"), "rank")
-        waiting = match_join(rest, targets, rule, "inner", crowded, extra="rank < a_src")
+        agreed = first_src.join(first_dst, ["src", "dst", "dst_chunk"])
+        targets = undecided.join(agreed.selectExpr("dst AS rank", "src"), "rank")
+        waiting = match_join(undecided, targets, rule, "inner", crowded, extra="rank < a_src")
         waiting = waiting.selectExpr("a_rank AS dst").distinct()
         found = agreed.join(waiting, "dst", "left_anti").select("src", "dst", "dst_chunk")
         rounds.append(ws.write(found, "taken"))
-        gone = rounds[-1].selectExpr("dst AS rank")
-        used, undecided = path, ws.write(rest.join(gone, "rank", "left_anti").select(*columns), "undecided")
-        path = ws.last
-        if used:
-            ws.remove(used)
+        gone = rounds[-1].selectExpr("dst AS rank").unionByName(acting.select("rank"))
+        rest = undecided.join(gone, "rank", "left_anti").select(*columns)
+        undecided = ws.write(rest, "undecided")
+        kept = [ws.last]
         before = left
         left, most = group_sizes(undecided, rule)
         if left == before:
             raise ValueError("ranks must be unique and keys not NULL")
+        if left:
+            open_pairs = pairs.join(gone.selectExpr("rank AS dst"), "dst", "left_anti")
+            sources = sources.join(open_pairs.selectExpr("src AS rank").distinct(), "rank", "left_semi")
+            sources = ws.write(sources.select(*columns), "sources")
+            kept.append(ws.last)
+        for used in (*paths, *made):
+            ws.remove(used)
+        paths = kept
     if most:
         rounds.append(ws.write(_folded(undecided, sources, rounds, rule, crowded), "taken"))
     if not rounds:

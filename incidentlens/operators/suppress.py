@@ -22,13 +22,13 @@ from ..workspace import Workspace
 from .grid import GEOMETRY, match_condition, match_join, spot_columns
 from .sweep import tile_sweep
 
-def spot_heads(points: DataFrame, rule: MatchRule) -> DataFrame:
+def spot_heads(points: DataFrame, rule: MatchRule, *carry: str) -> DataFrame:
     """The lowest-ranked row of every spot; partial aggregation leaves one row per spot and task."""
-    picked = [f"min_by({c}, rank) AS {c}" for c in ("row_id", *GEOMETRY, "cell")]
+    picked = [f"min_by({c}, rank) AS {c}" for c in ("row_id", *GEOMETRY, "cell", *carry)]
     spot = spot_columns(rule)[len(rule.keys) :]
     by = [*rule.keys, *[F.expr(f"{sql} AS spot_{i}") for i, sql in enumerate(spot)]]
     spots = points.groupBy(*by).agg(*[F.expr(sql) for sql in ("min(rank) AS rank", *picked)])
-    return spots.select("rank", "row_id", *rule.keys, *GEOMETRY, "cell")
+    return spots.select("rank", "row_id", *rule.keys, *GEOMETRY, "cell", *carry)
 
 
 def head_edges(
@@ -66,10 +66,10 @@ def group_sizes(rows: DataFrame, rule: MatchRule) -> tuple[int, int]:
 
 
 def plain_round(
-    undecided: DataFrame, rule: MatchRule, ws: Workspace, crowded: DataFrame | None = None
+    undecided: DataFrame, rule: MatchRule, ws: Workspace, crowded: DataFrame | None = None, carry: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Spot heads that no undecided lower row matches."""
-    heads = ws.write(spot_heads(undecided, rule), "heads")
+    """Spot heads that no undecided lower row matches, with the columns ``carry``."""
+    heads = ws.write(spot_heads(undecided, rule, *carry), "heads")
     lower = match_join(undecided, heads, rule, "inner", crowded, extra="rank < a_rank")
     blocked = lower.selectExpr("a_rank AS rank").distinct()
     return heads.join(blocked, "rank", "left_anti")

@@ -60,3 +60,23 @@ def test_a_row_waits_for_the_undecided_row_before_its_source(spark, ws):
     for sizes in (Sizes(), ROUNDS):
         merged = chunks.merge_chunks(local, RULE, ws, sizes=sizes)
         assert {r.row_id: r.fitness for r in merged.collect()} == {0: 1, 2: 1}
+
+
+def test_sources_without_open_rows_are_joined_no_more(spark, ws, monkeypatch):
+    """A hundred lonely sources, settled at once, and a chain over chunks that takes a round for two rows."""
+    lonely = [(i, 10.0 + i, 0.0, 0, "r", 0) for i in range(100)]
+    chain = [(100 + i, 0.002 * i, 0.0, 0, "r", i) for i in range(12)]
+    df = spark.createDataFrame(lonely + chain, model.SCHEMA + ", chunk_id BIGINT")
+    points = ws.save(to_points(df, RULE, "row_id", "chunk_id"), "points")
+    local = thin_chunks(points, RULE, ws)
+    joined, match_join = [], chunks.match_join
+
+    def counting(points, anchors, *more, **named):
+        joined.append(anchors.count())
+        return match_join(points, anchors, *more, **named)
+
+    monkeypatch.setattr(chunks, "match_join", counting)
+    merged = chunks.merge_chunks(local, RULE, ws, sizes=ROUNDS)
+    left = {r.row_id: r.fitness for r in merged.collect() if r.row_id >= 100}
+    assert local.rows == 112 and left == {100 + 2 * i: 1 for i in range(6)}
+    assert sum(joined) <= 2 * local.rows
