@@ -111,22 +111,28 @@ def match_graph(points: DataFrame, rule: MatchRule, ws: Workspace) -> MatchGraph
         boxes = ws.write(_boxes(points, rule, level), "boxes")
         left, right = _prefixed(boxes, "a"), _prefixed(boxes, "b")
         if level == 0:
-            # Boxes of neighbouring cubes; every box lies in one cube of places.
+            # Boxes of neighbouring cubes; every box lies in one cube of places. Matching goes both ways: of two
+            # boxes one order is looked at, and written, so that half of the neighbours will do.
             for c in "xyz":
                 left = left.selectExpr("*", f"explode(sequence(floor(a_min_{c} / {double(side)}) - 1, floor(a_min_{c} / {double(side)}) + 1)) AS c{c}")
+            at, own = "struct(cx, cy, cz)", ", ".join(f"floor(a_min_{c} / {double(side)}) AS c{c}" for c in "xyz")
+            left = left.selectExpr("*", f"{at} > struct({own}) AS ahead").filter(f"{at} >= struct({own})")
             right = right.selectExpr("*", *[p.replace(f"floor({c}", f"floor(b_min_{c}") for p, c in zip(places, "xyz")])
             met = left.join(right, [F.expr(f"a_{k} = b_{k}") for k in keys] + [left[f"c{c}"] == right[f"c{c}"] for c in "xyz"])
         else:
             met = pairs.join(left, [pairs[f"p_{k}"] == left[f"a_{k}"] for k in keys] + [pairs["p_box"] == left["a_above"]])
             met = met.join(right, [*same, met["p_other"] == right["b_above"]])
+        met = met.filter("a_box <= b_box OR " + ("p_box <> p_other" if level else "ahead"))
         met = met.selectExpr(*[f"a_{k} AS {k}" for k in keys], "a_box AS box", "b_box AS other", "least(a_n, b_n) AS few", f"{_relation(rule)} AS relation")
         found = ws.write(met.filter("relation <> 'none'"), "related")
         here = points.selectExpr("row_id", *keys, f"{_box(rule, level)} AS box")
-        blocks.append(found.filter("relation = 'whole'").selectExpr(*keys, f"{level} AS level", "box", "other"))
+        whole = found.filter("relation = 'whole'").selectExpr(*keys, f"{level} AS level", "box", "other")
+        blocks.append(_both_ways(whole, "box", "other", "box <> other"))
         members.append(here.join(boxes.select(*keys, "box", "n"), [*keys, "box"]).selectExpr("row_id", *keys, f"{level} AS level", "box", "n"))
         last = level == MAX_LEVELS
         listed = found.filter("relation = 'part'" if last else f"relation = 'part' AND few <= {FEW_ROWS}")
-        edges.append(ws.write(_listed(listed, points, rule, level), "edges"))
+        single = ws.write(_listed(listed, points, rule, level), "edges")
+        edges.append(_both_ways(single, "row_id", "other_id", "mirrored").drop("mirrored"))
         rest = ws.save(found.filter(f"relation = 'part' AND few > {FEW_ROWS}").selectExpr(*keys, "box", "other"), "part")
         if last or not rest.rows:
             break
@@ -135,11 +141,22 @@ def match_graph(points: DataFrame, rule: MatchRule, ws: Workspace) -> MatchGraph
     return MatchGraph(union(blocks), union(edges), union(members), rule)
 
 
+def _both_ways(pairs: DataFrame, one: str, other: str, of: str) -> DataFrame:
+    """The pairs, and those that ``of`` holds for the other way round, too."""
+    turned = pairs.filter(of).withColumnsRenamed({one: "was_one"}).withColumnsRenamed({other: one}).withColumnsRenamed({"was_one": other})
+    return pairs.unionByName(turned)
+
+
 def _listed(pairs: DataFrame, points: DataFrame, rule: MatchRule, level: int) -> DataFrame:
-    """(row_id, other_id) of the matches between the rows of two boxes."""
-    columns = ["row_id", *rule.keys, "lat", "lon", "bearing", "x", "y", "z"]
+    """(row_id, other_id, mirrored) of the matches between the rows of two boxes, in one order each.
+
+    ``mirrored``: whether the match the other way round is to be added.
+    """
+    columns = ["row_id", *rule.keys, "lat", "lon", "bearing"]
     rows = points.selectExpr(*columns, f"{_box(rule, level)} AS box")
     met = pairs.select(*rule.keys, "box", "other").join(rows, [*rule.keys, "box"])
     others = rows.selectExpr(*[f"{c} AS a_{c}" for c in (*columns, "box")])
-    on = " AND ".join([*[f"{k} = a_{k}" for k in rule.keys], "other = a_box", match_condition(rule)])
-    return met.join(others, F.expr(on)).selectExpr("row_id", "a_row_id AS other_id")
+    once = "(box <> other OR row_id <= a_row_id)"
+    on = " AND ".join([*[f"{k} = a_{k}" for k in rule.keys], "other = a_box", once, match_condition(rule)])
+    found = met.join(others, F.expr(on))
+    return found.selectExpr("row_id", "a_row_id AS other_id", "box <> other OR row_id <> a_row_id AS mirrored")

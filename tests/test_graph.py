@@ -48,3 +48,25 @@ def test_size_where_rows_pile_up(spark, ws):
         sizes[n] = matches, graph.blocks.count() + graph.edges.count()
     assert sizes[4000][0] > 80 * sizes[400][0] and sizes[4000][1] < 10 * sizes[400][1]
     assert sizes[4000][1] < 0.05 * sizes[4000][0]
+
+
+def test_matches_are_written_in_one_order(spark, ws, monkeypatch):
+    """Rows that share ids and places count as often as they come."""
+    rows = model.random_rows(200, seed=43, roads=1, hot=60)
+    rows += [(7, *rows[3][1:]), (7, *rows[90][1:]), rows[11]]
+    written, write = [], type(ws).write
+
+    def counting(self, df, name):
+        table = write(self, df, name)
+        if name == "edges":
+            written.append(table.count())
+        return table
+
+    monkeypatch.setattr(type(ws), "write", counting)
+    rule = MatchRule(0.3)
+    graph = graph_of(spark, rows, rule, ws)
+    want = {}
+    for r in rows:
+        want[r[0]] = want.get(r[0], 0) + sum(model.matches(r, q, 0.3) for q in rows)
+    assert {r.row_id: r.degree for r in graph.degrees().collect()} == {k: n - 1 for k, n in want.items()}
+    assert sum(written) <= 0.6 * graph.edges.count()
