@@ -11,7 +11,7 @@ Decisions are taken one by one, but each settles all rows of its neighbourhood a
 are never more turns than kept rows and open cells.
 
 A tile with more than ``Sizes.tile_rows`` rows, however narrow, is cut into ranges of ranks of about that many
-rows. One pass after the other takes the next range of every such tile, and starts from what the passes
+rows, or into ``Sizes.sweep_passes`` ranges where there would be more. One pass after the other takes the next range of every such tile, and starts from what the passes
 before have left: the tile's kept rows and open cells, a small table. All other tiles run in the first pass.
 """
 
@@ -210,10 +210,11 @@ def rank_ranges(
 ) -> tuple[DataFrame, int]:
     """Tiles of more than ``tile_rows`` rows with ``cuts``, the ranks between their ranges, and the number of these.
 
-    A range holds ``tile_rows`` rows at most, up to half a percent. There are fewer such tiles than
+    A range holds ``tile_rows`` rows at most, up to half a percent, or the share of a tile that ``sweep_passes``
+    passes leave. There are fewer such tiles than
     rows / tile_rows, so that the table is safe to broadcast.
     """
-    ranges = -(-largest // sizes.tile_rows)
+    ranges = min(-(-largest // sizes.tile_rows), sizes.sweep_passes)
     shares = ", ".join(f"{k / ranges!r}D" for k in range(1, ranges))
     cuts = f"percentile_approx(rank, array({shares}), {max(10_000, 200 * ranges)}) AS cuts"
     counted = rows.groupBy(*rule.keys, "tile").agg(F.count(F.lit(1)).alias("held"), F.expr(cuts))

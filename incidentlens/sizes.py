@@ -16,6 +16,9 @@ class Sizes:
     fold_most: int = 10_000
     # Sweeps take the widest tiles that hold no more rows than this each; any tile can be swept.
     tile_rows: int = 2_000_000
+    # Larger tiles are swept in ranges of that size, one pass each, but in no more passes than this: ranges
+    # get longer instead, which costs no memory, as a pass streams its rows.
+    sweep_passes: int = 8
     # A plain round that leaves more than this share of its rows undecided is followed by a sweep.
     slow_share: float = 0.5
     # A sweep that leaves more than this share undecided is followed by a plain round.

@@ -91,3 +91,28 @@ def test_long_road_in_order_takes_linear_time():
         seconds.append(time.process_time() - started)
         assert 100 < len(kept) < 3000
     assert seconds[1] < 12 * seconds[0]
+
+
+def test_passes_over_a_full_tile_are_few(spark, ws, monkeypatch):
+    """A tile with fifty times the rows of a range takes no more passes than allowed."""
+    import model
+
+    from incidentlens import Sizes, Workspace
+    from incidentlens.operators.grid import to_points
+    from incidentlens.operators.sweep import tile_sweep
+
+    rule = MatchRule(0.3)
+    rows = model.random_rows(1000, seed=51, roads=1, hot=900)
+    made = ws.write(to_points(spark.createDataFrame(rows, model.SCHEMA), rule, "row_id"), "points")
+    whole = {r.row_id for r in tile_sweep(made, rule, ws).collect()}
+    passes, write = [], Workspace.write
+
+    def counting(self, df, name):
+        passes.append(name)
+        return write(self, df, name)
+
+    monkeypatch.setattr(Workspace, "write", counting)
+    sizes = Sizes(tile_rows=20)
+    kept = {r.row_id for r in tile_sweep(made, rule, ws, sizes).collect()}
+    assert kept and kept <= whole
+    assert 1 < passes.count("pass") <= 8
