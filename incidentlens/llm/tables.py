@@ -23,8 +23,8 @@ BROADCAST_BYTES = 16 << 20
 # Python stages cut their batches so that one holds at most this much text.
 BATCH_CHARS = 4 << 20
 # Spark hands rows to Python in batches of this many bytes at most; by default they only end after 10,000
-# rows, which of long texts take hundreds of megabytes.
-ARROW_BYTES = 8 << 20
+# rows, which of long texts take hundreds of megabytes. Both sides hold a few batches for every task.
+ARROW_BYTES = 2 << 20
 _ARROW_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 BatchFunction = Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]
@@ -53,7 +53,8 @@ def drop_others(owner: str | None) -> None:
 
 
 def return_memory() -> None:
-    """Freed memory goes back to the system, where the C library can do that."""
+    """Freed memory goes back to the system: Arrow's, which keeps its own, and that of the C library where it can."""
+    pa.default_memory_pool().release_unused()
     getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
 
 

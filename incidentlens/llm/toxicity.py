@@ -37,7 +37,7 @@ RIDGE = 1.0
 STEPS, SMALL = 60, 1e-4
 MEMORY = 5  # steps that L-BFGS looks back
 PARTS = 8  # tasks of a pass over the sample, each of which sends the driver a number per bucket
-LOT = 1 << 20  # bucket numbers in one row of the sample's lists
+LOT = 1 << 17  # bucket numbers in one row of the sample's lists; a pass holds several arrays of a row's length
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIXER = np.uint64(0xD6E8FEB86659FD93)
 
@@ -59,14 +59,14 @@ class Distinct:
     """The different bucket numbers of a text, in order of appearance, without sorting."""
 
     def __init__(self):
-        self.at = np.zeros(BUCKETS, np.int64)
+        self.at = np.zeros(BUCKETS, np.int32)
 
     def __call__(self, text: str | None) -> np.ndarray:
         parts = list(ngram_buckets(text))
         if not parts:
             return np.zeros(0, np.int64)
         numbers = np.concatenate(parts)
-        places = np.arange(len(numbers))
+        places = np.arange(len(numbers), dtype=np.int32)
         self.at[numbers] = places  # the last place of each
         return numbers[self.at[numbers] == places]
 
