@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from incidentlens.llm.tables import bounded_broadcast, map_batches, map_rows, workspace
+from incidentlens.llm.tables import bounded_broadcast, map_batches, map_rows, return_memory, workspace
 
 MIN_N, MAX_N = 3, 6
 BUCKETS = 1 << 20
@@ -193,6 +193,7 @@ def _pass(lists: DataFrame, weights: np.ndarray, intercept: float) -> tuple[floa
         total += row["total"]
         slope += np.frombuffer(row["slope"], np.float32)
     shared.destroy()
+    return_memory()  # the driver's, of the tasks' slopes
     return total, slope
 
 
