@@ -36,8 +36,13 @@ RIDGE = 1.0
 # The descent ends after this many steps, or when the gradient is this much smaller than at its start.
 STEPS, SMALL = 60, 1e-4
 MEMORY = 5  # steps that L-BFGS looks back
-PARTS = 8  # tasks of a pass over the sample, each of which sends the driver a number per bucket
-LOT = 1 << 17  # bucket numbers in one row of the sample's lists; a pass holds several arrays of a row's length
+PARTS = 8  # tasks of a pass over the sample, each of which sends the driver a number per bucket in use
+ROW = 1 << 13  # bucket numbers in one row of the sample's lists, or those of one document
+# Spark's reader holds what it takes of a row group at a time, 4,096 rows, so that row groups have to be small. Their size
+# is looked at every 100 rows.
+ROW_GROUP = 1 << 20
+SPAN = 1 << 15  # numbers in one row of what a task sends the driver, so that the JVMs handle small arrays only
+LOT = 1 << 17  # bucket numbers that a pass counts at a time; it holds several arrays of that length
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIXER = np.uint64(0xD6E8FEB86659FD93)
 
@@ -108,28 +113,33 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     # One row per id, so that the bound holds for rows.
     sample = sample.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     lists = map_rows(sample.select("toxic", "text"), ["toxic", "text"], _lists, "toxic binary, ends binary, buckets binary")
-    lists = ws.write(lists, "toxic-lists").coalesce(PARTS)
+    lists = ws.write(lists, "toxic-lists", **{"parquet.block.size": ROW_GROUP}).coalesce(PARTS)
     n_clean, n_toxic, held = _counts(lists)
     prior = float(np.log((n_toxic + 1) / (n_clean + 1)))
     if not (n_clean and n_toxic):
         return Model(np.zeros(BUCKETS).tobytes(), prior)
+    used = np.flatnonzero(held.sum(axis=0) >= MIN_DOCS).astype(np.int32)  # all others weigh nothing
+    held = held[:, used]
     ratios = np.log((held[1] + 1) / (n_toxic + 2)) - np.log((held[0] + 1) / (n_clean + 2))
-    ratios[held.sum(axis=0) < MIN_DOCS] = 0
     rows = n_clean + n_toxic
+    shared = docs.sparkSession.sparkContext.broadcast(used)
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
         """The mean loss with its ridge, and its gradient, at scaled weights and an intercept."""
-        total, slope = _pass(lists, ratios * x[:-1], x[-1])
+        total, slope = _pass(lists, shared, ratios * x[:-1], x[-1])
         value = (total + 0.5 * RIDGE * float(x[:-1] @ x[:-1])) / rows
         return value, np.append(ratios * slope[:-1] + RIDGE * x[:-1], slope[-1]) / rows
 
-    found = descend(loss, np.append(np.zeros(BUCKETS), prior))
+    found = descend(loss, np.append(np.zeros(len(used)), prior))
+    shared.destroy()
     ws.close()
-    return Model((found[:-1] * ratios).tobytes(), float(found[-1]))
+    weights = np.zeros(BUCKETS)
+    weights[used] = found[:-1] * ratios
+    return Model(weights.tobytes(), float(found[-1]))
 
 
 def _lists(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Labels, ends and bucket numbers of documents, packed, some LOT numbers in a row."""
+    """Labels, ends and bucket numbers of documents, packed, some ROW numbers in a row."""
     distinct, labels, parts, held = Distinct(), [], [], 0
 
     def lot() -> tuple:
@@ -140,7 +150,7 @@ def _lists(rows: Iterator[tuple]) -> Iterator[tuple]:
         labels.append(int(toxic > 0))
         parts.append(distinct(text))
         held += len(parts[-1])
-        if held >= LOT:
+        if held >= ROW:
             yield lot()
             labels, parts, held = [], [], 0
     if labels:
@@ -148,10 +158,17 @@ def _lists(rows: Iterator[tuple]) -> Iterator[tuple]:
 
 
 def _unpacked(rows: Iterator[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Labels, the number of buckets of each document, and the bucket numbers of each lot."""
+    """Labels, the number of buckets of each document, and the bucket numbers, of some LOT numbers each."""
+    parts, held = [], 0
     for toxic, ends, buckets in rows:
         counts = np.diff(np.frombuffer(ends, np.int64), prepend=0)
-        yield np.frombuffer(toxic, np.int8), counts, np.frombuffer(buckets, np.int32)
+        parts.append((np.frombuffer(toxic, np.int8), counts, np.frombuffer(buckets, np.int32)))
+        held += len(parts[-1][2])
+        if held >= LOT:
+            yield tuple(map(np.concatenate, zip(*parts)))
+            parts, held = [], 0
+    if parts:
+        yield tuple(map(np.concatenate, zip(*parts)))
 
 
 def _counts(lists: DataFrame) -> tuple[int, int, np.ndarray]:
@@ -164,21 +181,29 @@ def _counts(lists: DataFrame) -> tuple[int, int, np.ndarray]:
             of = np.repeat(toxic, counts)
             for kind in (0, 1):
                 held[kind] += np.bincount(buckets[of == kind], minlength=BUCKETS)
-        yield kinds.tobytes(), held.tobytes()
+        for kind in (0, 1):
+            for at in range(0, BUCKETS, SPAN):
+                yield kind, at, int(kinds[kind]) if not at else 0, held[kind, at : at + SPAN].tobytes()
 
-    kinds, held = np.zeros(2, np.int64), np.zeros((2, BUCKETS), np.int64)
-    for row in map_rows(lists, ["toxic", "ends", "buckets"], count, "kinds binary, held binary").collect():
-        kinds += np.frombuffer(row["kinds"], np.int64)
-        held += np.frombuffer(row["held"], np.int32).reshape(2, BUCKETS)
-    return int(kinds[0]), int(kinds[1]), held
+    kinds, held = [0, 0], np.zeros((2, BUCKETS), np.int64)
+    schema = "kind int, at int, docs bigint, held binary"
+    for kind, at, docs, part in map_rows(lists, ["toxic", "ends", "buckets"], count, schema).collect():
+        kinds[kind] += docs
+        held[kind, at : at + SPAN] += np.frombuffer(part, np.int32)
+    return_memory()  # the driver's, of the tasks' counts
+    return *kinds, held
 
 
-def _pass(lists: DataFrame, weights: np.ndarray, intercept: float) -> tuple[float, np.ndarray]:
-    """Sum of the logistic losses of all documents, and its slope by bucket weight and intercept."""
+def _pass(lists: DataFrame, used, weights: np.ndarray, intercept: float) -> tuple[float, np.ndarray]:
+    """Sum of the logistic losses of all documents, and its slope by weight and intercept.
+
+    ``used``: the buckets that the weights belong to, broadcast.
+    """
     shared = lists.sparkSession.sparkContext.broadcast(weights)
 
     def slopes(rows: Iterator[tuple]) -> Iterator[tuple]:
-        w, total, slope, shift = shared.value, 0.0, np.zeros(BUCKETS), 0.0
+        w, total, slope, shift = np.zeros(BUCKETS), 0.0, np.zeros(BUCKETS), 0.0
+        w[used.value] = shared.value
         for toxic, counts, buckets in _unpacked(rows):
             at = np.repeat(np.arange(len(counts)), counts)
             z = np.bincount(at, w[buckets], len(counts)) + intercept
@@ -186,12 +211,14 @@ def _pass(lists: DataFrame, weights: np.ndarray, intercept: float) -> tuple[floa
             error = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - toxic
             slope += np.bincount(buckets, error[at], BUCKETS)
             shift += float(error.sum())
-        yield total, np.append(slope, shift).astype(np.float32).tobytes()
-
-    total, slope = 0.0, np.zeros(BUCKETS + 1)
-    for row in map_rows(lists, ["toxic", "ends", "buckets"], slopes, "total double, slope binary").collect():
-        total += row["total"]
-        slope += np.frombuffer(row["slope"], np.float32)
+        out = np.append(slope[used.value], shift).astype(np.float32)
+        for at in range(0, len(out), SPAN):
+            yield at, 0.0 if at else total, out[at : at + SPAN].tobytes()
+
+    total, slope = 0.0, np.zeros(len(weights) + 1)
+    for at, part, some in map_rows(lists, ["toxic", "ends", "buckets"], slopes, "at int, total double, slope binary").collect():
+        total += part
+        slope[at : at + SPAN] += np.frombuffer(some, np.float32)
     shared.destroy()
     return_memory()  # the driver's, of the tasks' slopes
     return total, slope

@@ -63,10 +63,11 @@ class Workspace:
         self._tables = 0
         self.last: str | None = None  # folder of the table written last
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, **options) -> DataFrame:
+        """``options``: of the Parquet writer."""
         self._tables += 1
         path = f"{self.path}/{self._tables:04d}-{name}"
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         self.last = path
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -335,3 +335,17 @@ def test_scratch_tables_go(spark):
         ws.write(spark.range(3).toDF("x"), "three")
         assert Files(spark).exists(ws.path)
     assert not Files(spark).exists(ws.path)
+
+
+def test_toxicity_lists_travel_in_small_rows():
+    """No row of the sample's lists holds much more than ROW numbers, and passes get them back whole."""
+    rng = random.Random(31)
+    texts = [fixtures.prose(rng, 300) for _ in range(120)]
+    rows = list(toxicity._lists((i % 2, text) for i, text in enumerate(texts)))
+    longest = max(len(toxicity.Distinct()(text)) for text in texts)
+    assert max(len(buckets) // 4 for *_, buckets in rows) < toxicity.ROW + longest < toxicity.LOT
+    lots = list(toxicity._unpacked(iter(rows)))
+    assert len(lots) < len(rows)
+    assert np.concatenate([toxic for toxic, *_ in lots]).tolist() == [i % 2 for i in range(len(texts))]
+    assert np.concatenate([counts for _, counts, _ in lots]).tolist() == [len(toxicity.Distinct()(text)) for text in texts]
+    assert b"".join(buckets.tobytes() for *_, buckets in lots) == b"".join(buckets for *_, buckets in rows)
