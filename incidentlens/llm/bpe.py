@@ -15,9 +15,13 @@ Definitions
 from __future__ import annotations
 
 import base64
+import re
+from array import array
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,14 +30,17 @@ from incidentlens.llm.tables import keep, map_batches
 
 OWNER = "bpe"  # of the caches that workers keep from task to task
 
-# Encodings of pieces, and which tokens go together, are kept per worker up to these numbers, and
-# dropped together beyond them.
+# Encodings of pieces, and which tokens go together, are kept per worker up to these numbers. Of pieces,
+# those not asked for since half the number came in are dropped, the others altogether.
 CACHED_PIECES = 250_000
 CACHED_PIECE_CHARS = 64
 # Beginnings of matches whose length is a multiple of this are remembered for other matches.
 STRIDE = 3
 CACHED_PAIRS = 200_000
 CACHED_STARTS = 150_000
+# What a pattern may be made of to be run by Python's own engine, which takes half the time.
+_PLAIN = re.compile(r"(?:[A-Za-z' |+?]|\(\?!|\)|\[\^?|\]|\\[sS]|\\p\{[LN]\})*")
+_WIDE = re.compile("[\U00010000-\U0010ffff]")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -155,6 +162,34 @@ class PrefixEncoder:
         return out[::-1]
 
 
+def finder(pattern: str) -> Callable[[str], list[str]]:
+    """All matches of a pattern in a text, as the regex library finds them.
+
+    Texts of characters up to U+FFFF are searched by Python's own engine, with letters, digits and spaces
+    listed as the regex library tells them, where the pattern has no syntax besides.
+    """
+    full = regex.compile(pattern).findall
+    if not _PLAIN.fullmatch(pattern):
+        return full
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    kinds = {
+        kind: "".join(f"\\u{ord(run[0]):04x}-\\u{ord(run[-1]):04x}" for half in (every[:0xD800], every[0xD800:]) for run in regex.findall(kind + "+", half))
+        for kind in (r"\p{L}", r"\p{N}", r"\s")
+    }
+    out, inside = [], False
+    for part in re.findall(r"\\p\{[LN]\}|\\[sS]|.", pattern):
+        inside = part == "[" or inside and part != "]"
+        if part == r"\S":
+            if inside:
+                return full
+            part = f"[^{kinds[part.lower()]}]"
+        elif part in kinds:
+            part = kinds[part] if inside else f"[{kinds[part]}]"
+        out.append(part)
+    plain = re.compile("".join(out)).findall
+    return lambda text: full(text) if _WIDE.search(text) else plain(text)
+
+
 class Encoder(dict):
     """Whole texts: cut by the pattern, each match encoded for itself.
 
@@ -164,16 +199,21 @@ class Encoder(dict):
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
         self.vocabulary = Vocabulary(ranks)
-        self.find = regex.compile(pattern).findall
+        self.find = finder(pattern)
+        self.older: dict[str, bytes] = {}  # pieces that were known when the dictionary was last full
         self.starts: dict[bytes, list[int]] = {}  # last tokens of beginnings of matches
-        self.tokens = [self.vocabulary.bytes.get(i, b"") for i in range(1 + max(self.vocabulary.bytes))]
+        tokens = [self.vocabulary.bytes.get(i, b"") for i in range(1 + max(self.vocabulary.bytes))]
+        self.tokens = pa.array(tokens, pa.large_binary())
 
     def __missing__(self, part: str) -> bytes:
-        data = part.encode()
-        rank = self.vocabulary.ranks.get(data)  # a whole match that is a token is taken as it is
-        packed = np.array([rank] if rank is not None else self.piece(data), np.int32).tobytes()
+        packed = self.older.get(part)
+        if packed is None:
+            data = part.encode()
+            rank = self.vocabulary.ranks.get(data)  # a whole match that is a token is taken as it is
+            packed = array("i", [rank] if rank is not None else self.piece(data)).tobytes()
         if len(part) <= CACHED_PIECE_CHARS:
-            if len(self) >= CACHED_PIECES:
+            if len(self) >= CACHED_PIECES // 2:
+                self.older = dict(self)
                 self.clear()
             self[part] = packed
         return packed
@@ -197,8 +237,14 @@ class Encoder(dict):
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.__getitem__, self.find(text or ""))), np.int32)
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, () if ids is None else ids))
+    def decode(self, ids: list) -> pa.Array:
+        """The bytes of several lists of ids, null ones among them."""
+        lists = [() if one is None else one for one in ids]
+        ends = np.cumsum([0, *map(len, lists)])
+        flat = np.concatenate([np.zeros(0, np.int32), *(np.asarray(one, np.int32) for one in lists)])
+        taken = self.tokens.take(pa.array(flat))
+        offsets = np.frombuffer(taken.buffers()[1], np.int64, len(flat) + 1, taken.offset * 8)[ends]
+        return pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(offsets), taken.buffers()[2]]).cast(pa.binary())
 
 
 @cache
@@ -219,7 +265,7 @@ def decode(docs: DataFrame, ranks_path: str, pattern: str, ids: str = "token_ids
     """All columns of ``docs`` and ``decoded BINARY``."""
 
     def columns(encoder: Encoder, values: list) -> dict[str, list]:
-        return {"decoded": [encoder.decode(value) for value in values]}
+        return {"decoded": encoder.decode(values)}
 
     return _mapped(docs, ids, "decoded binary", ranks_path, pattern, columns)
 
@@ -229,7 +275,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text
 
     def columns(encoder: Encoder, values: list) -> dict[str, list]:
         ids = [encoder.encode(value) for value in values]
-        return {"token_ids": ids, "decoded": [encoder.decode(one.tolist()) for one in ids]}
+        return {"token_ids": ids, "decoded": encoder.decode(ids)}
 
     return _mapped(docs, text, "token_ids array<int>, decoded binary", ranks_path, pattern, columns)
 

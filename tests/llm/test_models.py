@@ -8,11 +8,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
+import regex
 from pyspark.sql import functions as F
 from tests.llm import fixtures
 
-from incidentlens.llm import chat, ngram_join, quality_lm, queries, toxicity, url_filter
+from incidentlens.llm import bpe, chat, ngram_join, quality_lm, queries, toxicity, url_filter
 from incidentlens.llm.tables import scratch, workspace
 from incidentlens.workspace import Files
 
@@ -349,3 +351,28 @@ def test_toxicity_lists_travel_in_small_rows():
     assert np.concatenate([toxic for toxic, *_ in lots]).tolist() == [i % 2 for i in range(len(texts))]
     assert np.concatenate([counts for _, counts, _ in lots]).tolist() == [len(toxicity.Distinct()(text)) for text in texts]
     assert b"".join(buckets.tobytes() for *_, buckets in lots) == b"".join(buckets for *_, buckets in rows)
+
+
+def test_bpe_finder_is_the_pattern():
+    """Texts of characters up to U+FFFF go another way than others, with the matches of the regex library."""
+    rng, find = random.Random(41), bpe.finder(public_tokenizers.PATTERN)
+    odd = [0x9, 0xA, 0x1C, 0x1F, 0x20, 0x20, 0x27, 0x85, 0xA0, 0x3000, ord("s"), ord("1"), 0x663, 0xE9, 0x4E00]
+    for wide in (False, True):
+        for _ in range(500):
+            text = "".join(chr(rng.choice([rng.choice(odd), rng.randrange(32, 127), rng.randrange(0xD800)])) for _ in range(12))
+            text += chr(rng.randrange(0x10000, 0x110000)) * wide
+            assert find(text) == regex.findall(public_tokenizers.PATTERN, text)
+    assert bpe.finder(r"(?i:a)|.")("Aab") == ["A", "a", "b"]
+
+
+def test_bpe_pieces_in_use_stay_known(monkeypatch):
+    """A piece asked for again and again is encoded once, however many others come in between."""
+    ranks = bpe.load_ranks(public_tokenizers.path(queries.RANKS))
+    encoder, made = bpe.Encoder(ranks, public_tokenizers.PATTERN), []
+    monkeypatch.setattr(bpe, "CACHED_PIECES", 100)
+    plain = encoder.piece
+    encoder.piece = lambda data: made.append(data) or plain(data)
+    ids = [encoder.encode(f"qzxwvk qzxw{i}") for i in range(1000)]
+    assert made.count(b"qzxwvk") == 1 and len(encoder) + len(encoder.older) <= 100
+    assert encoder.decode([*ids[:3], None, [], ids[7]]).to_pylist() == [b"qzxwvk qzxw0", b"qzxwvk qzxw1", b"qzxwvk qzxw2", b"", b"", b"qzxwvk qzxw7"]
+    assert encoder.decode([]).to_pylist() == [] and encoder.decode([None, []]).to_pylist() == [b"", b""]
