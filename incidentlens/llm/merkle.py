@@ -135,7 +135,8 @@ def manifest(
         .select("p.*", "s.g", F.expr("p.position - s.first").alias("idx"), "s.held"),
         "leaves",
     )
-    levels = _levels(numbered.select("g", "idx", "held", "digest"), arity, ws)
+    # The leaves' own columns go along as the lowest level, so that rows with their proofs need no further join.
+    levels = _levels(numbered, arity, ws)
     # Subroots are the leaves of one more tree.
     subroots = levels[0].filter("held = 1").select("g", "digest")
     for level in levels[1:]:
@@ -148,7 +149,7 @@ def manifest(
     tops = ws.write(tops.select(F.col("idx").alias("g"), F.col("digest").alias("subroot"), "root", "steps"), "tops")
     proofs = _steps(levels, tops, arity, ws)
     carried = [F.col(f"c_{n}").alias(n) for n in carry or {}]
-    leaves = numbered.drop("held", "digest").join(proofs, ["g", "idx"]).select(
+    leaves = proofs.select(
         F.col("k").alias(order), F.col("grp").alias(group), F.col("digest").alias("leaf"), *carried, "subroot", "root", "steps"
     )
     return Manifest(leaves, order, group)

@@ -93,3 +93,12 @@ def test_values_do_not_run_together(spark):
     assert df.distinct().count() == len(rows)
     with pytest.raises(ValueError):
         merkle.manifest(spark.createDataFrame(rows, COLUMNS), ("text",), "lang", "doc_id", 1)
+
+
+def test_rows_with_proofs_are_not_joined_again(spark):
+    """Rows with whole proofs are wide; what the result needs of the leaves is with them before their proofs are."""
+    rows = [(i, f"{i % 3}", f"text {i}") for i in range(100)]
+    found = merkle.manifest(spark.createDataFrame(rows, COLUMNS), ("doc_id", "text"), "lang", "doc_id", carry={"size": F.length("text")})
+    assert Counter(r.size for r in found.leaves.collect()) == {6: 10, 7: 90}
+    plan = found.leaves._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.find("Union") < plan.find("Join")
