@@ -40,12 +40,12 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from incidentlens.llm.components import components
-from incidentlens.llm.tables import arrow_schema, bounded_broadcast, map_arrow, map_batches, map_rows, pieces, release_shuffles, workspace
+from incidentlens.llm.tables import arrow_schema, bounded_broadcast, map_arrow, map_batches, map_rows, narrow_join, pieces, release_shuffles, workspace
 from incidentlens.llm.words import Runs, WordNumbers, signed, split_words
 
 SHINGLE = 5
@@ -208,24 +208,26 @@ def _sets(docs: DataFrame, wanted: DataFrame, rows: int, ws, name: str) -> DataF
 
         return run
 
-    texts = docs.select("doc", "text").join(bounded_broadcast(wanted, rows, 32), "doc", "left_semi")
+    texts = narrow_join(docs.select("doc", "text"), wanted, rows, 32, "doc", "left_semi")
     return ws.write(map_batches(texts, make, "doc bigint, tokens binary"), name)
 
 
 def _compare(pairs, docs: DataFrame, shared, ws) -> DataFrame:
-    """(u, v) of the pairs (a, b) that are alike, by tree joins of BLOCK sets with one probe each."""
+    """(u, v) of the pairs (a, b) that are alike, by tree joins of BLOCK sets with one probe each.
+
+    Texts travel, as they take about half of the bytes of their shingle numbers.
+    """
     counted = pairs.df.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     counted = ws.save(counted, "probes")
     block = F.pmod(F.xxhash64("b"), F.col("blocks"))
     members = pairs.df.join(bounded_broadcast(counted.df, counted.rows, 32), "a").select("a", block.alias("block"), F.col("b").alias("doc"))
     probes = counted.df.select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), F.col("a").alias("doc"))
-    involved = ws.save(pairs.df.select(F.col("a").alias("doc")).union(pairs.df.select("b")).distinct(), "involved")
-    sets, path = _sets(docs, involved.df, involved.rows, ws, "sets"), ws.last
-    both = probes.withColumn("side", F.lit(0)).unionByName(members.withColumn("side", F.lit(1)))
-    dealt = both.join(sets, "doc").repartition("a", "block").sortWithinPartitions("a", "block", "side", "doc")
+    both = ws.save(probes.withColumn("side", F.lit(0)).unionByName(members.withColumn("side", F.lit(1))), "meeting")
+    full = narrow_join(docs.select("doc", "text"), both.df, both.rows, 64, "doc")
+    dealt = full.repartition("a", "block").sortWithinPartitions("a", "block", "side", "doc")
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        order = TokenOrder(shared.value)
+        known, order = WordNumbers(), TokenOrder(shared.value)
         for (a, _), group in groupby(rows, key=lambda row: row[:2]):
             probes, sets = [], []
 
@@ -234,8 +236,8 @@ def _compare(pairs, docs: DataFrame, shared, ws) -> DataFrame:
                 sets.clear()
                 return [(a, b) for b in sorted(found)]
 
-            for _, _, side, doc, tokens in group:
-                tokens = np.frombuffer(tokens, np.uint64)
+            for _, _, side, doc, text in group:
+                tokens = shingles(text, known)
                 if not side:
                     probes.append(tokens)
                     continue
@@ -244,39 +246,42 @@ def _compare(pairs, docs: DataFrame, shared, ws) -> DataFrame:
                     yield from links()
             yield from links()
 
-    found = map_rows(dealt, ["a", "block", "side", "doc", "tokens"], run, "u bigint, v bigint")
-    links = ws.write(found, "links")
-    ws.remove(path)
-    return links
+    return ws.write(map_rows(dealt, ["a", "block", "side", "doc", "text"], run, "u bigint, v bigint"), "links")
 
 
-def _open_tokens(prefixes: DataFrame, roots: DataFrame, ws) -> DataFrame:
-    """Prefix rows (token, doc, n, pos, root) of tokens that more than one component holds."""
+def _open_tokens(prefixes: DataFrame, roots: DataFrame, ws, **more: Column) -> DataFrame:
+    """Prefix rows (token, doc, n, pos, root) of tokens that more than one component holds; ``more``: see below."""
     known = roots.select(F.col("node").alias("doc"), F.col("root").alias("known"))
+    known = bounded_broadcast(known, roots.count(), 32)
     rows = prefixes.join(known, "doc", "left").select("token", "doc", "n", "pos", F.coalesce("known", "doc").alias("root"))
-    return ws.write(_of_several(rows, "root"), "open")
+    return ws.write(_of_several(rows, "root", **more), "open")
+
 
+def _of_several(rows: DataFrame, column: str, **more: Column) -> DataFrame:
+    """Rows of tokens with more than one value in a column; one exchange, where a join would need two.
 
-def _of_several(rows: DataFrame, column: str) -> DataFrame:
-    """Rows of tokens with more than one value in a column; one exchange, where a join would need two."""
+    ``more``: aggregates over a token's rows, as further columns.
+    """
     same = Window.partitionBy("token")
-    both = rows.withColumns({"low": F.min(column).over(same), "high": F.max(column).over(same)})
+    wide = {name: value.over(same) for name, value in more.items()}
+    both = rows.withColumns({"low": F.min(column).over(same), "high": F.max(column).over(same), **wide})
     return both.filter("low <> high").drop("low", "high")
 
 
-_SIZES_FIT = "5 * least(l.n, r.n) >= 4 * greatest(l.n, r.n)"
+def _sizes_fit(n_a: str, n_b: str) -> str:
+    return f"5 * least({n_a}, {n_b}) >= 4 * greatest({n_a}, {n_b})"
 
 
-def _star_pairs(rows: DataFrame, number: int) -> DataFrame:
-    """For each document the one of another component that most of its tokens point to."""
-    heads = rows.groupBy("token").agg(
-        F.min_by(F.struct("doc", "n", "root"), F.struct(F.xxhash64("root", F.lit(number)), "doc")).alias("head")
-    )
+def _head(number: int) -> Column:
+    """Whom the rows of a token meet in a round."""
+    return F.min_by(F.struct("doc", "n", "root"), F.struct(F.xxhash64("root", F.lit(number)), "doc"))
+
+
+def _star_pairs(rows: DataFrame) -> DataFrame:
+    """For each document the one of another component that most of its tokens point to, by their ``head``."""
     met = (
-        rows.alias("l")
-        .join(heads.select("token", "head.*").alias("r"), "token")
-        .filter(f"l.root <> r.root AND {_SIZES_FIT}")
-        .groupBy(F.col("l.doc").alias("b"), F.col("r.doc").alias("a"))
+        rows.filter(f"root <> head.root AND {_sizes_fit('n', 'head.n')}")
+        .groupBy(F.col("doc").alias("b"), F.col("head.doc").alias("a"))
         .agg(F.count(F.lit(1)).alias("c"))
     )
     return met.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
@@ -292,7 +297,7 @@ def _all_pairs(rows: DataFrame) -> DataFrame:
     least = "ceil(4 * (l.n + r.n) / 9)"
     near = f"l.pos <= l.n - {least} AND r.pos <= r.n - {least}"
     pairs = rows.alias("l").join(rows.alias("r"), "token").filter(
-        f"l.doc < r.doc AND l.root <> r.root AND {_SIZES_FIT} AND {near}"
+        f"l.doc < r.doc AND l.root <> r.root AND {_sizes_fit('l.n', 'r.n')} AND {near}"
     )
     return pairs.select(F.col("l.doc").alias("a"), F.col("r.doc").alias("b")).distinct()
 
@@ -325,7 +330,7 @@ def _second_prefixes(crowded: DataFrame, docs: DataFrame, ws) -> DataFrame:
 
         return run
 
-    texts = docs.select("doc", "text").join(bounded_broadcast(ids.df, ids.rows, 32), "doc", "left_semi")
+    texts = narrow_join(docs.select("doc", "text"), ids.df, ids.rows, 32, "doc", "left_semi")
     tokens = ws.write(map_batches(texts, make, "token bigint, doc bigint, n int, number bigint"), "crowded-sets")
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     # Tokens of one document only come first and can be shared with none: their number is all that matters.
@@ -500,10 +505,10 @@ def similar_components(docs: DataFrame) -> DataFrame:
     # Ids with several different sets stay in, the others are stood for by their head.
     several = marked.groupBy("doc").agg(F.min("signature").alias("x"), F.max("signature").alias("y")).filter("x <> y")
     out = ws.save(equal.select(F.col("v").alias("doc")).join(several.select("doc"), "doc", "left_anti").distinct(), "copies")
-    nodes = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc"), "text")
-    nodes = nodes.join(bounded_broadcast(out.df, out.rows, 64), "doc", "left_anti")
+    texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc"), "text")
 
-    found = ws.write(_prefixes(nodes, shared), "all-prefixes")
+    # Only what this leaves in has prefixes, so that later steps, which look texts up by them, need not ask again.
+    found = ws.write(_prefixes(narrow_join(texts, out.df, out.rows, 64, "doc", "left_anti"), shared), "all-prefixes")
     written = ws.last
     rows = ws.write(_of_several(found, "doc").withColumn("root", F.col("doc")), "prefixes")
     ws.remove(written)
@@ -511,19 +516,19 @@ def similar_components(docs: DataFrame) -> DataFrame:
 
     links, roots, tested = equal, components(equal, ws), None
     for number in range(STAR_ROUNDS):
-        rows = _open_tokens(rows.select("token", "doc", "n", "pos"), roots, ws)
-        pairs = ws.save(_star_pairs(rows, number) if tested is None else _not_in(_star_pairs(rows, number), tested), "pairs")
+        rows = _open_tokens(rows.select("token", "doc", "n", "pos"), roots, ws, head=_head(number))
+        pairs = ws.save(_star_pairs(rows) if tested is None else _not_in(_star_pairs(rows), tested), "pairs")
         if pairs.rows:
             tested = pairs.df if tested is None else tested.union(pairs.df)
-            links = links.union(_compare(pairs, nodes, shared, ws))
+            links = links.union(_compare(pairs, texts, shared, ws))
             roots = components(links, ws)
         release_shuffles(docs.sparkSession)
     calm, crowded = _split(_open_tokens(rows.select("token", "doc", "n", "pos"), roots, ws), ws)
-    second = _second_prefixes(crowded, nodes, ws)
+    second = _second_prefixes(crowded, texts, ws)
     second_calm, hot = _split(_open_tokens(second, roots, ws), ws)
     pairs = _all_pairs(calm).union(_all_pairs(second_calm)).distinct()
     pairs = ws.save(pairs if tested is None else _not_in(pairs, tested), "pairs")
-    links = links.union(_compare(pairs, nodes, shared, ws)).union(_block_links(hot, nodes, ws))
+    links = links.union(_compare(pairs, texts, shared, ws)).union(_block_links(hot, texts, ws))
     release_shuffles(docs.sparkSession)
     roots = components(links, ws)
     return base.join(roots, base["doc"] == roots["node"], "left").select(

@@ -20,6 +20,8 @@ from incidentlens.workspace import Workspace
 
 # A table of at most this many bytes (rows times width) may be broadcast; larger ones are shuffled.
 BROADCAST_BYTES = 16 << 20
+# Bits of the table that tells which keys another one may hold, for joins with tables that are too large to broadcast.
+MARKS = 1 << 26
 # Python stages cut their batches so that one holds at most this much text.
 BATCH_CHARS = 4 << 20
 # Spark hands rows to Python in batches of this many bytes at most; by default they only end after 10,000
@@ -173,6 +175,25 @@ def bounded_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def narrow_join(df: DataFrame, ids: DataFrame, rows: int, row_bytes: int, key: str, how: str = "inner") -> DataFrame:
+    """``df`` joined (inner, left_semi or left_anti) with ``ids``, a table of counted size with a column ``key``.
+
+    ``ids`` is broadcast if it is small. Otherwise a bitmap of fixed size (MARKS bits) of the hashed keys is, and
+    only rows of ``df`` that it may hold are shuffled, so that texts without a match stay where they lie.
+    """
+    if rows * row_bytes <= BROADCAST_BYTES:
+        return df.join(F.broadcast(ids), key, how)
+    slot = F.pmod(F.xxhash64(key), F.lit(MARKS))
+    bucket, bit = F.shiftright(slot, 15), slot.bitwiseAND(F.lit(32767))
+    marks = ids.groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(bit).alias("_marks"))
+    byte = F.conv(F.hex(F.substring("_marks", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    maybe = F.coalesce(F.expr("shiftright(_byte, int(_bit)) & 1") == 1, F.lit(False))
+    held = df.withColumn("_bucket", bucket).join(F.broadcast(marks), "_bucket", "left")
+    held = held.withColumns({"_byte": byte, "_bit": bit.bitwiseAND(F.lit(7))})
+    found = held.filter(maybe).select(*df.columns).join(ids, key, how)
+    return found.unionByName(held.filter(~maybe).select(*df.columns)) if how == "left_anti" else found
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let the files of earlier shuffles go, which Spark keeps until the driver has dropped what stands for them."""
     gc.collect()

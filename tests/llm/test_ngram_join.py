@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from tests.llm import brute
 
-from incidentlens.llm import ngram_join
+from incidentlens.llm import ngram_join, tables
 from incidentlens.workspace import Workspace
 
 
@@ -40,6 +40,43 @@ def test_groups_around_the_bound(spark, monkeypatch, calm, block):
     assert found(ngram_join.similar_components(df)) == Counter(brute.components(rows))
 
 
+@pytest.mark.parametrize("marks", [1 << 26, 1 << 4])
+def test_large_tables_are_not_broadcast(spark, monkeypatch, marks):
+    """With a bitmap instead, and with one that is too small to tell much, the results are the same."""
+    monkeypatch.setattr(tables, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(tables, "MARKS", marks)
+    rng = random.Random(marks)
+    ids = list(range(-40, 200, 3))
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(-100, 300)] + [(None, "null"), (5, "again")], "doc bigint, text string")
+    few = spark.createDataFrame([(i, -i) for i in ids], "doc bigint, other bigint")
+    for how in ("inner", "left_semi", "left_anti"):
+        got = tables.narrow_join(df, few, len(ids), 32, "doc", how)
+        want = df.join(few, "doc", how)
+        assert got.columns == want.columns and Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+    base = [f"w{rng.randrange(400)}" for _ in range(100)]
+    rows = [(i, " ".join(edited(rng, base, rng.choice([0, 0.01, 0.03])))) for i in range(40)] + [(3, "other words"), (None, "x"), (90, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert found(ngram_join.similar_components(df)) == Counter(brute.components(rows))
+
+
+def test_shuffles_grow_with_the_input(spark, monkeypatch):
+    """No text is dealt out but for comparisons, and once for each, whether tables are small enough to be broadcast or not."""
+    dealt = []
+    map_rows = ngram_join.map_rows
+    monkeypatch.setattr(ngram_join, "map_rows", lambda df, *more: (dealt.append(df), map_rows(df, *more))[1])
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(400)}" for _ in range(100)]
+    rows = [(i, " ".join(edited(rng, base, 0.01))) for i in range(30)]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ngram_join.similar_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in dealt if "side" in df.columns]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert plans and all("SortMergeJoin" not in plan and plan.count("REPARTITION_BY_COL") == 1 for plan in plans)
+
+
 def test_templates_write_rows_in_proportion(spark, monkeypatch):
     """Texts that share a template without being linked: twice as many write some twice as many rows."""
     written = {}
